@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,28 +37,45 @@ def split_points(df: DataFrame, keys: list[str]) -> Splits:
     return Splits(tuple(points), False)
 
 
-def _before(keys: list[str], point: tuple) -> Column:
+def sql_literal(value) -> str:
+    """SQL text of a plain value."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return f"{value}L"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    if isinstance(value, datetime.datetime):
+        return f"timestamp_micros({round(value.timestamp() * 1e6)})"
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
+def _before(keys: list[str], point: tuple) -> str:
     """key < point, compared column by column; nulls sort first."""
-    out = F.lit(False)
+    out = "false"
     for name, value in reversed(list(zip(keys, point))):
-        col = F.col(name)
+        col = f"`{name}`"
         if value is None:
-            out = col.isNull() & out
+            out = f"({col} is null and {out})"
         else:
-            out = col.isNull() | (col < F.lit(value)) | ((col == F.lit(value)) & out)
+            rest = "" if out == "false" else f" or ({col} = {sql_literal(value)} and {out})"
+            out = f"({col} is null or {col} < {sql_literal(value)}{rest})"
     return out
 
 
 def range_bucket(keys: list[str], points: tuple) -> Column:
     """How many split points are at or below the key (a balanced decision tree)."""
 
-    def branch(lo: int, hi: int) -> Column:
+    def branch(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(_before(keys, points[mid]), branch(lo, mid)).otherwise(branch(mid + 1, hi))
+        return f"if({_before(keys, points[mid])}, {branch(lo, mid)}, {branch(mid + 1, hi)})"
 
-    return branch(0, len(points))
+    return F.expr(branch(0, len(points)))
 
 
 def running_sums(df: DataFrame, keys: list[str], sums: dict[str, str],
@@ -154,56 +173,47 @@ def hash_flag(df: DataFrame, quotas: list[tuple], seed: int, salt: str, key: str
     )
 
 
-def order_values(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
-    """Exact order statistics: the value at each 0-based rank of each numeric column.
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Interpolated median of each numeric column (null for an all-null column).
 
-    Sketch quantiles bracket each rank, one pass counts what lies below the
-    bracket, and only bracketed values are grouped and ranked exactly.
+    One sketch pass brackets the middle ranks, one pass counts what lies below
+    each bracket, and only bracketed values are grouped and ranked exactly.
     """
-    ranks = {c: sorted(set(r)) for c, r in ranks.items() if r}
-    if not ranks:
+    if not cols:
         return {}
-    sizes = df.agg(*[F.count(c).alias(c) for c in ranks]).first().asDict()
-    margin = 2e-4
-    probes = {
-        (c, r): [max(0.0, r / max(sizes[c] - 1, 1) - margin), min(1.0, r / max(sizes[c] - 1, 1) + margin)]
-        for c, rs in ranks.items() for r in rs
-    }
-    aggs = [F.percentile_approx(F.col(c).cast("double"), F.array(*map(F.lit, p)), F.lit(20000)).alias(f"q{i}")
-            for i, ((c, _), p) in enumerate(probes.items())]
-    brackets = df.agg(*aggs).first()
-    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    below = df.agg(*[
-        F.count_if(F.col(c).cast("double") < F.lit(brackets[i][0])).alias(f"n{i}")
-        for i, (c, _) in enumerate(probes)]).first()
-    parts = [
-        F.when(F.col(c).cast("double").between(F.lit(brackets[i][0]), F.lit(brackets[i][1])),
-               F.struct(F.lit(i).alias("probe"), F.col(c).cast("double").alias("v")))
-        for i, (c, _) in enumerate(probes)
-    ]
-    inside = (
-        df.select(F.explode(F.array_compact(F.array(*parts))).alias("p"))
-        .groupBy("p.probe", "p.v").agg(F.count(F.lit(1)).alias("n"))
-    )
+    margin, accuracy = 2e-4, 20000
+    values = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    ends = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
+    facts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(values.values())],
+                   *[F.percentile_approx(x, ends, F.lit(accuracy)).alias(f"q{i}") for i, x in enumerate(values.values())]
+                   ).first()
+    live = [i for i in range(len(cols)) if facts[f"n{i}"]]
+    exprs = list(values.values())
+    if not live:
+        return dict.fromkeys(cols)
+    below = df.agg(*[F.count_if(exprs[i] < F.lit(facts[f"q{i}"][0])).alias(f"b{i}") for i in live]).first()
+    parts = [F.when(exprs[i].between(F.lit(facts[f"q{i}"][0]), F.lit(facts[f"q{i}"][1])),
+                    F.struct(F.lit(i).alias("probe"), exprs[i].alias("v"))) for i in live]
+    inside = (df.select(F.explode(F.array_compact(F.array(*parts))).alias("p"))
+              .groupBy("p.probe", "p.v").agg(F.count(F.lit(1)).alias("n")))
     run = running_sums(inside, ["v"], {"upto": "n"}, by=["probe"])
-    base = F.element_at(F.array(*[F.lit(int(below[i])).cast("bigint") for i in range(len(probes))]),
-                        F.col("probe") + 1)
-    want = F.element_at(F.array(*[F.lit(int(r)).cast("bigint") for _, r in probes]), F.col("probe") + 1)
-    hit = run.where((base + F.col("upto") - F.col("n") <= want) & (want < base + F.col("upto")))
-    got = {row.probe: row.v for row in hit.select("probe", "v").collect()}
-    for i, (c, r) in enumerate(probes):
-        if i not in got:
-            raise RuntimeError(f"rank {r} of {c} fell outside its bracket")
-        found[c][r] = got[i]
-    return found
 
-
-def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Interpolated median of each numeric column (null for an all-null column)."""
-    if not cols:
-        return {}
-    sizes = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    ranks = {c: [(n - 1) // 2, n // 2] for c, n in sizes.items() if n}
-    values = order_values(df, ranks)
-    return {c: (values[c][ranks[c][0]] + values[c][ranks[c][1]]) / 2 if c in values else None
-            for c in cols}
+    def per_probe(numbers: dict[int, int]) -> Column:
+        cases = [F.when(F.col("probe") == i, F.lit(int(n)).cast("bigint")) for i, n in numbers.items()]
+        return F.coalesce(*cases)
+
+    base = per_probe({i: below[f"b{i}"] for i in live})
+    hits = []
+    for rank in ({i: (facts[f"n{i}"] - 1) // 2 for i in live}, {i: facts[f"n{i}"] // 2 for i in live}):
+        want = per_probe(rank)
+        hits.append((base + F.col("upto") - F.col("n") <= want) & (want < base + F.col("upto")))
+    got = run.groupBy("probe").agg(F.max(F.when(hits[0], F.col("v"))).alias("lo"),
+                                   F.max(F.when(hits[1], F.col("v"))).alias("hi")).collect()
+    found = {cols[r["probe"]]: r for r in got}
+    out: dict[str, float | None] = dict.fromkeys(cols)
+    for i in live:
+        r = found.get(cols[i])
+        if r is None or r["lo"] is None or r["hi"] is None:
+            raise RuntimeError(f"median of {cols[i]} fell outside its bracket")
+        out[cols[i]] = (r["lo"] + r["hi"]) / 2
+    return out

@@ -70,8 +70,12 @@ def probit(p: Column) -> Column:
     return F.when(p < PROBIT_TAIL, low).when(p > 1 - PROBIT_TAIL, high).otherwise(middle)
 
 
-def interval_normal(lower: Column, upper: Column, u: Column) -> Column:
-    """Normal draw centred in [lower, upper], sigma a sixth of its width, cut at 3 sigma."""
-    p = F.lit(BELOW_3_SIGMA) + u * F.lit(1.0 - 2.0 * BELOW_3_SIGMA)
+def interval_probability(u: Column) -> Column:
+    """A uniform mapped to the probabilities between -3 and 3 sigma."""
+    return F.lit(BELOW_3_SIGMA) + u * F.lit(1.0 - 2.0 * BELOW_3_SIGMA)
+
+
+def interval_normal(lower: Column, upper: Column, p: Column) -> Column:
+    """Normal quantile at p, centred in [lower, upper], sigma a sixth of its width, kept inside."""
     drawn = (lower + upper) / 2 + (upper - lower) / 6 * probit(p)
     return F.greatest(lower, F.least(upper, drawn))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.order import hash_flag, key_rank
+from tabwright.functions.order import hash_flag, key_rank, sql_literal
 from tabwright.functions.rand import hash_uniform
 
 TAKE_ROWS = 100_000
@@ -53,18 +53,18 @@ def align_counts(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
         F.sum("_a").cast("bigint").alias("n_a"), F.sum("_b").cast("bigint").alias("n_b"))
 
 
-def decode_case(x: Column, uppers: list[tuple[float, object]]) -> Column:
-    """First category whose upper bound is at or above x; the last bound is taken as 1."""
+def decode_case(col: str, uppers: list[tuple[float, object]]) -> Column:
+    """First category whose upper bound is at or above the value; the last bound is taken as 1."""
     ordered = sorted(uppers, key=lambda u: u[0])
     ordered[-1] = (max(1.0, ordered[-1][0]), ordered[-1][1])
 
-    def branch(lo: int, hi: int) -> Column:
+    def branch(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(ordered[lo][1])
+            return sql_literal(ordered[lo][1])
         mid = (lo + hi) // 2
-        return F.when(x <= F.lit(ordered[mid][0]), branch(lo, mid)).otherwise(branch(mid + 1, hi))
+        return f"if(`{col}` <= {sql_literal(ordered[mid][0])}, {branch(lo, mid)}, {branch(mid + 1, hi)})"
 
-    return F.when(x <= F.lit(ordered[-1][0]), branch(0, len(ordered) - 1))
+    return F.expr(f"if(`{col}` <= {sql_literal(ordered[-1][0])}, {branch(0, len(ordered) - 1)}, null)")
 
 
 def decode_by_limits(df: DataFrame, limits: DataFrame, col: str, out: str, cells: int = 1024) -> DataFrame:

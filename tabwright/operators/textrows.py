@@ -28,23 +28,27 @@ def rows_to_text(df: DataFrame, target: str, out: str = "text", cols: list[str]
     return df.withColumn(out, F.concat_ws(SEPARATOR, head, *pairs))
 
 
-def parse_pairs(text: Column) -> Column:
-    """Map of key to raw value; the first occurrence of a key wins; null when nothing parses."""
-    clean = F.trim(text)
+def text_to_map(df: DataFrame, col: str, out: str = "pairs") -> DataFrame:
+    """Add a map of key to raw value; the first occurrence of a key wins; null when nothing parses.
+
+    Keys and values are extracted once into columns of their own, so the
+    first-occurrence filter compares positions instead of matching again.
+    """
+    clean = F.trim(q(col))
     at = F.instr(clean, CLASS_PREFIX)
     body = F.when(at > 0, F.substring(clean, at, F.length(clean))).otherwise(clean)
-    keys = F.regexp_extract_all(body, F.lit(PAIR_PATTERN), 1)
-    values = F.regexp_extract_all(body, F.lit(PAIR_PATTERN), 2)
-    entries = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")),
-                          lambda e, i: F.struct(e["k"].alias("k"), F.trim(e["v"]).alias("v"), i.alias("i")))
-    first = F.filter(entries, lambda e: (F.array_position(keys, e["k"]) == e["i"] + 1)
-                     & ~e["k"].startswith(CLASS_PREFIX))
-    found = F.map_from_entries(F.transform(first, lambda e: F.struct(e["k"], e["v"])))
-    return F.when(F.size(found) > 0, found)
-
-
-def text_to_map(df: DataFrame, col: str, out: str = "pairs") -> DataFrame:
-    return df.withColumn(out, parse_pairs(q(col)))
+    found = df.withColumn("_body", body).withColumns({
+        "_keys": F.regexp_extract_all("_body", F.lit(PAIR_PATTERN), 1),
+        "_values": F.regexp_extract_all("_body", F.lit(PAIR_PATTERN), 2)})
+    entries = F.transform(
+        F.array_distinct("_keys"),
+        lambda k: F.struct(k.alias("k"), F.trim(F.get("_values", F.array_position("_keys", k).cast("int") - 1)).alias("v")))
+    kept = F.filter(entries, lambda e: ~e["k"].startswith(CLASS_PREFIX))
+    parsed = found.withColumn("_map", F.map_from_entries(kept))
+    # a one-element explode is a boundary that filters on the map are not pushed
+    # through, so they never repeat the parse
+    whole = F.explode(F.array(F.when(F.size("_map") > 0, F.col("_map"))))
+    return parsed.select(*[q(c) for c in df.columns if c != out], whole.alias(out))
 
 
 def raw_text(value: Column) -> Column:
@@ -98,10 +102,6 @@ def defaults(contract: Contract, spark) -> DataFrame:
         [(c.name, str(default_value(c))) for c in contract.columns], "column string, value string")
 
 
-def _typed(dtype: str, x: Column) -> Column:
-    return x.cast(dtype)
-
-
 def _check_long_categories(df: DataFrame, raw: dict[str, Column], contract: Contract) -> tuple[DataFrame, dict]:
     """Resolve columns whose category list is too long to inline by a join with the level table."""
     known = {}
@@ -111,8 +111,8 @@ def _check_long_categories(df: DataFrame, raw: dict[str, Column], contract: Cont
         names = df.columns
         lookup = contract.levels.where(F.col("column") == c.name).select(
             F.col("value").alias(f"_lv{i}"), F.lit(True).alias(f"_in{i}"))
-        df = df.withColumn(f"_raw{i}", raw[c.name])
-        df = df.join(lookup, F.col(f"_raw{i}") == F.col(f"_lv{i}"), "left").select(*map(q, names), f"_in{i}")
+        df = df.withColumn(f"_cat{i}", raw[c.name])
+        df = df.join(lookup, F.col(f"_cat{i}") == F.col(f"_lv{i}"), "left").select(*map(q, names), f"_in{i}")
         known[c.name] = F.coalesce(F.col(f"_in{i}"), F.lit(False))
     return df, known
 
@@ -124,8 +124,13 @@ def coerce(df: DataFrame, contract: Contract, col: str = "pairs", label: Column
     Unparsable or missing values take the default when ``fill``; unseen
     categories take the mode; the target is forced to ``label`` when given.
     """
-    raw = {c.name: raw_text(q(col)[c.name]) for c in contract.columns}
+    df = df.withColumns({f"_raw_{i}": raw_text(q(col)[c.name]) for i, c in enumerate(contract.columns)})
+    raw = {c.name: F.col(f"_raw_{i}") for i, c in enumerate(contract.columns)}
     df, joined = _check_long_categories(df, raw, contract)
+    kept = df.columns
+    df = df.withColumns({
+        f"_num_{i}": number_or_null(raw[c.name]) for i, c in enumerate(contract.columns) if c.is_numeric})
+    numbers = {c.name: F.col(f"_num_{i}") for i, c in enumerate(contract.columns)}
     out = {}
     for c in contract.columns:
         if c.name == contract.target and label is not None:
@@ -133,8 +138,7 @@ def coerce(df: DataFrame, contract: Contract, col: str = "pairs", label: Column
             continue
         text = raw[c.name]
         if c.is_numeric:
-            value = coerce_number(number_or_null(text), c)
-            value = _typed(c.dtype, value)
+            value = coerce_number(numbers[c.name], c).cast(c.dtype)
         else:
             known = joined.get(c.name, _known(text, c))
             fallback = default_value(c)
@@ -142,7 +146,7 @@ def coerce(df: DataFrame, contract: Contract, col: str = "pairs", label: Column
         if fill:
             value = F.coalesce(value, F.lit(default_value(c)).cast(c.dtype))
         out[c.name] = value
-    keep = [n for n in df.columns if not n.startswith("_in") and n not in out]
+    keep = [n for n in kept if not n.startswith(("_in", "_raw_")) and n not in out]
     return df.select(*map(q, keep), *[v.alias(n) for n, v in out.items()])
 
 

@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.order import running_sums
-from tabwright.functions.rand import hash_uniform, interval_normal
+from tabwright.functions.order import running_sums, sql_literal
+from tabwright.functions.rand import hash_uniform, interval_normal, interval_probability
 from tabwright.operators import profile as P
 from tabwright.operators.recode import clip, q
 from tabwright.operators.relational import decode_by_limits, decode_case
@@ -182,50 +182,58 @@ def fit_unit_encoder(df: DataFrame, key: str, beta: bool = False) -> UnitEncoder
     return enc
 
 
-def _interval(df: DataFrame, enc: UnitEncoder, col: str) -> DataFrame:
-    """Add _lo/_hi of the interval owned by the value of ``col``."""
+def _cell(enc: UnitEncoder, col: str) -> Column:
+    """The level text of a value: nulls to their fill, whole numbers into the fitted range."""
     kind = enc.kinds[col]
     if kind == "nominal":
-        cell = F.coalesce(q(col).cast("string"), F.lit(MISSING))
-    elif kind == "ordinal":
-        cell = F.coalesce(q(col).cast("bigint"), F.lit(enc.fills.get(col)).cast("bigint"))
-        ends = enc.limits.where(F.col("column") == col).agg(
-            F.min(F.col("category").cast("bigint")), F.max(F.col("category").cast("bigint"))).first()
-        cell = F.greatest(F.least(cell, F.lit(ends[1])), F.lit(ends[0])).cast("string")
-    else:
-        text = q(col).cast("string")
-        cell = F.coalesce(text, F.lit(enc.fills.get(col)))
-    if enc.small is not None and len(enc.small[col]) <= INLINE_LEVELS:
-        rows = enc.small[col]
-        first = rows[0]
-        lo, hi = F.lit(first[1]), F.lit(first[2])
-        lo_cases = F.when(cell == F.lit(first[0]), lo)
-        hi_cases = F.when(cell == F.lit(first[0]), hi)
-        for cat, a, b in rows[1:]:
-            lo_cases = lo_cases.when(cell == F.lit(cat), F.lit(a))
-            hi_cases = hi_cases.when(cell == F.lit(cat), F.lit(b))
-        return df.withColumns({"_lo": lo_cases.otherwise(lo), "_hi": hi_cases.otherwise(hi)})
-    mine = enc.limits.where(F.col("column") == col)
-    first = mine.where("ord = 0").select("lower", "upper").first()
-    lookup = mine.select(F.col("category").alias("_c"), F.col("lower").alias("_lo"), F.col("upper").alias("_hi"))
-    if enc.small is not None:
-        lookup = F.broadcast(lookup)
-    return df.withColumn("_c", cell).join(lookup, "_c", "left").select(
-        *df.columns, F.coalesce("_lo", F.lit(first[0])).alias("_lo"), F.coalesce("_hi", F.lit(first[1])).alias("_hi"))
+        return F.coalesce(q(col).cast("string"), F.lit(MISSING))
+    if kind == "binary":
+        return F.coalesce(q(col).cast("string"), F.lit(enc.fills.get(col)))
+    ends = enc.limits.where(F.col("column") == col).agg(
+        F.min(F.col("category").cast("bigint")), F.max(F.col("category").cast("bigint"))).first()
+    whole = F.coalesce(q(col).cast("bigint"), F.lit(enc.fills.get(col)).cast("bigint"))
+    return F.greatest(F.least(whole, F.lit(ends[1])), F.lit(ends[0])).cast("string")
 
 
 def unit_encode(df: DataFrame, enc: UnitEncoder, seed: int, key: str) -> DataFrame:
-    """Encode every column of ``enc``; unseen levels go to the most common or nearest one."""
+    """Encode every column of ``enc``; unseen levels go to the most common or nearest one.
+
+    Interval ends are inlined for few levels and joined for many; the draws of
+    all columns then share one projection.
+    """
+    names = df.columns
+    drawn = [c for c in enc.cols if enc.kinds[c] in ("nominal", "ordinal") or (enc.kinds[c] == "binary" and not enc.beta)]
+    inline = [c for c in drawn if enc.small is not None and len(enc.small[c]) <= INLINE_LEVELS]
+    at = {c: i for i, c in enumerate(drawn)}
+    df = df.withColumns({f"_c{at[c]}": _cell(enc, c) for c in drawn})
+    ends = {}
+    for c in inline:
+        rows, i = enc.small[c], at[c]
+        for j, name in ((1, "_lo"), (2, "_hi")):
+            cases = " ".join(f"when {sql_literal(r[0])} then {sql_literal(r[j])}" for r in rows)
+            ends[f"{name}{i}"] = F.expr(f"case `_c{i}` {cases} else {sql_literal(rows[0][j])} end")
+    df = df.withColumns(ends | {
+        f"_p{at[c]}": interval_probability(hash_uniform(seed, f"unit/{c}", key)) for c in drawn})
+    for c in drawn:
+        if c in inline:
+            continue
+        i = at[c]
+        mine = enc.limits.where(F.col("column") == c)
+        first = mine.where("ord = 0").select("lower", "upper").first()
+        lookup = mine.select(F.col("category").alias(f"_c{i}"), F.col("lower").alias("_l"), F.col("upper").alias("_h"))
+        if enc.small is not None:
+            lookup = F.broadcast(lookup)
+        df = (df.join(lookup, f"_c{i}", "left")
+              .withColumns({f"_lo{i}": F.coalesce("_l", F.lit(first[0])), f"_hi{i}": F.coalesce("_h", F.lit(first[1]))})
+              .drop("_l", "_h"))
+    df = df.select(*[
+        interval_normal(F.col(f"_lo{at[n]}"), F.col(f"_hi{at[n]}"), F.col(f"_p{at[n]}")).alias(n) if n in at else q(n)
+        for n in names])
     for c in enc.cols:
-        kind = enc.kinds[c]
-        if kind == "numeric":
+        if enc.kinds[c] == "numeric":
             df = encode_numeric(df, c, enc.min_max[c], enc.fills.get(c) or 0.0)
-        elif kind == "binary" and enc.beta:
+        elif enc.kinds[c] == "binary" and enc.beta:
             df = encode_binary_beta(df, c, seed, key, float(enc.fills[c]))
-        else:
-            names = df.columns
-            drawn = interval_normal(F.col("_lo"), F.col("_hi"), hash_uniform(seed, f"unit/{c}", key))
-            df = _interval(df, enc, c).select(*[drawn.alias(c) if n == c else q(n) for n in names])
     return df
 
 
@@ -239,7 +247,7 @@ def unit_decode(df: DataFrame, enc: UnitEncoder) -> DataFrame:
             df = df.withColumn(c, F.lit(hi - lo) * q(c) + F.lit(lo))
             continue
         if enc.small is not None and len(enc.small[c]) <= 4 * INLINE_LEVELS:
-            cat = decode_case(q(c), [(hi, v) for v, _, hi in enc.small[c]])
+            cat = decode_case(c, [(hi, v) for v, _, hi in enc.small[c]])
         else:
             names = df.columns
             mine = enc.limits.where(F.col("column") == c)
