@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import datetime
+import json
 import math
 from dataclasses import dataclass
 
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.rand import hash_uniform
 
-SAMPLE_ROWS = 4096
-RANGE_BUCKETS = 96
-HASH_BUCKETS = 1024
+SAMPLE_ROWS = 8192
+RANGE_BUCKETS = 2048
+HASH_BUCKETS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -31,10 +31,9 @@ def split_points(df: DataFrame, keys: list[str]) -> Splits:
     )
     if len(picked) <= SAMPLE_ROWS:
         return Splits((), True)
-    picked.sort(key=lambda row: tuple((v is not None, v) for v in row))
-    step = len(picked) / RANGE_BUCKETS
-    points = dict.fromkeys(tuple(picked[int(i * step)]) for i in range(1, RANGE_BUCKETS))
-    return Splits(tuple(points), False)
+    rows = sorted({tuple(row) for row in picked if None not in tuple(row)})
+    width = max(1.0, len(rows) / RANGE_BUCKETS)
+    return Splits(tuple(rows[int(i * width)] for i in range(1, int(len(rows) / width))), False)
 
 
 def sql_literal(value) -> str:
@@ -47,35 +46,31 @@ def sql_literal(value) -> str:
         return f"{value}L"
     if isinstance(value, float):
         return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
-    if isinstance(value, datetime.datetime):
-        return f"timestamp_micros({round(value.timestamp() * 1e6)})"
     text = str(value).replace("\\", "\\\\").replace("'", "\\'")
     return f"'{text}'"
 
 
-def _before(keys: list[str], point: tuple) -> str:
-    """key < point, compared column by column; nulls sort first."""
-    out = "false"
-    for name, value in reversed(list(zip(keys, point))):
-        col = f"`{name}`"
-        if value is None:
-            out = f"({col} is null and {out})"
-        else:
-            rest = "" if out == "false" else f" or ({col} = {sql_literal(value)} and {out})"
-            out = f"({col} is null or {col} < {sql_literal(value)}{rest})"
-    return out
-
+def range_bucket(df: DataFrame, keys: list[str], splits: Splits) -> DataFrame:
+    """Add ``_b``, how many split points are at or below the key (nulls first).
 
-def range_bucket(keys: list[str], points: tuple) -> Column:
-    """How many split points are at or below the key (a balanced decision tree)."""
+    A binary search over constant arrays inside one expression; no row leaves the JVM.
+    """
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    arrays = [
+        F.from_json(F.lit(json.dumps([point[i] for point in splits.points], default=str)), f"array<{types[k]}>")
+        for i, k in enumerate(keys)]
+    top = len(splits.points).bit_length()
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(top))]) if top else F.array(F.lit(1))
 
-    def branch(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if({_before(keys, points[mid])}, {branch(lo, mid)}, {branch(mid + 1, hi)})"
+    def halve(found: Column, step: Column) -> Column:
+        at = found + step - F.lit(1)
+        reached = F.get(arrays[-1], at) <= F.col(f"`{keys[-1]}`")
+        for array, k in reversed(list(zip(arrays[:-1], keys[:-1]))):
+            point = F.get(array, at)
+            reached = (point < F.col(f"`{k}`")) | ((point == F.col(f"`{k}`")) & reached)
+        return F.when(reached, found + step).otherwise(found)
 
-    return F.expr(branch(0, len(points)))
+    return df.withColumn("_b", F.aggregate(steps, F.lit(0), halve))
 
 
 def running_sums(df: DataFrame, keys: list[str], sums: dict[str, str],
@@ -93,8 +88,7 @@ def running_sums(df: DataFrame, keys: list[str], sums: dict[str, str],
     if splits.whole:
         w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(src).over(w).alias(out) for out, src in sums.items()])
-    tagged = df.withColumn("_b", range_bucket(by + keys, splits.points)).withColumn(
-        "_g", F.struct(F.lit(0), *part))
+    tagged = range_bucket(df, by + keys, splits).withColumn("_g", F.struct(F.lit(0), *part))
     inside = (Window.partitionBy("_g", "_b").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
     earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

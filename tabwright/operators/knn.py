@@ -209,14 +209,17 @@ def knn_by_part(t: DataFrame, s: DataFrame, k: int, exclude_self: bool = False,
     else:
         found = _pruned_search(asks, base, wanted, need, chunk, id_type)
 
-    back = rows.join(asks, "vec").select(F.col("_id").alias("t_id"), "t")
-    out = back.join(found.select("t", "part", "s", "dist", "rank"), "t")
-    if not exclude_self:
-        return out.select("t_id", "part", F.col("s").alias("s_id"), "dist", "rank")
-    out = out.where(F.col("t_id") != F.col("s"))
-    w = Window.partitionBy("t_id", "part").orderBy("dist", "s")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "t_id", "part", F.col("s").alias("s_id"), "dist", "rank")
+    # one row per distinct vector carries its answers, so hot vectors join once
+    answers = found.groupBy("t").agg(F.collect_list(F.struct("part", "s", "dist", "rank")).alias("near"))
+    keyed = asks.join(answers, "t").select("vec", "near")
+    out = rows.join(keyed, "vec").select(F.col("_id").alias("t_id"), "near")
+    if exclude_self:
+        out = out.withColumn("near", F.expr(f"""
+            filter(transform(filter(near, x -> x.s <> t_id), x -> named_struct('part', x.part, 's', x.s, 'dist', x.dist,
+                   'rank', x.rank - if(exists(near, y -> y.part = x.part and y.s = t_id and y.rank < x.rank), 1, 0))),
+                   x -> x.rank <= {k})"""))
+    return out.select("t_id", F.explode("near").alias("n")).select(
+        "t_id", "n.part", F.col("n.s").alias("s_id"), "n.dist", "n.rank")
 
 
 def _pruned_search(asks: DataFrame, base: DataFrame, wanted: int, need: int, chunk: int,

@@ -224,7 +224,9 @@ def kde_curve(df: DataFrame, col: str, points: int = 64, by: str | None = None)
     stats = stats.select(*keep, F.col("n").alias("_n"), h.alias("_h"), start.alias("_start"), step.alias("_step"))
     weighted = rows.groupBy(*keep, "x").agg(F.count(F.lit(1)).alias("w"))
     if keep:
-        joined = weighted.join(stats, keep)
+        few = bounded_rows(stats, INLINE_LEVELS)
+        known = F.broadcast(df.sparkSession.createDataFrame(few, stats.schema)) if few is not None else stats
+        joined = weighted.join(known, keep)
     else:
         joined = weighted.withColumns({c: F.lit(v) for c, v in stats.first().asDict().items()})
     grid = joined.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))

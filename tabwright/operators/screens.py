@@ -10,6 +10,7 @@ from tabwright.operators import profile as P
 from tabwright.operators import scoring
 from tabwright.operators.models import _weights, assembled, random_forest, score_table
 from tabwright.operators.recode import q
+from tabwright.session import materialize
 
 
 def anova_f(df: DataFrame, cols: list[str], y: str) -> DataFrame:
@@ -66,6 +67,7 @@ def boruta(df: DataFrame, cols: list[str], y: str, key: str, rounds: int = 5, tr
            depth: int = 5, seed: int = 42) -> DataFrame:
     """Rounds in which each feature beats the best shuffled shadow feature; confirmed when in most."""
     hits = dict.fromkeys(cols, 0)
+    df = materialize(df.select(key, y, *map(q, cols)))
     for r in range(rounds):
         wide = shuffled_columns(df.select(key, y, *map(q, cols)), cols, key, seed + r, "shadow_")
         names = cols + [f"shadow_{c}" for c in cols]
@@ -79,6 +81,7 @@ def boruta(df: DataFrame, cols: list[str], y: str, key: str, rounds: int = 5, tr
 
 def permutation_importance(model, df: DataFrame, cols: list[str], y: str, key: str, seed: int = 42) -> DataFrame:
     """Drop in ROC AUC when one column is shuffled, for every column."""
+    df = materialize(df.select(key, y, *map(q, cols)))
     base = scoring.roc_auc(score_table(model, assembled(df, cols, y))).first()["auc"]
     rows = []
     for c in cols:

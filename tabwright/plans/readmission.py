@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tabwright.operators import models, scoring
 from tabwright.operators.categorical import encode_categoricals, label_encode
@@ -17,6 +18,7 @@ from tabwright.operators.recode import (
 from tabwright.operators.relational import keep_best
 from tabwright.operators.sample import stratified_split
 from tabwright.operators.scale import apply_fill, fit_fill, fit_standard, impute, normalize, standardize
+from tabwright.session import materialize
 from tabwright.sources.state import log_metrics
 from tabwright.sources.tables import assign_types, read_table, write_table
 
@@ -103,6 +105,7 @@ def run_experiment(df: DataFrame, cfg: Experiment, test_df: DataFrame | None = N
     cols = [c for c in features_target(df, cfg.target)[0] if c != cfg.key]
     cols = [c for c in cols if c in numeric_cols(df)]
     if test_df is None:
+        df = materialize(df)
         tagged = stratified_split(df, cfg.target, cfg.test, cfg.seed, cfg.key)
         train, test = (tagged.where(F.col("is_test") == i).drop("is_test") for i in (0, 1))
     else:
@@ -115,8 +118,9 @@ def run_experiment(df: DataFrame, cfg: Experiment, test_df: DataFrame | None = N
         train, test = scaler(train, cols, fitted), scaler(test, cols, fitted)
     if cfg.select:
         cols, _ = models.rfecv(cfg.model, train, cols, cfg.target, cfg.key, cfg.step, cfg.cv)
-    ready = {n: models.assembled(t, cols, cfg.target) for n, t in (("train", train), ("test", test))}
-    model = _estimator(cfg, train.count(), len(cols)).fit(ready["train"])
+    ready = {n: models.assembled(t, cols, cfg.target).persist(StorageLevel.MEMORY_AND_DISK)
+             for n, t in (("train", train), ("test", test))}
+    model = _estimator(cfg, ready["train"].count(), len(cols)).fit(ready["train"])
     out = None
     for name, data in ready.items():
         row = scoring.metric_row(models.score_table(model, data), cfg.threshold).select(
