@@ -70,7 +70,10 @@ def range_bucket(df: DataFrame, keys: list[str], splits: Splits) -> DataFrame:
             reached = (point < F.col(f"`{k}`")) | ((point == F.col(f"`{k}`")) & reached)
         return F.when(reached, found + step).otherwise(found)
 
-    return df.withColumn("_b", F.aggregate(steps, F.lit(0), halve))
+    # never null, and behind a one-element explode, so that no filter or
+    # constraint on the bucket is rewritten in terms of the search
+    found = F.coalesce(F.aggregate(steps, F.lit(0), halve), F.lit(0))
+    return df.select("*", F.explode(F.array(found)).alias("_b"))
 
 
 def running_sums(df: DataFrame, keys: list[str], sums: dict[str, str],

@@ -30,7 +30,8 @@ def hash_uniform(seed: int, salt: str, *key: Column | str) -> Column:
     cols = [F.col(k) if isinstance(k, str) else k for k in key]
     text = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), *[c.cast("string") for c in cols])
     word = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return (word + F.lit(0.5)) / F.lit(4294967296.0)
+    # md5 text always parses; the coalesce only tells the optimizer so
+    return (F.coalesce(word, F.lit(0).cast("bigint")) + F.lit(0.5)) / F.lit(4294967296.0)
 
 
 def hash_index(size: Column, seed: int, salt: str, *key: Column | str) -> Column:
