@@ -67,6 +67,10 @@ def decode_case(col: str, uppers: list[tuple[float, object]]) -> Column:
     return F.expr(f"if(`{col}` <= {sql_literal(ordered[-1][0])}, {branch(0, len(ordered) - 1)}, null)")
 
 
+def _grid_cell(x: Column, cells: int) -> Column:
+    return F.greatest(F.least(F.floor(x * cells), F.lit(cells - 1)), F.lit(0)).cast("bigint")
+
+
 def decode_by_limits(df: DataFrame, limits: DataFrame, col: str, out: str, cells: int = 1024) -> DataFrame:
     """Interval lookup against ``limits(lower, upper, category)`` with lower < x <= upper.
 
@@ -81,9 +85,8 @@ def decode_by_limits(df: DataFrame, limits: DataFrame, col: str, out: str, cells
         F.when(F.col("upper") == F.lit(top), F.greatest(F.col("upper"), F.lit(1.0)))
         .otherwise(F.col("upper")).alias("_hi"),
         F.col("category").alias(out),
-        F.explode(F.sequence(F.floor(F.greatest(F.col("lower"), F.lit(0.0)) * cells),
-                             F.floor(F.least(F.col("upper"), F.lit(1.0)) * cells))).alias("_cell"))
-    cell = F.floor(F.greatest(F.least(F.col(col), F.lit(1.0)), F.lit(0.0)) * cells)
+        F.explode(F.sequence(_grid_cell(F.col("lower"), cells), _grid_cell(F.col("upper"), cells))).alias("_cell"))
+    cell = _grid_cell(F.col(col), cells)
     joined = df.withColumn("_cell", cell).alias("d").join(
         edge.alias("e"),
         (F.col("d._cell") == F.col("e._cell")) & (F.col(f"d.{col}") > F.col("e._lo"))
