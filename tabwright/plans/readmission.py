@@ -35,7 +35,8 @@ def engineer_v2(df: DataFrame, target: str = "readmitted", cat_cols: list[str] |
                 drop_ids: bool = True) -> DataFrame:
     """One encounter per patient, recodes and groups, fills, label codes, binary target."""
     if {"patient_nbr", "time_in_hospital"} <= set(df.columns):
-        df = keep_best(df, "patient_nbr", "time_in_hospital", "encounter_id")
+        # the fits below read the deduplicated table several times
+        df = materialize(keep_best(df, "patient_nbr", "time_in_hospital", "encounter_id"))
     if drop_ids:
         df = drop_cols(df, ["patient_nbr", "race"])
     df = recode(df, "age", AGE_LEVELS)
