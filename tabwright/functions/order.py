@@ -113,6 +113,11 @@ def _group(by: list[str]) -> Column:
     return F.struct(F.lit(0), *[F.col(c) for c in by])
 
 
+def _hash_bucket() -> Column:
+    # declared non-null, else joins on it add a filter that repeats the hash
+    return F.coalesce(F.floor(F.col("_u") * HASH_BUCKETS), F.lit(0).cast("bigint"))
+
+
 def hash_rank(df: DataFrame, seed: int, salt: str, key: str, by: list[str] | None = None,
               out: str = "rank") -> DataFrame:
     """1-based position per group in hash order (unique ``key`` breaks ties).
@@ -123,7 +128,7 @@ def hash_rank(df: DataFrame, seed: int, salt: str, key: str, by: list[str] | Non
     by = by or []
     tagged = (
         df.withColumn("_u", hash_uniform(seed, salt, key)).withColumn("_g", _group(by))
-        .withColumn("_b", F.floor(F.col("_u") * HASH_BUCKETS))
+        .withColumn("_b", _hash_bucket())
     )
     earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = tagged.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -149,7 +154,7 @@ def hash_flag(df: DataFrame, quotas: list[tuple], seed: int, salt: str, key: str
     want = df.sparkSession.createDataFrame(rows, schema).select(_group(by).alias("_g"), "_quota")
     keyed = df.select(_group(by).alias("_g"), F.col(key).alias("_k"),
                       hash_uniform(seed, salt, key).alias("_u"))
-    keyed = keyed.withColumn("_b", F.floor(F.col("_u") * HASH_BUCKETS))
+    keyed = keyed.withColumn("_b", _hash_bucket())
     upto = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     heads = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
     heads = heads.withColumn("_run", F.sum("_n").over(upto))

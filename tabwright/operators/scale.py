@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.operators import profile as P
+from tabwright.operators.categorical import one_hot_vector
 from tabwright.operators.recode import q
 from tabwright.session import materialize
 
@@ -104,32 +105,44 @@ def _complete_predictors(df: DataFrame, col: str, key: str) -> list[str]:
     return [c for c in others if not got[c]]
 
 
-def _design(df: DataFrame, col: str, key: str, limit: int = 500) -> tuple[DataFrame, list[str]]:
-    """Numeric design of the usable predictors: numbers as they are, text levels one-hot."""
+def _usable(df: DataFrame, col: str, key: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Rows complete in the usable predictors, and the numeric and text ones among them."""
     use = _complete_predictors(df, col, key)
-    nums = [c for c in use if c in P.numeric_cols(df)]
-    texts = [c for c in use if c in P.text_cols(df)]
+    keep = F.lit(True)
+    for c in use:
+        keep = keep & q(c).isNotNull()
+    numeric, text = P.numeric_cols(df), P.text_cols(df)
+    return df.where(keep), [c for c in use if c in numeric], [c for c in use if c in text]
+
+
+def _dense_design(df: DataFrame, col: str, key: str, limit: int = 500) -> tuple[DataFrame, list[str]]:
+    """Dense numeric design for distances: numbers as they are, text levels one-hot."""
+    rows, nums, texts = _usable(df, col, key)
     levels = P.bounded_levels(df, texts, limit) if texts else {}
     if levels is None:
-        sizes = {r["column"]: r["n_unique"] for r in P.distinct_counts(df, texts).collect()}
-        texts = [c for c in texts if sizes[c] <= limit // max(len(texts), 1)]
-        levels = P.bounded_levels(df, texts, limit) if texts else {}
+        raise ValueError(f"more than {limit} text levels among the predictors of '{col}'; name the features to use")
     cols = {f"x{i}": q(c).cast("double") for i, c in enumerate(nums)}
     for c in texts:
         for v in levels[c]:
             cols[f"x{len(cols)}"] = (q(c) == F.lit(v)).cast("double")
-    names = list(cols)
-    keep = F.lit(True)
-    for c in use:
-        keep = keep & q(c).isNotNull()
-    return df.where(keep).select(key, q(col).alias("_y"), *[e.alias(n) for n, e in cols.items()]), names
+    return rows.select(key, q(col).alias("_y"), *[e.alias(n) for n, e in cols.items()]), list(cols)
 
 
 def impute_regress(df: DataFrame, col: str, key: str) -> DataFrame:
-    """Fill a numeric column from a linear regression on the columns complete where it is missing."""
-    design, names = _design(df, col, key)
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(design)
-    model = LinearRegression(labelCol="_y", solver="normal").fit(ready.where("_y is not null"))
+    """Fill a numeric column from a linear regression on the columns complete where it is missing.
+
+    Text predictors enter as sparse one-hot vectors, whatever their number of levels.
+    """
+    rows, nums, texts = _usable(df, col, key)
+    rows = rows.select(key, q(col).cast("double").alias("_y"), *[q(c).cast("double").alias(f"_n{i}") for i, c in enumerate(nums)],
+                       *[q(c).alias(f"_t{i}") for i, c in enumerate(texts)])
+    inputs = [f"_n{i}" for i in range(len(nums))]
+    if texts:
+        names = [f"_t{i}" for i in range(len(texts))]
+        rows = one_hot_vector(rows, names, drop_first=False)
+        inputs += [f"{n}_vec" for n in names]
+    ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select(key, "_y", "features")
+    model = LinearRegression(labelCol="_y").fit(ready.where("_y is not null"))
     guess = model.transform(ready.where("_y is null")).select(key, F.col("prediction").alias("_g"))
     return df.join(guess, key, "left").select(
         *[F.coalesce(q(c), F.col("_g")).alias(c) if c == col else q(c) for c in df.columns])
@@ -143,7 +156,7 @@ def impute_knn(df: DataFrame, col: str, key: str, k: int = 3, features: list[str
         design = df.select(key, q(col).alias("_y"), *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
         names = [f"x{i}" for i in range(len(features))]
     else:
-        design, names = _design(df, col, key)
+        design, names = _dense_design(df, col, key)
     vec = design.select(F.col(key).alias("id"), "_y", F.array(*names).alias("vec"))
     known = vec.where("_y is not null")
     near = knn(vec.where("_y is null").select("id", "vec"), known.select("id", "vec"), k)

@@ -71,6 +71,7 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="0.01")
     parser.add_argument("--plan", action="store_true")
+    parser.add_argument("--sql", action="store_true", help="only queries with a SQL counterpart")
     args = parser.parse_args()
     import __spark_entry__ as entry
     from tabwright.session import local_session
@@ -79,7 +80,7 @@ def main() -> int:
     folder = f"/root/testdata/sf{args.sf}"
     oracles, bad = entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
-        if args.names and not any(n in name for n in args.names):
+        if args.names and not any(n in name for n in args.names) or args.sql and name not in oracles:
             continue
         start = time.time()
         try:

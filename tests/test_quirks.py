@@ -311,3 +311,12 @@ def test_no_cross_joins_and_partial_limits(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, vec array<double>")
     got = plan(knn.knn(v, v, 1, exclude_self=True))
     assert "CartesianProduct" not in got and "NestedLoop" not in got
+
+
+def test_regression_imputation_uses_text_levels(spark):
+    rows = [(i, "abc"[i % 3], float(i % 7), None if i % 10 == 0 else {"a": 1.0, "b": 5.0, "c": 9.0}["abc"[i % 3]] + 2 * (i % 7))
+            for i in range(210)]
+    df = spark.createDataFrame(rows, "id long, k string, x double, y double")
+    got = scale.impute_regress(df, "y", "id").where(F.col("id") % 10 == 0)
+    for r in got.collect():
+        assert r["y"] == pytest.approx({"a": 1.0, "b": 5.0, "c": 9.0}[r["k"]] + 2 * r["x"], abs=1e-3)
