@@ -13,9 +13,146 @@ def _op5(t):
     return near_duplicates(t("documents"), width=4, max_bits=4)
 
 
-@query("op10_benchmark_decontamination")
+WINDOWS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+at AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, w[i + 1:i + 10] AS win FROM at),
+sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
+places AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT DISTINCT doc_id, i, n, item_id FROM places JOIN wins ON places.w[places.i + 1:places.i + places.n] = wins.win),
+words AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS k FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items,
+                 string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
+
+
+@query("op10_benchmark_decontamination", WINDOWS_SQL)
 def _op10(t):
     from .decontamination import contamination
     found = contamination(t("documents"), t("benchmark"), window=10)
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+@query("op1_packing")
+def _op1(t):
+    import public_tokenizers
+
+    from .packing import pack
+    return pack(t("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=0)
+
+
+@query("op8_quality_classifier")
+def _op8(t):
+    from .quality_model import classify_quality
+    return classify_quality(t("documents"), threshold=0.5, train_rows=20_000)
+
+
+@query("op2_token_counts")
+def _op2(t):
+    import public_tokenizers
+
+    from .token_counts import scrubbed_counts
+    return scrubbed_counts(t("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op3_lm_scoring")
+def _op3(t):
+    from .lm_scoring import fit_network, score_texts
+    docs = t("documents")
+    return score_texts(docs, *fit_network(docs, rounds=2))
+
+
+@query("op4_toxicity")
+def _op4(t):
+    from .toxicity import score_toxicity
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    scored, _ = score_toxicity(t("documents"), t("labels").filter(~held_out), label="toxic", train_rows=20_000)
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted, "label_posterior")
+
+
+LINES_SQL = """
+WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (SELECT doc_id, source, unnest(list_distinct(list_filter(list_transform(lines, x -> trim(x)), x -> x <> ''))) AS line FROM d),
+pages AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+common AS (SELECT e.source, e.line FROM each e JOIN pages p ON e.source IS NOT DISTINCT FROM p.source
+           GROUP BY e.source, e.line, p.n HAVING count(*) >= 5 AND count(*) > CAST(0.05 AS DOUBLE) * p.n),
+listed AS (SELECT source, list(line) AS bad FROM common GROUP BY source),
+k AS (SELECT d.*, list_filter(lines, x -> NOT list_contains(coalesce(bad, CAST([] AS VARCHAR[])), trim(x))) AS kept
+      FROM d LEFT JOIN listed l ON d.source IS NOT DISTINCT FROM l.source),
+u AS (SELECT *, len(list_filter(kept, x -> trim(x) <> '')) = 0 AS whole FROM k)
+SELECT doc_id, CASE WHEN whole THEN text ELSE array_to_string(kept, chr(10)) END AS text,
+       CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines,
+       CASE WHEN whole THEN 0 ELSE len(lines) - len(kept) END AS n_dropped FROM u"""
+
+
+@query("op6_line_dedup", LINES_SQL)
+def _op6(t):
+    from .line_dedup import line_dedup
+    return line_dedup(t("documents"), "source", "text", ratio=0.05, min_pages=5).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def _licences_sql() -> str:
+    from . import licences
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def canonical(x: str) -> str:
+        x = f"regexp_replace(lower({x}), {quoted(licences.COPYRIGHT_LINE.replace(chr(92) + 'n', chr(10)))}, chr(10), 'g')"
+        for other, usual in licences.SPELLINGS:
+            x = f"regexp_replace({x}, {quoted(other)}, {quoted(usual)}, 'g')"
+        return f"trim(regexp_replace(translate({x}, {quoted(licences.MARKS)}, {quoted(' ' * len(licences.MARKS))}), {quoted(licences.PUNCTUATION)}, ' ', 'g'))"
+
+    rows = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licences.known_texts())
+    return f"""
+WITH known AS (SELECT DISTINCT licence, {canonical('t')} AS part FROM (VALUES {rows}) AS v(licence, t)),
+units AS (SELECT doc_id, TRUE AS whole, text AS part FROM documents WHERE text IS NOT NULL
+          UNION ALL SELECT doc_id, FALSE, unnest(list_distinct(string_split(text, chr(10)))) FROM documents WHERE text IS NOT NULL),
+found AS (SELECT u.doc_id, u.whole, k.licence FROM (SELECT doc_id, whole, {canonical('part')} AS part FROM units) u JOIN known k ON u.part = k.part AND u.part <> '')
+SELECT d.doc_id, min(CASE WHEN f.whole THEN f.licence END) AS licence,
+       coalesce(string_agg(DISTINCT CASE WHEN NOT f.whole THEN f.licence END, ',' ORDER BY CASE WHEN NOT f.whole THEN f.licence END), '') AS notices
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+
+
+@query("op7_licence_scan", _licences_sql())
+def _op7(t):
+    from .licences import scan_licences
+    return scan_licences(t("documents")).select("doc_id", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+HOSTS_SQL = r"""
+WITH b AS (SELECT doc_id, source, coalesce(text, '') AS t,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+at AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM b),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM at),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM b),
+c AS (SELECT b.doc_id, b.source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words
+      FROM b JOIN l ON b.doc_id = l.doc_id LEFT JOIN covered v ON b.doc_id = v.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS pages, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS failed FROM f GROUP BY source),
+m AS (SELECT avg(failed / pages) AS mean, avg((failed / pages) * (failed / pages)) AS square, avg(1 / pages) AS chance FROM h),
+s AS (SELECT mean, mean * (1 - mean) AS spread, square - mean * mean - mean * (1 - mean) * chance AS remainder FROM m),
+p AS (SELECT least(1 - 1e-6, greatest(1e-6, mean)) AS mean,
+             CASE WHEN remainder > 0 THEN least(10000, greatest(1, spread / remainder - 1)) ELSE 10000 END AS weight FROM s)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (h.failed + p.mean * p.weight) / (h.pages + p.weight) <= 0.5 AS kept,
+       round((h.failed + p.mean * p.weight) / (h.pages + p.weight), 6) + 0 AS host_rate
+FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p"""
+
+
+@query("op9_quality_rules", HOSTS_SQL)
+def _op9(t):
+    from .quality_rules import host_rules
+    found = host_rules(t("documents"), host="source", min_words=50, max_repeat_percent=50, max_host_rate=0.5)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "kept", (F.round("host_rate", 6) + 0.0).alias("host_rate"))
