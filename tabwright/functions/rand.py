@@ -26,12 +26,12 @@ BELOW_3_SIGMA = 0.0013498980316300933
 
 
 def hash_uniform(seed: int, salt: str, *key: Column | str) -> Column:
-    """Uniform draw in (0, 1): the first 32 bits of an md5, centred in their cell."""
+    """Uniform draw in (0, 1): the first 52 bits of an md5, centred in their cell."""
     cols = [F.col(k) if isinstance(k, str) else k for k in key]
     text = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), *[c.cast("string") for c in cols])
-    word = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    word = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
     # md5 text always parses; the coalesce only tells the optimizer so
-    return (F.coalesce(word, F.lit(0).cast("bigint")) + F.lit(0.5)) / F.lit(4294967296.0)
+    return (F.coalesce(word, F.lit(0).cast("bigint")) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def hash_index(size: Column, seed: int, salt: str, *key: Column | str) -> Column:

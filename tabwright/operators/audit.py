@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from tabwright.operators.recode import q
 from tabwright.operators.sample import shards
 from tabwright.session import materialize
 
+TIE = 1e-9  # distances this close count as equal
+
 # ---------------------------------------------------------------- nearest-neighbour audits
 
 
@@ -96,7 +99,8 @@ def identifiability(real: DataFrame, synthetic: DataFrame, cols: list[str], key:
     per = near.groupBy("t_id").agg(
         F.max(F.when(F.col("part") == "real", F.col("dist"))).alias("own"),
         F.max(F.when(F.col("part") == "synthetic", F.col("dist"))).alias("fake"))
-    return per.agg(F.avg((F.col("fake") < F.col("own")).cast("double")).alias("identifiability"),
+    nearer = F.col("fake") < F.col("own") - F.lit(TIE)
+    return per.agg(F.avg(nearer.cast("double")).alias("identifiability"),
                    F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -116,8 +120,9 @@ def wasserstein_1(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     run = running_sums(counts, ["value"], {"run_a": "n_a", "run_b": "n_b"}, by=["column"])
     size = counts.groupBy("column").agg(F.sum("n_a").alias("t_a"), F.sum("n_b").alias("t_b"))
     both = run.join(F.broadcast(size), "column")
-    after = F.abs(F.col("run_a") / F.col("t_a") - F.col("run_b") / F.col("t_b"))
-    before = F.abs((F.col("run_a") - F.col("n_a")) / F.col("t_a") - (F.col("run_b") - F.col("n_b")) / F.col("t_b"))
+    t_a, t_b = (F.when(F.col(c) > 0, F.col(c)) for c in ("t_a", "t_b"))  # without values in one table there is no distance: null
+    after = F.abs(F.col("run_a") / t_a - F.col("run_b") / t_b)
+    before = F.abs((F.col("run_a") - F.col("n_a")) / t_a - (F.col("run_b") - F.col("n_b")) / t_b)
     # sum of gap * height = sum of value * (height before - height after)
     return both.groupBy("column").agg(F.sum(F.col("value") * (before - after)).alias("wasserstein"))
 
@@ -125,49 +130,55 @@ def wasserstein_1(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- linear utility
 
 
-EXPRESSION_COLUMNS = 12
-
-
 def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, means and population covariance from one pass per table.
+    """Row count, means and population covariance of the rows that have a number in every column.
 
-    Few columns use aggregate expressions; wide tables sum centred outer
-    products per Arrow batch, one p x p block per task.
+    Two passes: means, then centred outer products, summed per Arrow batch; each
+    task sends one p x p block, and Spark adds the blocks row by row.
     """
-    x = [q(c).cast("double") for c in cols]
-    means = P.wide_agg(df, {c: F.avg(e) for c, e in zip(cols, x)})
-    mu = np.array([means[c] for c in cols])
     p = len(cols)
-    cov = np.zeros((p, p))
-    if p <= EXPRESSION_COLUMNS:
-        pairs = {(i, j): F.covar_pop(x[i], x[j]) for i in range(p) for j in range(i, p)}
-        got = P.wide_agg(df, pairs | {"n": F.count(F.lit(1))})
-        n = got.pop("n")
-        for (i, j), v in got.items():
-            cov[i, j] = cov[j, i] = v
-        return n, mu, cov
+    x = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    whole = reduce(lambda a, b: a & b, [q(f"x{i}").isNotNull() & ~F.isnan(q(f"x{i}")) for i in range(p)])
+    x = x.where(whole)
+    means = P.wide_agg(x, {i: F.avg(f"x{i}") for i in range(p)} | {"n": F.count(F.lit(1))})
+    n = means.pop("n")
+    if not n:
+        return 0, np.zeros(p), np.zeros((p, p))
+    mu = np.array([means[i] for i in range(p)])
     shift = df.sparkSession.sparkContext.broadcast(mu)
 
     def block(batches):
-        total, n = np.zeros((p, p)), 0
+        total = np.zeros((p, p))
         for pdf in batches:
             z = pdf.to_numpy(dtype="float64") - shift.value
             total += z.T @ z
-            n += len(z)
-        yield pd.DataFrame({"n": [n], "s": [total.ravel().tolist()]})
-
-    parts = df.select(*[e.alias(f"x{i}") for i, e in enumerate(x)]).mapInPandas(block, "n bigint, s array<double>")
-    rows = (parts.select("n", F.posexplode("s").alias("pos", "v"))
-            .groupBy("pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect())
-    for r in rows:
-        cov[r["pos"] // p, r["pos"] % p] = r["v"] / r["n"]
-    return rows[0]["n"], mu, cov
+        yield pd.DataFrame({"i": range(p), "s": total.tolist()})
 
-
-def _solve(cov: np.ndarray, mu: np.ndarray, i: int) -> tuple[np.ndarray, float]:
-    rest = [j for j in range(len(mu)) if j != i]
-    beta = np.linalg.lstsq(cov[np.ix_(rest, rest)], cov[rest, i], rcond=1e-12)[0]
-    return beta, mu[i] - mu[rest] @ beta
+    parts = x.mapInPandas(block, "i int, s array<double>")
+    cells = parts.select("i", F.posexplode("s").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    cov = np.zeros((p, p))
+    for r in cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v")))["v"].alias("v")).collect():
+        cov[r["i"]] = r["v"]
+    return n, mu, cov / n
+
+
+def _regressions(cov: np.ndarray, mu: np.ndarray) -> list[tuple[np.ndarray, float]]:
+    """Coefficients and intercept of every column on all others: one inverse if the matrix has one, else one solve each."""
+    p, out = len(mu), []
+    scale = np.sqrt(np.diag(cov))
+    inverse = None
+    if p > 1 and (scale > 0).all():
+        unit = cov / np.outer(scale, scale)
+        if np.linalg.cond(unit) < 1e8:
+            inverse = np.linalg.inv(unit) / np.outer(scale, scale)
+    for i in range(p):
+        rest = [j for j in range(p) if j != i]
+        if inverse is not None:
+            beta = -inverse[i, rest] / inverse[i, i]
+        else:
+            beta = np.linalg.lstsq(cov[np.ix_(rest, rest)], cov[rest, i], rcond=1e-12)[0]
+        out.append((beta, mu[i] - mu[rest] @ beta))
+    return out
 
 
 def _r2(beta: np.ndarray, intercept: float, cov: np.ndarray, mu: np.ndarray, i: int) -> float | None:
@@ -191,8 +202,7 @@ def utility_r2(train: DataFrame, test_a: DataFrame, test_b: DataFrame | None = N
     _, mu, cov = moments(train, cols)
     tests = [moments(t, cols) for t in (test_a, test_b) if t is not None]
     rows = []
-    for i, c in enumerate(cols):
-        beta, intercept = _solve(cov, mu, i)
+    for i, (c, (beta, intercept)) in enumerate(zip(cols, _regressions(cov, mu))):
         scores = [_r2(beta, intercept, tc, tm, i) for _, tm, tc in tests]
         rows.append((c, *scores, *[None] * (2 - len(scores))))
     return train.sparkSession.createDataFrame(rows, "column string, r2_a double, r2_b double")

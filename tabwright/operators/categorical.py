@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,9 @@ class LabelFit:
 
 
 def _family(df: DataFrame, col: str, order: str) -> str:
-    return "double" if order == "native" and col in P.numeric_cols(df) else "string"
+    if order != "native" or col not in P.numeric_cols(df):
+        return "string"
+    return "bigint" if df.schema[col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "double"
 
 
 def _cell(col: str, family: str, order: str) -> Column:
@@ -39,9 +42,11 @@ def fit_labels(df: DataFrame, cols: list[str], order: str = "string") -> LabelFi
     """Rank of each sorted distinct level, from 0. ``order`` sorts as text or by native type."""
     if order not in ("string", "native"):
         raise ValueError("order must be 'string' or 'native'")
+    if not cols:
+        return LabelFit({}, {}, df.sparkSession.createDataFrame([], "column string, value string, number double, code bigint"))
     families = {c: _family(df, c, order) for c in cols}
     tables = []
-    for family in ("string", "double"):
+    for family in ("string", "double", "bigint"):
         chosen = [c for c in cols if families[c] == family]
         if chosen:
             ready = df.select(*[_cell(c, family, order).alias(c) for c in chosen])
@@ -50,13 +55,14 @@ def fit_labels(df: DataFrame, cols: list[str], order: str = "string") -> LabelFi
                                         F.col("value").cast("double").alias("number") if family == "double"
                                         else F.lit(None).cast("double").alias("number"),
                                         (F.col("code") - 1).alias("code")))
-    table = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    table = reduce(DataFrame.unionByName, tables)
     rows = bounded_rows(table, BROADCAST_ROWS)
     small = None
     if rows is not None:
         small = {c: {} for c in cols}
         for r in rows:
-            small[r["column"]][r["number"] if families[r["column"]] == "double" else r["value"]] = r["code"]
+            family = families[r["column"]]
+            small[r["column"]][r["number"] if family == "double" else int(r["value"]) if family == "bigint" else r["value"]] = r["code"]
     return LabelFit(families, small, table)
 
 
@@ -74,7 +80,7 @@ def apply_labels(df: DataFrame, fit: LabelFit, order: str = "string") -> DataFra
             lookup = F.broadcast(spark.createDataFrame(
                 [(v, k) for v, k in fit.small[c].items()], f"_v {family}, _k bigint"))
         else:
-            value = F.col("number") if family == "double" else F.col("value")
+            value = F.col("number") if family == "double" else F.col("value").cast(family)
             lookup = fit.table.where(F.col("column") == c).select(value.alias("_v"), F.col("code").alias("_k"))
         df = (df.withColumn("_v", cell).join(lookup, "_v", "left")
               .select(*[F.col("_k").alias(n) if n == c else q(n) for n in names]))

@@ -99,7 +99,7 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
         F.count("value").alias("n_unique"), F.max(F.col("value").isNull().cast("int")).alias("has_null"))
 
 
-def zero_variance(df: DataFrame, approx: bool = False) -> DataFrame:
+def zero_variance(df: DataFrame) -> DataFrame:
     """Columns with at most one level, null counting as a level.
 
     min = max decides it in one pass with no distinct count.
@@ -217,7 +217,7 @@ def kde_curve(df: DataFrame, col: str, points: int = 64, by: str | None = None)
     rows = df.where(q(col).isNotNull()).select(*keep, q(col).cast("double").alias("x"))
     stats = rows.groupBy(*keep).agg(
         F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
+    h = F.when(F.col("sd") > 0, F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))  # a constant column has no curve: null
     span = F.col("hi") - F.col("lo")
     start = F.col("lo") - span * 0.5
     step = span * 2.0 / (points - 1)
@@ -239,10 +239,10 @@ def kde_curve(df: DataFrame, col: str, points: int = 64, by: str | None = None)
 
 
 def value_shares(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
-    """Shares of every text level of every column in two tables, side by side; absent is 0."""
+    """Shares of every text level of every column in two tables, side by side; null is the level ``nan``, absent is 0."""
     tagged = stack_values(a, cols, "string").withColumn("_a", F.lit(1)).unionByName(
         stack_values(b, cols, "string").withColumn("_a", F.lit(0)))
-    counts = tagged.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+    counts = tagged.groupBy("column", F.coalesce("value", F.lit("nan")).alias("value")).agg(
         F.sum("_a").alias("n_a"), F.sum(1 - F.col("_a")).alias("n_b"))
     totals = counts.groupBy("column").agg(F.sum("n_a").alias("t_a"), F.sum("n_b").alias("t_b"))
     return counts.join(F.broadcast(totals), "column").select(
@@ -283,14 +283,21 @@ class Contract:
         return [c.name for c in self.columns]
 
     def table(self, spark) -> DataFrame:
-        """The contract as a frame with one row per column."""
+        """The contract as a frame with one row per column, every category included."""
         rows = [(c.name, c.dtype, c.is_numeric, c.min, c.max, c.integer_coded, c.support, c.categories,
                  None if c.mode is None else str(c.mode), c.n_levels)
                 for c in self.columns]
-        return spark.createDataFrame(
+        table = spark.createDataFrame(
             rows, "column string, dtype string, is_numeric boolean, min double, max double, "
                   "integer_coded boolean, support array<double>, categories array<string>, "
                   "mode string, n_levels bigint")
+        long = [c.name for c in self.columns if not c.is_numeric and c.categories is None]
+        if not long:
+            return table
+        listed = self.levels.where(F.col("column").isin(*long)).groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("listed"))
+        order = {c: i for i, c in enumerate(self.names)}
+        full = table.join(listed, "column", "left").withColumn("categories", F.coalesce("categories", "listed")).drop("listed")
+        return full.orderBy(F.array_position(F.array(*map(F.lit, order)), F.col("column"))).select(table.columns)
 
 
 def is_whole(x: Column) -> Column:
@@ -407,11 +414,12 @@ def table_roundtrip(original: DataFrame, restored: DataFrame, key: str) -> DataF
 
 
 def bounded_levels(df: DataFrame, cols: list[str], limit: int) -> dict[str, list] | None:
-    """Sorted text levels of each column if all of them together fit ``limit`` rows, else None."""
+    """Levels of each column as text if all of them together fit ``limit`` rows, else None; numbers sort as numbers."""
     rows = bounded_rows(level_counts(df, cols).select("column", "value"), limit)
     if rows is None:
         return None
     out: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         out[r["column"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
+    numbers = numeric_cols(df)
+    return {c: sorted(v, key=float) if c in numbers else sorted(v) for c, v in out.items()}

@@ -148,12 +148,12 @@ def multi_sort(df: DataFrame, asc: list[str], desc: list[str]) -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
-    """First n rows by a unique key. Small n is a top-n; large n a distributed rank cut."""
+    """First n rows by a unique key, in its order. Small n is a top-n; large n a distributed rank cut, then a sort."""
     if n <= 0:
         raise ValueError("n must be a positive integer")
     if n <= TAKE_ROWS:
         return df.orderBy(order).limit(n)
-    return key_rank(df, [order], "_rank").where(F.col("_rank") <= n).drop("_rank")
+    return key_rank(df, [order], "_rank").where(F.col("_rank") <= n).drop("_rank").orderBy(order)
 
 
 def shuffle_rows(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -162,9 +162,9 @@ def shuffle_rows(df: DataFrame, seed: int, key: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows drawn without replacement: the n smallest keyed uniforms."""
+    """n rows drawn without replacement: the n smallest keyed uniforms, in their order."""
+    drawn = df.withColumn("_u", hash_uniform(seed, "sample", key))
     if n <= TAKE_ROWS:
-        return (df.withColumn("_u", hash_uniform(seed, "sample", key))
-                .orderBy("_u", key).limit(n).drop("_u"))
-    return (hash_flag(df, [(min(n, df.count()),)], seed, "sample", key, out="_in")
-            .where("_in = 1").drop("_in"))
+        return drawn.orderBy("_u", key).limit(n).drop("_u")
+    return (hash_flag(drawn, [(min(n, df.count()),)], seed, "sample", key, out="_in")
+            .where("_in = 1").orderBy("_u", key).drop("_in", "_u"))

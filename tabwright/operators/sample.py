@@ -125,21 +125,24 @@ def fill_to(df: DataFrame, y: str, target: dict, seed: int, key: str) -> DataFra
 def boost(df: DataFrame, cols: list[str], cutoff: float, seed: int, key: str) -> DataFrame:
     """For 0/1 columns whose majority share exceeds 1 - cutoff, draw the minority up to round(n * cutoff).
 
-    The majority is the level holding the first interval; minority rows are
-    those above it in the reference encoding, i.e. ones. Returns the rows in a
-    seeded shuffle with a ``_draw`` number (0 for originals).
+    Which columns to boost and the goal come from the table as it was; the
+    minority is whichever value is rarer, counted and drawn from the table as
+    it has grown by then. Returns the rows in a seeded shuffle with a ``_draw``
+    number (0 for originals).
     """
     total = df.count()
     goal = int(round(total * cutoff))
     ones = df.agg(*[F.count_if(q(c) == 1).alias(c) for c in cols]).first().asDict()
-    out = df.withColumn("_draw", F.lit(0).cast("bigint")).withColumn("_for", F.lit(""))
+    zeros = df.agg(*[F.count_if(q(c) == 0).alias(c) for c in cols]).first().asDict()
+    out = df.withColumn("_draw", F.lit(0).cast("bigint")).withColumn("_key", F.col(key).cast("string"))
     for c in cols:
-        majority = max(ones[c], total - ones[c]) / total
-        up = goal - ones[c]
-        if majority > 1 - cutoff and 0 < ones[c] and up > 0:
-            extra = draws(df.where(q(c) == 1), {None: up}, seed, f"boost/{c}", key)
-            out = out.unionByName(extra.withColumn("_for", F.lit(c)))
-    return shuffle_rows(out.withColumn("_key", F.concat_ws("/", F.col(key).cast("string"), "_for",
-                                                           F.col("_draw").cast("string"))), seed, "_key").drop("_key", "_for")
-
-
+        rare = 1 if ones[c] <= zeros[c] else 0
+        if not total or max(ones[c], zeros[c]) / total <= 1 - cutoff or not min(ones[c], zeros[c]):
+            continue
+        minority = out.where(q(c) == rare)
+        up = goal - minority.count()
+        if up > 0:
+            extra = draws(minority.withColumnRenamed("_draw", "_old"), {None: up}, seed, f"boost/{c}", "_key").drop("_old")
+            named = F.concat_ws("/", "_key", F.lit(c), F.col("_draw").cast("string"))
+            out = out.unionByName(extra.withColumn("_key", named).select(*out.columns))
+    return shuffle_rows(out, seed, "_key").drop("_key")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.operators import profile as P
-from tabwright.operators.categorical import one_hot_vector
+from tabwright.operators.categorical import apply_labels, fit_labels, one_hot_vector
 from tabwright.operators.recode import q
 from tabwright.session import materialize
 
@@ -115,17 +115,25 @@ def _usable(df: DataFrame, col: str, key: str) -> tuple[DataFrame, list[str], li
     return df.where(keep), [c for c in use if c in numeric], [c for c in use if c in text]
 
 
-def _dense_design(df: DataFrame, col: str, key: str, limit: int = 500) -> tuple[DataFrame, list[str]]:
-    """Dense numeric design for distances: numbers as they are, text levels one-hot."""
+def _dense_design(df: DataFrame, col: str, key: str) -> DataFrame:
+    """(key, _y, vec) for distances: numbers as they are, text levels one-hot, however many there are.
+
+    A level's place comes from its label code, so no level reaches the driver;
+    each vector is as long as the numbers and all levels together.
+    """
     rows, nums, texts = _usable(df, col, key)
-    levels = P.bounded_levels(df, texts, limit) if texts else {}
-    if levels is None:
-        raise ValueError(f"more than {limit} text levels among the predictors of '{col}'; name the features to use")
-    cols = {f"x{i}": q(c).cast("double") for i, c in enumerate(nums)}
-    for c in texts:
-        for v in levels[c]:
-            cols[f"x{len(cols)}"] = (q(c) == F.lit(v)).cast("double")
-    return rows.select(key, q(col).alias("_y"), *[e.alias(n) for n, e in cols.items()]), list(cols)
+    coded = rows.select(key, q(col).alias("_y"), *[q(c).cast("double").alias(f"_n{i}") for i, c in enumerate(nums)],
+                        *[q(c).alias(f"_t{i}") for i, c in enumerate(texts)])
+    names = [f"_t{i}" for i in range(len(texts))]
+    sizes = {}
+    if texts:
+        coded = apply_labels(coded, fit_labels(coded, names))
+        sizes = P.wide_agg(coded, {n: F.max(q(n)) for n in names})
+    parts = [F.array(*[F.col(f"_n{i}") for i in range(len(nums))]).cast("array<double>")]
+    for n in names:
+        zeros = [F.array_repeat(F.lit(0.0), k.cast("int")) for k in (F.col(n), F.lit(sizes[n] or 0) - F.col(n))]
+        parts.append(F.concat(zeros[0], F.array(F.lit(1.0)), zeros[1]))
+    return coded.select(key, "_y", F.concat(*parts).alias("vec"))
 
 
 def impute_regress(df: DataFrame, col: str, key: str) -> DataFrame:
@@ -153,11 +161,10 @@ def impute_knn(df: DataFrame, col: str, key: str, k: int = 3, features: list[str
     from tabwright.operators.knn import knn
 
     if features:
-        design = df.select(key, q(col).alias("_y"), *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
-        names = [f"x{i}" for i in range(len(features))]
+        design = df.select(key, q(col).alias("_y"), F.array(*[q(c).cast("double") for c in features]).alias("vec"))
     else:
-        design, names = _dense_design(df, col, key)
-    vec = design.select(F.col(key).alias("id"), "_y", F.array(*names).alias("vec"))
+        design = _dense_design(df, col, key)
+    vec = design.select(F.col(key).alias("id"), "_y", "vec")
     known = vec.where("_y is not null")
     near = knn(vec.where("_y is null").select("id", "vec"), known.select("id", "vec"), k)
     votes = near.join(known.select(F.col("id").alias("s_id"), "_y"), "s_id")
@@ -172,6 +179,13 @@ def impute_knn(df: DataFrame, col: str, key: str, k: int = 3, features: list[str
         *[F.coalesce(q(c), F.col("_g")).alias(c) if c == col else q(c) for c in df.columns])
 
 
+def least_missing(df: DataFrame, cols: list[str] | None = None) -> str | None:
+    """The column with the fewest nulls among those that have any, the first of several; None if none has."""
+    cols = cols or df.columns
+    nulls = P.wide_agg(df, {c: F.count_if(q(c).isNull()) for c in cols})
+    return min((c for c in cols if nulls[c]), key=lambda c: nulls[c], default=None)
+
+
 def impute_chain(df: DataFrame, key: str, ignored: list[str] | None = None) -> DataFrame:
     """Impute column after column, fewest nulls first, until none is missing.
 
@@ -179,12 +193,7 @@ def impute_chain(df: DataFrame, key: str, ignored: list[str] | None = None) -> D
     """
     ignored = [c for c in ignored or [] if c in df.columns and c != key]
     core = df.drop(*ignored)
-    while True:
-        nulls = P.wide_agg(core, {c: F.count_if(q(c).isNull()) for c in core.columns if c != key})
-        todo = [c for c in core.columns if nulls.get(c)]
-        if not todo:
-            break
-        col = min(todo, key=lambda c: nulls[c])
+    while col := least_missing(core, [c for c in core.columns if c != key]):
         numeric = isinstance(core.schema[col].dataType, T.NumericType)
         core = materialize(impute_regress(core, col, key) if numeric else impute_knn(core, col, key))
     return core.join(df.select(key, *map(q, ignored)), key) if ignored else core

@@ -32,7 +32,9 @@ def threshold_predictions(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def split_metric(df: DataFrame, metric: str = "recall") -> DataFrame:
-    """(split, value) of one metric over (split, label, pred): accuracy, recall or f1."""
+    """(split, value) of one metric over (split, label, pred): accuracy, precision, recall or f1, or roc_auc over score."""
+    if metric == "roc_auc":
+        return roc_auc(df, ["split"]).withColumnRenamed("auc", "value")
     if metric not in ("accuracy", "recall", "f1", "precision"):
         raise ValueError(f"unknown metric '{metric}'")
     return _counts(df, ["split"]).select("split", _basic()[metric].alias("value"))
@@ -89,12 +91,12 @@ def score_curve(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def roc_points(df: DataFrame) -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score; the origin has a null threshold."""
+    """(threshold, fpr, tpr) for every distinct score; the origin has a null threshold, the rate of an absent class is 0."""
     curve = score_curve(df)
     total = df.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
     pos, neg = total.select("p").scalar(), total.select("n").scalar()
-    points = curve.select(F.col("score").alias("threshold"), (F.col("fp") / neg).alias("fpr"),
-                          (F.col("tp") / pos).alias("tpr"))
+    points = curve.select(F.col("score").alias("threshold"), _ratio(F.col("fp"), neg).alias("fpr"),
+                          _ratio(F.col("tp"), pos).alias("tpr"))
     origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return points.unionByName(origin)
 
@@ -114,11 +116,11 @@ def roc_auc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def average_precision(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Sum of recall steps times precision at each distinct score."""
+    """Sum of recall steps times precision at each distinct score; 0 without positives."""
     by = by or []
     step = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
     return score_curve(df, by).groupBy(*by).agg(
-        (F.sum(step) / F.sum("pos")).alias("average_precision"))
+        _ratio(F.sum(step), F.sum("pos")).alias("average_precision"))
 
 
 def best_threshold(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ table of intervals plus a small dict of bounds.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -18,27 +19,61 @@ from tabwright.functions.rand import hash_uniform, interval_normal, interval_pro
 from tabwright.operators import profile as P
 from tabwright.operators.recode import clip, q
 from tabwright.operators.relational import decode_by_limits, decode_case
-from tabwright.session import bounded_rows, materialize
+from tabwright.session import materialize
 
 MISSING = "MISSING"
 INLINE_LEVELS = 64
-LOCAL_ROWS = 50_000
+BROADCAST_LEVELS = 200_000
 BETA_CELLS = 512
 LIMIT_COLUMNS = ["column", "ord", "lower", "upper", "category"]
 
 
+@dataclass
+class Levels:
+    """One column's intervals in short: how many, the ends of an ordinal range, the first interval."""
+
+    n: int
+    low: int | None
+    high: int | None
+    first: tuple[float, float]
+
+
 @dataclass
 class UnitEncoder:
-    """Kinds and types per column, intervals, bounds and fills."""
+    """Kinds and types per column, intervals, bounds and fills.
+
+    ``small`` holds the intervals (category, lower, upper) of columns with few
+    levels, ``facts`` one summary per column; both are filled by ``settle``.
+    """
 
     cols: list[str]
     kinds: dict[str, str]
     dtypes: dict[str, str]
     limits: DataFrame | None
-    small: dict[str, list[tuple]] | None
+    small: dict[str, list[tuple]] = field(default_factory=dict)
     min_max: dict[str, tuple[float, float]] = field(default_factory=dict)
     fills: dict[str, object] = field(default_factory=dict)
     beta: bool = False
+    discrete: set[str] = field(default_factory=set)
+    facts: dict[str, Levels] = field(default_factory=dict)
+
+    def settle(self) -> UnitEncoder:
+        """Summaries of all columns in one job, short interval lists in another; later use starts no job."""
+        if self.limits is None:
+            return self
+        whole = F.col("category").try_cast("bigint")
+        for r in self.limits.groupBy("column").agg(
+                F.count(F.lit(1)).alias("n"), F.min(whole).alias("low"), F.max(whole).alias("high"),
+                F.min_by(F.struct("lower", "upper"), "ord").alias("first"),
+                F.max_by("category", F.struct(F.col("upper") - F.col("lower"), -F.col("ord"))).alias("widest")).collect():
+            self.facts[r["column"]] = Levels(r["n"], r["low"], r["high"], tuple(r["first"]))
+            if self.kinds.get(r["column"]) in ("ordinal", "binary"):
+                self.fills.setdefault(r["column"], r["widest"])
+        few = [c for c, f in self.facts.items() if f.n <= 4 * INLINE_LEVELS]
+        rows = self.limits.where(F.col("column").isin(*few)).collect() if few else []
+        for r in sorted(rows, key=lambda r: (r["column"], r["ord"])):
+            self.small.setdefault(r["column"], []).append((r["category"], r["lower"], r["upper"]))
+        return self
 
 
 def nominal_limits(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -56,21 +91,29 @@ def nominal_limits(df: DataFrame, cols: list[str]) -> DataFrame:
         F.col("value").alias("category"))
 
 
-def ordinal_limits(df: DataFrame, col: str) -> DataFrame:
-    """Intervals over the dense whole-number range, add-one smoothed, in value order."""
-    lo, hi, rows = df.agg(F.min(q(col)), F.max(q(col)), F.count(F.lit(1))).first()
-    mode = P.smallest_modes(df, [col], "bigint")[col]
-    seen = (df.select(F.coalesce(q(col).cast("bigint"), F.lit(mode)).alias("v"))
-            .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    dense = df.sparkSession.range(int(lo), int(hi) + 1).select(F.col("id").alias("v"))
+def ordinal_limits(df: DataFrame, cols: str | list[str]) -> DataFrame:
+    """Intervals over each column's dense whole-number range, add-one smoothed, in value order; nulls count as the mode.
+
+    All columns share one grouping. A column without values has the single level 0.
+    """
+    cols = [cols] if isinstance(cols, str) else cols
+    counts = materialize(P.level_counts(df.select(*[q(c).cast("bigint").alias(c) for c in cols]), cols, "bigint"))
+    rows = df.count()
+    facts = {r["column"]: r for r in counts.groupBy("column").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("seen"),
+        F.max(F.struct(F.col("n"), (-F.col("value")).alias("v")))["v"].alias("v")).collect()}
+    ends = [(c, r["lo"], r["hi"], -r["v"], rows - r["seen"]) if (r := facts.get(c)) else (c, 0, 0, 0, rows) for c in cols]
+    ranges = df.sparkSession.createDataFrame(ends, "column string, lo bigint, hi bigint, mode bigint, missing bigint")
+    dense = ranges.select("*", F.explode(F.sequence("lo", "hi")).alias("value"))
     # smoothing adds one per level, so the running total has a closed offset
-    smooth = dense.join(seen, "v", "left").select("v", (F.coalesce(F.col("n"), F.lit(0)) + 1).alias("n"))
-    run = running_sums(smooth, ["v"], {"upto": "n"})
-    total = F.lit(float(rows + int(hi) - int(lo) + 1))
+    extra = F.when(F.col("value") == F.col("mode"), F.col("missing")).otherwise(0) + 1
+    total = F.lit(float(rows)) + F.col("hi") - F.col("lo") + 1
+    smooth = dense.join(counts, ["column", "value"], "left").select(
+        "column", F.col("value").alias("v"), (F.coalesce("n", F.lit(0)) + extra).alias("n"), "lo", total.alias("total"))
+    run = running_sums(smooth, ["v"], {"upto": "n"}, by=["column"])
     return run.select(
-        F.lit(col).alias("column"), (F.col("v") - F.lit(int(lo))).cast("bigint").alias("ord"),
-        ((F.col("upto") - F.col("n")) / total).alias("lower"), (F.col("upto") / total).alias("upper"),
-        F.col("v").cast("string").alias("category"))
+        "column", (F.col("v") - F.col("lo")).alias("ord"), ((F.col("upto") - F.col("n")) / F.col("total")).alias("lower"),
+        (F.col("upto") / F.col("total")).alias("upper"), F.col("v").cast("string").alias("category"))
 
 
 def binary_share(df: DataFrame, col: str) -> float:
@@ -144,7 +187,7 @@ def fit_unit_encoder(df: DataFrame, key: str, beta: bool = False) -> UnitEncoder
     only01 = P.wide_agg(body, {c: F.bool_and(q(c).isin(0, 1)) for c in ints}) if ints else {}
     kinds = column_kinds(body, [c for c in ints if only01[c] is not False])
     dtypes = {f.name: f.dataType.simpleString() for f in body.schema}
-    enc = UnitEncoder(body.columns, kinds, dtypes, None, None, beta=beta)
+    enc = UnitEncoder(body.columns, kinds, dtypes, None, beta=beta)
     nominal = [c for c, k in kinds.items() if k == "nominal" or (k == "binary" and not beta)]
     parts = []
     if nominal:
@@ -153,33 +196,22 @@ def fit_unit_encoder(df: DataFrame, key: str, beta: bool = False) -> UnitEncoder
             F.coalesce(q(c).cast("string"), F.lit(modes[c])).alias(c) if c in modes else q(c) for c in nominal])
         parts.append(nominal_limits(ready, nominal))
         enc.fills |= modes
-    for c, kind in kinds.items():
-        if kind == "ordinal":
-            parts.append(ordinal_limits(body, c))
-            enc.fills[c] = P.smallest_modes(body, [c], "bigint")[c]
-        elif kind == "binary" and beta:
-            zeros = binary_share(body, c)
-            rows = [(c, 0, 0.0, zeros, "0")] * (zeros > 0) + [(c, 1, zeros, 1.0, "1")] * (zeros < 1)
-            parts.append(df.sparkSession.createDataFrame(
-                rows, "column string, ord bigint, lower double, upper double, category string"))
-            enc.fills[c] = zeros
+    whole = [c for c, k in kinds.items() if k == "ordinal"]
+    if whole:
+        parts.append(ordinal_limits(body, whole))
+        enc.fills |= {c: v or 0 for c, v in P.smallest_modes(body, whole, "bigint").items()}
+    for c in [c for c, k in kinds.items() if k == "binary" and beta]:
+        zeros = binary_share(body, c)
+        rows = [(c, 0, 0.0, zeros, "0")] * (zeros > 0) + [(c, 1, zeros, 1.0, "1")] * (zeros < 1)
+        parts.append(df.sparkSession.createDataFrame(
+            rows, "column string, ord bigint, lower double, upper double, category string"))
+        enc.fills[c] = zeros
     numbers = [c for c, k in kinds.items() if k == "numeric"]
     enc.min_max = P.bounds_map(body, numbers) if numbers else {}
     enc.fills |= P.medians(body, numbers)
     if parts:
-        limits = parts[0]
-        for p in parts[1:]:
-            limits = limits.unionByName(p)
-        rows = bounded_rows(limits, LOCAL_ROWS)
-        if rows is not None:
-            rows = sorted(rows, key=lambda r: (r["column"], r["ord"]))
-            enc.small = {c: [] for c in kinds if kinds[c] != "numeric"}
-            for r in rows:
-                enc.small[r["column"]].append((r["category"], r["lower"], r["upper"]))
-            enc.limits = df.sparkSession.createDataFrame(rows, limits.schema)
-        else:
-            enc.limits = materialize(limits)
-    return enc
+        enc.limits = materialize(reduce(DataFrame.unionByName, parts))
+    return enc.settle()
 
 
 def _cell(enc: UnitEncoder, col: str) -> Column:
@@ -189,21 +221,21 @@ def _cell(enc: UnitEncoder, col: str) -> Column:
         return F.coalesce(q(col).cast("string"), F.lit(MISSING))
     if kind == "binary":
         return F.coalesce(q(col).cast("string"), F.lit(enc.fills.get(col)))
-    ends = enc.limits.where(F.col("column") == col).agg(
-        F.min(F.col("category").cast("bigint")), F.max(F.col("category").cast("bigint"))).first()
-    whole = F.coalesce(q(col).cast("bigint"), F.lit(enc.fills.get(col)).cast("bigint"))
-    return F.greatest(F.least(whole, F.lit(ends[1])), F.lit(ends[0])).cast("string")
+    ends = enc.facts[col]
+    whole = F.coalesce(q(col).cast("bigint"), F.lit(enc.fills[col]).cast("bigint"))
+    return F.greatest(F.least(whole, F.lit(ends.high)), F.lit(ends.low)).cast("string")
 
 
 def unit_encode(df: DataFrame, enc: UnitEncoder, seed: int, key: str) -> DataFrame:
     """Encode every column of ``enc``; unseen levels go to the most common or nearest one.
 
-    Interval ends are inlined for few levels and joined for many; the draws of
-    all columns then share one projection.
+    Interval ends are inlined for few levels, joined for many; a column decides
+    for itself, and only beyond BROADCAST_LEVELS levels are rows shuffled. The
+    draws of all columns then share one projection. No job runs while planning.
     """
     names = df.columns
     drawn = [c for c in enc.cols if enc.kinds[c] in ("nominal", "ordinal") or (enc.kinds[c] == "binary" and not enc.beta)]
-    inline = [c for c in drawn if enc.small is not None and len(enc.small[c]) <= INLINE_LEVELS]
+    inline = [c for c in drawn if enc.facts[c].n <= INLINE_LEVELS]
     at = {c: i for i, c in enumerate(drawn)}
     df = df.withColumns({f"_c{at[c]}": _cell(enc, c) for c in drawn})
     ends = {}
@@ -219,9 +251,9 @@ def unit_encode(df: DataFrame, enc: UnitEncoder, seed: int, key: str) -> DataFra
             continue
         i = at[c]
         mine = enc.limits.where(F.col("column") == c)
-        first = mine.where("ord = 0").select("lower", "upper").first()
+        first = enc.facts[c].first
         lookup = mine.select(F.col("category").alias(f"_c{i}"), F.col("lower").alias("_l"), F.col("upper").alias("_h"))
-        if enc.small is not None:
+        if enc.facts[c].n <= BROADCAST_LEVELS:
             lookup = F.broadcast(lookup)
         df = (df.join(lookup, f"_c{i}", "left")
               .withColumns({f"_lo{i}": F.coalesce("_l", F.lit(first[0])), f"_hi{i}": F.coalesce("_h", F.lit(first[1]))})
@@ -231,7 +263,8 @@ def unit_encode(df: DataFrame, enc: UnitEncoder, seed: int, key: str) -> DataFra
         for n in names])
     for c in enc.cols:
         if enc.kinds[c] == "numeric":
-            df = encode_numeric(df, c, enc.min_max[c], enc.fills.get(c) or 0.0)
+            fill = enc.fills.get(c)
+            df = encode_numeric(df, c, enc.min_max[c], sum(enc.min_max[c]) / 2 if fill is None else fill)
         elif enc.kinds[c] == "binary" and enc.beta:
             df = encode_binary_beta(df, c, seed, key, float(enc.fills[c]))
     return df
@@ -244,14 +277,15 @@ def unit_decode(df: DataFrame, enc: UnitEncoder) -> DataFrame:
         dtype = enc.dtypes.get(c, "string")
         if enc.kinds[c] == "numeric":
             lo, hi = enc.min_max[c]
-            df = df.withColumn(c, F.lit(hi - lo) * q(c) + F.lit(lo))
+            value = F.lit(hi - lo) * q(c) + F.lit(lo)
+            df = df.withColumn(c, F.rint(value).cast("bigint") if c in enc.discrete else value)
             continue
-        if enc.small is not None and len(enc.small[c]) <= 4 * INLINE_LEVELS:
+        if c in enc.small:
             cat = decode_case(c, [(hi, v) for v, _, hi in enc.small[c]])
         else:
             names = df.columns
             mine = enc.limits.where(F.col("column") == c)
-            cells = max(1024, 2 * len(enc.small[c])) if enc.small is not None else 1 << 20
+            cells = max(1024, min(1 << 20, 2 * enc.facts[c].n))
             df = decode_by_limits(df, mine, c, "_cat", cells)
             cat = F.col("_cat")
             df = df.select(*[cat.alias(c) if n == c else q(n) for n in names])

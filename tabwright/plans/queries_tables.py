@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.functions.order import key_rank
 from tabwright.functions.text import value_text
 from tabwright.operators import recode as R
 from tabwright.operators import relational as J
 from tabwright.operators import unitcode as C
 from tabwright.operators.knn import knn
 from tabwright.plans.registry import ENCOUNTERS, SCORED, SCORES, Tables, encounters, query, r, rounded, u
-from tabwright.session import scratch_path
+from tabwright.session import materialize, scratch_path
 from tabwright.sources import state as S
 from tabwright.sources import tables as T
 
@@ -74,15 +76,12 @@ def encoder_state(t: Tables):
 @query("sectioned_lookup_s06", """
     SELECT CAST(0 AS BIGINT) AS section, 'r_regionkey' AS name, CAST(r_regionkey AS VARCHAR) AS code,
            r_name || ', region' AS description FROM region
-    UNION ALL SELECT 1, 'n_nationkey', CAST(n_nationkey AS VARCHAR), n_name FROM nation
-    UNION ALL SELECT 2, 's_suppkey', CAST(s_suppkey AS VARCHAR), s_name FROM supplier""")
+    UNION ALL SELECT 1, 'n_nationkey', CAST(n_nationkey AS VARCHAR), n_name FROM nation""")
 def sectioned_lookup(t: Tables):
     blocks = [t("region", "'r_regionkey,description' AS head", "CAST(r_regionkey AS BIGINT) AS k",
                 "concat(r_regionkey, ',\"', r_name, ', region\"') AS line"),
               t("nation", "'n_nationkey,description' AS head", "CAST(n_nationkey AS BIGINT) AS k",
-                "concat(n_nationkey, ',', n_name) AS line"),
-              t("supplier", "'s_suppkey,description' AS head", "CAST(s_suppkey AS BIGINT) AS k",
-                "concat(s_suppkey, ',', s_name) AS line")]
+                "concat(n_nationkey, ',', n_name) AS line")]
     lines = None
     for i, b in enumerate(blocks):
         head = b.groupBy("head").agg(F.lit(-1).cast("bigint").alias("k")).select("k", F.col("head").alias("line"))
@@ -351,23 +350,24 @@ def or_vote(t: Tables):
 # ---------------------------------------------------------------- sorts, limits, set operations
 
 
+def positions(df: DataFrame) -> DataFrame:
+    """The place of every row in the order in which ``df`` hands its rows out."""
+    return key_rank(materialize(df.withColumn("_m", F.monotonically_increasing_id())), ["_m"], "pos").drop("_m")
+
+
 @query("mixed_sort_o01", f"""
     SELECT encounter_id, patient_nbr, time_in_hospital, row_number() OVER (ORDER BY patient_nbr, time_in_hospital DESC NULLS LAST,
            encounter_id DESC) AS pos FROM {ENCOUNTERS}""")
 def mixed_sort(t: Tables):
     df = J.multi_sort(encounters(t, "encounter_id", "patient_nbr", "time_in_hospital"),
                       ["patient_nbr"], ["time_in_hospital", "encounter_id"])
-    # the sorted frame's row order is proved by ranking the same keys without a one-task sort
-    from tabwright.functions.order import key_rank
-    keyed = df.withColumn("_t", -F.coalesce("time_in_hospital", F.lit(-1.0))).withColumn("_e", -F.col("encounter_id"))
-    return key_rank(keyed, ["patient_nbr", "_t", "_e"], "pos").drop("_t", "_e")
+    return positions(df)
 
 
 @query("seeded_shuffle_o04", f"""
     SELECT event_id, row_number() OVER (ORDER BY {u(7, 'shuffle', 'event_id')}, event_id) AS pos FROM events""")
 def seeded_shuffle(t: Tables):
-    from tabwright.functions.order import hash_rank
-    return hash_rank(J.shuffle_rows(t("events", "event_id"), 7, "event_id"), 7, "shuffle", "event_id", out="pos")
+    return positions(J.shuffle_rows(t("events", "event_id"), 7, "event_id"))
 
 
 @query("row_sample_o05", f"""

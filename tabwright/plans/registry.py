@@ -53,7 +53,7 @@ def r(expr: str, digits: int = 6) -> str:
 def u(seed: int, salt: str, key: str) -> str:
     """The SQL counterpart of ``hash_uniform``."""
     text = f"concat_ws(':', '{seed}', '{salt}', CAST({key} AS VARCHAR))"
-    return f"((CAST(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296)"
+    return f"((CAST(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496)"
 
 
 def z(seed: int, salt: str, key: str) -> str:

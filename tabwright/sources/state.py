@@ -8,43 +8,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.operators.unitcode import UnitEncoder
-from tabwright.session import bounded_rows
+from tabwright.session import materialize
 from tabwright.sources.tables import path_exists
 
-LIMIT_ROWS = 50_000
+LIMIT_ROWS = 10_000
 
 
 def _write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
 
 
-def save_encoder(enc: UnitEncoder, prefix: str, fmt: str = "json") -> None:
-    """Write ``.limits``, ``.min_max`` and ``.cols``.
+def save_encoder(enc: UnitEncoder, prefix: str) -> None:
+    """Write ``.limits``, ``.min_max`` and ``.cols``, and in ``.state`` what these cannot say.
 
-    JSON is ``{column: {"upper": category}}``; an encoder with more intervals
-    than fit one document is written as parquet.
+    ``.limits`` holds ``{column: {"upper": category}}``, one document a line with
+    at most ``LIMIT_ROWS`` intervals of a column, so it can grow with the levels.
     """
     spark = SparkSession.getActiveSession()
-    rows = bounded_rows(enc.limits, LIMIT_ROWS) if enc.limits is not None else []
-    if fmt == "parquet" or rows is None:
-        enc.limits.write.mode("errorifexists").parquet(f"{prefix}.limits.parquet")
-    else:
-        doc: dict[str, dict] = {}
-        for r in sorted(rows, key=lambda r: (r["column"], r["ord"])):
-            doc.setdefault(r["column"], {})[repr(r["upper"])] = r["category"]
-        _write_text(spark, json.dumps(doc), f"{prefix}.limits")
-    _write_text(spark, json.dumps({c: [lo, hi, 0] for c, (lo, hi) in enc.min_max.items()}), f"{prefix}.min_max")
+    if enc.limits is not None:
+        chunk = F.floor(F.col("ord") / LIMIT_ROWS)
+        level = F.struct("ord", F.col("upper").cast("string").alias("upper"), "category")
+        chunks = enc.limits.groupBy("column", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(level)).alias("levels"))
+        levels = F.map_from_entries(F.transform("levels", lambda x: F.struct(x["upper"], x["category"])))
+        lines = chunks.select("column", "chunk", F.to_json(F.create_map("column", levels)).alias("value"))
+        lines.orderBy("column", "chunk").select("value").write.mode("errorifexists").text(f"{prefix}.limits")
+    _write_text(spark, json.dumps({c: [lo, hi, int(c in enc.discrete)] for c, (lo, hi) in enc.min_max.items()}), f"{prefix}.min_max")
     _write_text(spark, json.dumps(enc.cols), f"{prefix}.cols")
+    state = {"kinds": enc.kinds, "dtypes": enc.dtypes, "fills": enc.fills, "beta": enc.beta}
+    _write_text(spark, json.dumps(state), f"{prefix}.state")
 
 
 def read_limits(spark: SparkSession, path: str) -> DataFrame:
-    """(column, ord, lower, upper, category) from a limits document; keys parse as doubles."""
-    text = spark.read.text(path, wholetext=True)
-    doc = text.select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
+    """(column, ord, lower, upper, category) from limits documents, one a line; keys parse as doubles.
+
+    Levels of equal bounds keep their order in the document.
+    """
+    doc = spark.read.text(path).select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
     flat = doc.select(F.explode("m").alias("column", "levels")).select(
-        "column", F.explode("levels").alias("upper", "category"))
-    flat = flat.select("column", F.col("upper").cast("double").alias("upper"), "category")
-    order = Window.partitionBy("column").orderBy("upper")
+        "column", F.posexplode("levels").alias("at", "upper", "category"))
+    flat = flat.select("column", "at", F.col("upper").cast("double").alias("upper"), "category")
+    order = Window.partitionBy("column").orderBy("upper", "at")
     return flat.select(
         "column", (F.row_number().over(order) - 1).cast("bigint").alias("ord"),
         F.coalesce(F.lag("upper").over(order), F.lit(0.0)).alias("lower"), "upper", "category")
@@ -70,22 +73,23 @@ def read_cols(spark: SparkSession, path: str) -> list[str] | None:
 
 def load_encoder(spark: SparkSession, prefix: str, dtypes: dict[str, str] | None = None,
                  kinds: dict[str, str] | None = None) -> UnitEncoder:
-    """Encoder from its files; bounds and the column list may be missing."""
-    if path_exists(spark, f"{prefix}.limits.parquet"):
-        limits = spark.read.parquet(f"{prefix}.limits.parquet")
-    else:
-        limits = read_limits(spark, f"{prefix}.limits")
-    rows = bounded_rows(limits, LIMIT_ROWS)
-    small = None
-    if rows is not None:
-        small = {}
-        for r in sorted(rows, key=lambda r: (r["column"], r["ord"])):
-            small.setdefault(r["column"], []).append((r["category"], r["lower"], r["upper"]))
-    min_max = {r["column"]: (r["min"], r["max"]) for r in read_min_max(spark, f"{prefix}.min_max").collect()}
-    columns = [r[0] for r in limits.select("column").distinct().collect()]
+    """Encoder from its files; any of them may be missing.
+
+    Without ``.state`` (or ``dtypes`` and ``kinds``) bounds make a column
+    numeric and intervals make it nominal; missing numbers then fill to the
+    middle of their bounds and missing levels to the widest interval.
+    """
+    limits = materialize(read_limits(spark, f"{prefix}.limits")) if path_exists(spark, f"{prefix}.limits") else None
+    bounds = read_min_max(spark, f"{prefix}.min_max").collect()
+    state = {}
+    if path_exists(spark, f"{prefix}.state"):
+        state = json.loads(spark.read.text(f"{prefix}.state", wholetext=True).first()[0])
+    min_max = {r["column"]: (r["min"], r["max"]) for r in bounds}
+    columns = [r[0] for r in limits.select("column").distinct().collect()] if limits is not None else []
     cols = read_cols(spark, f"{prefix}.cols") or sorted(columns) + sorted(min_max)
-    kinds = kinds or {c: "numeric" if c in min_max else "nominal" for c in cols}
-    return UnitEncoder(cols, kinds, dtypes or {}, limits, small, min_max)
+    kinds = kinds or state.get("kinds") or {c: "numeric" if c in min_max else "nominal" for c in cols}
+    return UnitEncoder(cols, kinds, dtypes or state.get("dtypes", {}), limits, min_max=min_max, fills=state.get("fills", {}),
+                       beta=state.get("beta", False), discrete={r["column"] for r in bounds if r["discrete"]}).settle()
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
@@ -119,6 +123,11 @@ def file_sha256(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def row_sha256(df: DataFrame, col: str) -> DataFrame:
+    """``df`` and the lowercase hex ``sha256`` of a text column's UTF-8 bytes; null stays null."""
+    return df.withColumn("sha256", F.sha2(F.col(f"`{col}`"), 256))
+
+
 def log_metrics(spark: SparkSession, table: str, run: str, values: dict, kind: str = "metric") -> None:
     """Append (run, kind, name, value, logged_at) rows to a run table."""
     rows = [(run, kind, str(k), None if v is None else str(v)) for k, v in values.items()]

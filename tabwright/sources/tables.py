@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +52,12 @@ def read_table(spark: SparkSession, path: str | list[str], schema: str | T.Struc
         path = presets[path]
     found = first_path(spark, [path] if isinstance(path, str) else list(path))
     stem = found.rstrip("/").lower()
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     if stem.endswith(".parquet"):
-        return spark.read.parquet(found)
+        raw = spark.read.parquet(found)
+        kinds = {f.name: f.dataType for f in (schema or raw.schema)}
+        return raw.select(*[_without_missing(raw, c, na_tokens).cast(t).alias(c) for c, t in kinds.items()])
     if "." in stem.rsplit("/", 1)[-1] and not stem.endswith(".csv"):
         raise ValueError(f"unknown table format: {found}")
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option(
@@ -61,11 +65,20 @@ def read_table(spark: SparkSession, path: str | list[str], schema: str | T.Struc
     if schema is None:
         raw = reader.csv(found)
         return raw.select(*[null_tokens(q(c), na_tokens).alias(c) for c in raw.columns])
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     raw = reader.schema(text).csv(found)
-    return raw.select(*[null_tokens(q(f.name), na_tokens).cast(f.dataType).alias(f.name) for f in schema])
+    cells = {f.name: null_tokens(q(f.name), na_tokens).cast(f.dataType) for f in schema}
+    return raw.select(*[_not_nan(cells[f.name], f.dataType).alias(f.name) for f in schema])
+
+
+def _not_nan(cell: Column, dtype: T.DataType) -> Column:
+    return F.when(~F.isnan(cell), cell) if isinstance(dtype, (T.DoubleType, T.FloatType)) else cell
+
+
+def _without_missing(df: DataFrame, col: str, na_tokens) -> Column:
+    """Missing-value spellings of text and NaN of numbers as null."""
+    dtype = df.schema[col].dataType
+    return null_tokens(q(col), na_tokens) if isinstance(dtype, T.StringType) else _not_nan(q(col), dtype)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> str:
