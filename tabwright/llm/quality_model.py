@@ -31,7 +31,7 @@ def text_stats(data: bytes, words: list[bytes]) -> dict[str, float]:
     inked = max(1, len(shapes) - shapes.count(b" "))
     return {"symbols": len(_SYMBOLS.findall(data)) / n, "capitals": upper / max(1, upper + lower),
             "echoes": sum(map(operator.eq, words, words[1:])) / n, "distinct": len(set(words)) / n,
-            "shouts": data.count(b"!!") / n, "letters": (upper + lower) / inked, "bars": data.count(b" |") / n,
+            "shouts": data.count(b"!!") / n, "letters": (upper + lower + shapes.count(b"0")) / max(1, inked - shapes.count(b".") - shapes.count(b",")), "bars": data.count(b" |") / n,
             "stops": sum(w.endswith((b".", b"!", b"?")) for w in words) / n, "word_length": inked / n, "words": len(words)}
 
 
@@ -53,8 +53,8 @@ def labeller_votes(s: dict[str, float]) -> list[int]:
     several = s["words"] >= 8
     return [no(s["symbols"] > 0.25), no(several and s["capitals"] > 0.5), no(several and s["echoes"] > 0.2),
             no(s["words"] >= 30 and s["distinct"] < 0.15), no(s["shouts"] > 0.2), no(s["bars"] > 0.2),
-            whole(s["letters"] < 0.75, s["letters"] >= 0.92), whole(s["words"] >= 60 and not s["stops"], 0.01 <= s["stops"] <= 0.5),
-            whole(not 2 <= s["word_length"] <= 14, 3 <= s["word_length"] <= 10)]
+            whole(s["letters"] < 0.7, s["letters"] >= 0.85), whole(s["words"] >= 60 and not s["stops"], s["stops"] >= 0.01),
+            whole(s["word_length"] > 20, 2 <= s["word_length"] <= 14)]
 
 
 VOTERS = 9
