@@ -15,11 +15,11 @@ def _op5(t):
 
 WINDOWS_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
-at AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0),
-wins AS (SELECT DISTINCT item_id, w[i + 1:i + 10] AS win FROM at),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+spots AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, w[i + 1:i + 10] AS win FROM spots),
 sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
 places AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n),
 hits AS (SELECT DISTINCT doc_id, i, n, item_id FROM places JOIN wins ON places.w[places.i + 1:places.i + places.n] = wins.win),
@@ -79,14 +79,14 @@ def _op4(t):
 
 LINES_SQL = """
 WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-each AS (SELECT doc_id, source, unnest(list_distinct(list_filter(list_transform(lines, x -> trim(x)), x -> x <> ''))) AS line FROM d),
+each AS (SELECT doc_id, source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM d),
 pages AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 common AS (SELECT e.source, e.line FROM each e JOIN pages p ON e.source IS NOT DISTINCT FROM p.source
            GROUP BY e.source, e.line, p.n HAVING count(*) >= 5 AND count(*) > CAST(0.05 AS DOUBLE) * p.n),
 listed AS (SELECT source, list(line) AS bad FROM common GROUP BY source),
-k AS (SELECT d.*, list_filter(lines, x -> NOT list_contains(coalesce(bad, CAST([] AS VARCHAR[])), trim(x))) AS kept
+k AS (SELECT d.*, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, CAST([] AS VARCHAR[])), trim(x))) AS kept
       FROM d LEFT JOIN listed l ON d.source IS NOT DISTINCT FROM l.source),
-u AS (SELECT *, len(list_filter(kept, x -> trim(x) <> '')) = 0 AS whole FROM k)
+u AS (SELECT *, len(list_filter(kept, lambda x: trim(x) <> '')) = 0 AS whole FROM k)
 SELECT doc_id, CASE WHEN whole THEN text ELSE array_to_string(kept, chr(10)) END AS text,
        CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines,
        CASE WHEN whole THEN 0 ELSE len(lines) - len(kept) END AS n_dropped FROM u"""
@@ -129,11 +129,11 @@ def _op7(t):
 
 HOSTS_SQL = r"""
 WITH b AS (SELECT doc_id, source, coalesce(text, '') AS t,
-                  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM b),
-again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM at),
+                  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM b),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM spots),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM b),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM b),
 c AS (SELECT b.doc_id, b.source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words
