@@ -63,7 +63,7 @@ def shuffled_columns(df: DataFrame, cols: list[str], key: str, seed: int, prefix
     return out
 
 
-def boruta(df: DataFrame, cols: list[str], y: str, key: str, rounds: int = 5, trees: int = 20,
+def boruta(df: DataFrame, cols: list[str], y: str, key: str, rounds: int = 10, trees: int = 30,
            depth: int = 5, seed: int = 42) -> DataFrame:
     """Rounds in which each feature beats the best shuffled shadow feature; confirmed when in most."""
     hits = dict.fromkeys(cols, 0)
