@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.rand import hash_uniform
+from tabwright.session import stored
 
-SAMPLE_ROWS = 8192
-RANGE_BUCKETS = 2048
 HASH_BUCKETS = 1 << 16
 
 
-@dataclass(frozen=True)
-class Splits:
-    """Split points of a sort key; ``whole`` says the sample was the full input."""
-
-    points: tuple
-    whole: bool
-
-
-def split_points(df: DataFrame, keys: list[str]) -> Splits:
-    """Evenly spaced keys of a bounded hash sample of ``df`` (one row per key)."""
-    picked = (
-        df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(SAMPLE_ROWS + 1).collect()
-    )
-    if len(picked) <= SAMPLE_ROWS:
-        return Splits((), True)
-    rows = sorted({tuple(row) for row in picked if None not in tuple(row)})
-    width = max(1.0, len(rows) / RANGE_BUCKETS)
-    return Splits(tuple(rows[int(i * width)] for i in range(1, int(len(rows) / width))), False)
-
-
 def sql_literal(value) -> str:
     """SQL text of a plain value."""
     if value is None:
@@ -50,50 +27,19 @@ def sql_literal(value) -> str:
     return f"'{text}'"
 
 
-def range_bucket(df: DataFrame, keys: list[str], splits: Splits) -> DataFrame:
-    """Add ``_b``, how many split points are at or below the key (nulls first).
-
-    A binary search over constant arrays inside one expression; no row leaves the JVM.
-    """
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    arrays = [
-        F.from_json(F.lit(json.dumps([point[i] for point in splits.points], default=str)), f"array<{types[k]}>")
-        for i, k in enumerate(keys)]
-    top = len(splits.points).bit_length()
-    steps = F.array(*[F.lit(1 << j) for j in reversed(range(top))]) if top else F.array(F.lit(1))
-
-    def halve(found: Column, step: Column) -> Column:
-        at = found + step - F.lit(1)
-        reached = F.get(arrays[-1], at) <= F.col(f"`{keys[-1]}`")
-        for array, k in reversed(list(zip(arrays[:-1], keys[:-1]))):
-            point = F.get(array, at)
-            reached = (point < F.col(f"`{k}`")) | ((point == F.col(f"`{k}`")) & reached)
-        return F.when(reached, found + step).otherwise(found)
-
-    # never null, and behind a one-element explode, so that no filter or
-    # constraint on the bucket is rewritten in terms of the search
-    found = F.coalesce(F.aggregate(steps, F.lit(0), halve), F.lit(0))
-    return df.select("*", F.explode(F.array(found)).alias("_b"))
-
-
 def running_sums(df: DataFrame, keys: list[str], sums: dict[str, str],
                  by: list[str] | None = None) -> DataFrame:
-    """Add inclusive running sums in key order.
+    """Add inclusive running sums in key order, nulls first.
 
     ``df`` has one row per ``by + keys``. ``sums`` maps output to input column.
-    Small inputs (checked) use one window; larger ones are range-bucketed, so
-    every task sorts a slice and only the bucket totals meet in one place.
+    Rows are range-partitioned by ``by + keys`` once; each task sorts its slice,
+    and only the totals of a slice and group meet to become offsets. There are
+    as many slices as shuffle partitions, so they follow the size of the data.
     """
     by = by or []
-    order = [F.col(k) for k in keys]
-    splits = split_points(df, by + keys)
-    part = [F.col(c) for c in by]
-    if splits.whole:
-        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(src).over(w).alias(out) for out, src in sums.items()])
-    tagged = range_bucket(df, by + keys, splits).withColumn("_g", F.struct(F.lit(0), *part))
-    inside = (Window.partitionBy("_g", "_b").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, 0))
+    ranged = df.repartitionByRange(*[F.col(c) for c in (*by, *keys)])
+    tagged = stored(ranged.select("*", F.spark_partition_id().alias("_b"), F.struct(F.lit(0), *[F.col(c) for c in by]).alias("_g")))
+    inside = Window.partitionBy("_g", "_b").orderBy(*[F.col(k) for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = tagged.groupBy("_g", "_b").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
     heads = heads.select("_g", "_b", *[

@@ -56,6 +56,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder; rows keep no order. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "stored")
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """All rows of ``df`` if it has at most ``limit`` rows, else None."""
     rows = df.limit(limit + 1).collect()
