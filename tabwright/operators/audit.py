@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,25 +132,36 @@ def wasserstein_1(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
 def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and population covariance of the rows that have a number in every column.
 
-    Two passes: means, then centred outer products, summed per Arrow batch; each
-    task sends one p x p block, and Spark adds the blocks row by row.
+    Two passes in Arrow batches, which leave out the other rows: sums, then
+    centred outer products; each task sends one p x p block, and Spark adds the
+    blocks cell by cell.
     """
     p = len(cols)
     x = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    whole = reduce(lambda a, b: a & b, [q(f"x{i}").isNotNull() & ~F.isnan(q(f"x{i}")) for i in range(p)])
-    x = x.where(whole)
-    means = P.wide_agg(x, {i: F.avg(f"x{i}") for i in range(p)} | {"n": F.count(F.lit(1))})
-    n = means.pop("n")
+
+    def whole(batches):
+        for pdf in batches:
+            z = pdf.to_numpy(dtype="float64")
+            yield z[~np.isnan(z).any(axis=1)]
+
+    def sums(batches):
+        n, total = 0, np.zeros(p)
+        for z in whole(batches):
+            n, total = n + len(z), total + z.sum(axis=0)
+        yield pd.DataFrame({"i": range(p), "n": n, "v": total})
+
+    got = x.mapInPandas(sums, "i int, n bigint, v double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    n = got[0]["n"] if got else 0
     if not n:
         return 0, np.zeros(p), np.zeros((p, p))
-    mu = np.array([means[i] for i in range(p)])
-    shift = df.sparkSession.sparkContext.broadcast(mu)
+    mu = np.zeros(p)
+    for r in got:
+        mu[r["i"]] = r["v"] / n
 
     def block(batches):
         total = np.zeros((p, p))
-        for pdf in batches:
-            z = pdf.to_numpy(dtype="float64") - shift.value
-            total += z.T @ z
+        for z in whole(batches):
+            total += (z - mu).T @ (z - mu)
         yield pd.DataFrame({"i": range(p), "s": total.tolist()})
 
     parts = x.mapInPandas(block, "i int, s array<double>")
@@ -208,6 +218,23 @@ def utility_r2(train: DataFrame, test_a: DataFrame, test_b: DataFrame | None = N
     return train.sparkSession.createDataFrame(rows, "column string, r2_a double, r2_b double")
 
 
+def utility_over_replicas(train: DataFrame, test: DataFrame, replicas: DataFrame, cols: list[str], tag: str = "dataset") -> DataFrame:
+    """(dataset, column, train_test, train_synthetic, test_synthetic): R2 of every column, for each replica.
+
+    The first two fits learn from ``train``, the third from ``test``; one pass
+    over each table and replica gives all of them.
+    """
+    facts = {"train": moments(train, cols), "test": moments(test, cols)}
+    fits = {n: _regressions(m[2], m[1]) for n, m in facts.items()}
+    rows = []
+    for name in sorted(r[0] for r in replicas.select(tag).distinct().collect()):
+        _, mu, cov = moments(replicas.where(q(tag) == name), cols)
+        for i, c in enumerate(cols):
+            rows.append((name, c, _r2(*fits["train"][i], facts["test"][2], facts["test"][1], i),
+                         _r2(*fits["train"][i], cov, mu, i), _r2(*fits["test"][i], cov, mu, i)))
+    return train.sparkSession.createDataFrame(rows, "dataset string, column string, train_test double, train_synthetic double, test_synthetic double")
+
+
 # ---------------------------------------------------------------- noisy votes and their privacy budget
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.order import key_rank
 from tabwright.operators import profile as P
 from tabwright.operators.recode import READMITTED_BINARY, READMITTED_DAYS, encode_target, q
-from tabwright.session import bounded_rows
+from tabwright.session import stored
 
 INLINE_LEVELS = 48
 BROADCAST_ROWS = 100_000
@@ -20,10 +20,11 @@ BROADCAST_ROWS = 100_000
 
 @dataclass
 class LabelFit:
-    """Level codes: ``small`` when all levels together are few, else the frame (column, value, code)."""
+    """Level codes (column, value, number, code), how many each column has, and ``small``: those of columns with few."""
 
     families: dict[str, str]
-    small: dict[str, dict] | None
+    sizes: dict[str, int]
+    small: dict[str, dict]
     table: DataFrame
 
 
@@ -43,7 +44,7 @@ def fit_labels(df: DataFrame, cols: list[str], order: str = "string") -> LabelFi
     if order not in ("string", "native"):
         raise ValueError("order must be 'string' or 'native'")
     if not cols:
-        return LabelFit({}, {}, df.sparkSession.createDataFrame([], "column string, value string, number double, code bigint"))
+        return LabelFit({}, {}, {}, df.sparkSession.createDataFrame([], "column string, value string, number double, code bigint"))
     families = {c: _family(df, c, order) for c in cols}
     tables = []
     for family in ("string", "double", "bigint"):
@@ -56,32 +57,28 @@ def fit_labels(df: DataFrame, cols: list[str], order: str = "string") -> LabelFi
                                         else F.lit(None).cast("double").alias("number"),
                                         (F.col("code") - 1).alias("code")))
     table = reduce(DataFrame.unionByName, tables)
-    rows = bounded_rows(table, BROADCAST_ROWS)
-    small = None
-    if rows is not None:
-        small = {c: {} for c in cols}
-        for r in rows:
-            family = families[r["column"]]
-            small[r["column"]][r["number"] if family == "double" else int(r["value"]) if family == "bigint" else r["value"]] = r["code"]
-    return LabelFit(families, small, table)
+    table = stored(table)
+    sizes = dict.fromkeys(cols, 0) | {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small: dict[str, dict] = {c: {} for c in cols if sizes[c] <= INLINE_LEVELS}
+    for r in table.where(F.col("column").isin(*small)).collect() if small else []:
+        family = families[r["column"]]
+        small[r["column"]][r["number"] if family == "double" else int(r["value"]) if family == "bigint" else r["value"]] = r["code"]
+    return LabelFit(families, sizes, small, table)
 
 
 def apply_labels(df: DataFrame, fit: LabelFit, order: str = "string") -> DataFrame:
-    """Replace each column by its codes: inlined when few, else joined (broadcast when checked small)."""
-    spark = df.sparkSession
+    """Replace each column by its codes: each column is inlined, joined to a broadcast or, beyond BROADCAST_ROWS levels, joined by shuffle."""
     names = df.columns
     for c, family in fit.families.items():
         cell = _cell(c, family, order)
-        if fit.small is not None and len(fit.small[c]) <= INLINE_LEVELS:
+        if c in fit.small:
             cases = [F.when(cell == F.lit(v), F.lit(k).cast("bigint")) for v, k in fit.small[c].items()]
             df = df.withColumn(c, F.coalesce(*cases) if cases else F.lit(None).cast("bigint"))
             continue
-        if fit.small is not None:
-            lookup = F.broadcast(spark.createDataFrame(
-                [(v, k) for v, k in fit.small[c].items()], f"_v {family}, _k bigint"))
-        else:
-            value = F.col("number") if family == "double" else F.col("value").cast(family)
-            lookup = fit.table.where(F.col("column") == c).select(value.alias("_v"), F.col("code").alias("_k"))
+        value = F.col("number") if family == "double" else F.col("value").cast(family)
+        lookup = fit.table.where(F.col("column") == c).select(value.alias("_v"), F.col("code").alias("_k"))
+        if fit.sizes[c] <= BROADCAST_ROWS:
+            lookup = F.broadcast(lookup)
         df = (df.withColumn("_v", cell).join(lookup, "_v", "left")
               .select(*[F.col("_k").alias(n) if n == c else q(n) for n in names]))
     return df

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabwright.functions.order import exact_medians
 from tabwright.functions.text import number_or_null
-from tabwright.session import bounded_rows
+from tabwright.session import bounded_rows, stored
 
 AGG_CHUNK = 150
 SUPPORT_LEVELS = 25
@@ -56,8 +56,8 @@ def smallest_modes(df: DataFrame, cols: list[str], dtype: str) -> dict:
     """Most frequent value of each column, ties to the smallest."""
     if not cols:
         return {}
-    best = level_counts(df, cols, dtype).groupBy("column").agg(F.max("n").alias("n"))
-    counts = level_counts(df, cols, dtype)
+    counts = stored(level_counts(df, cols, dtype))
+    best = counts.groupBy("column").agg(F.max("n").alias("n"))
     rows = counts.join(F.broadcast(best), ["column", "n"]).groupBy("column").agg(F.min("value").alias("v"))
     found = {r["column"]: r["v"] for r in rows.collect()}
     return {c: found.get(c) for c in cols}
@@ -113,7 +113,7 @@ def zero_variance(df: DataFrame) -> DataFrame:
 
 def near_zero_variance(df: DataFrame, freq_ratio: float = 20.0, unique_pct: float = 10.0) -> DataFrame:
     """Distinct count, top two level counts and their ratio; ratio null stands for 'no second level'."""
-    counts = level_counts(df, list(df.columns))
+    counts = stored(level_counts(df, list(df.columns)))
     per = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top_count"),
         F.max_by("value", F.struct("n", "value")).alias("_top"))

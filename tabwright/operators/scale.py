@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabwright.operators import profile as P
 from tabwright.operators.categorical import apply_labels, fit_labels, one_hot_vector
 from tabwright.operators.recode import q
-from tabwright.session import materialize
+from tabwright.session import materialize, stored
 
 # ---------------------------------------------------------------- scaling
 
@@ -90,7 +90,7 @@ def impute(df: DataFrame, num: str = "mean", fills: dict | None = None, approx:
 
 def clean(df: DataFrame, drop_thresh: float = 0.5, num: str = "median", cat: str = "mode") -> DataFrame:
     """Strip names, drop duplicate rows and mostly-missing columns, trim text, fill what is left."""
-    df = df.toDF(*[c.strip() for c in df.columns]).dropDuplicates()
+    df = stored(df.toDF(*[c.strip() for c in df.columns]).dropDuplicates())  # read by every fit below
     share = P.wide_agg(df, {c: F.avg(q(c).isNull().cast("double")) for c in df.columns})
     df = df.drop(*[c for c, s in share.items() if s is not None and s > drop_thresh])
     texts = P.text_cols(df)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.order import hash_rank
 from tabwright.operators import profile as P
+from tabwright.operators.audit import moments
 from tabwright.operators import scoring
 from tabwright.operators.models import _weights, assembled, random_forest, score_table
 from tabwright.operators.recode import q
@@ -44,10 +45,15 @@ def information_value(df: DataFrame, cols: list[str], y: str, smooth: float = 0.
 
 
 def correlation_screen(df: DataFrame, cols: list[str], threshold: float = 0.9) -> DataFrame:
-    """Pearson correlation of every column pair and whether it exceeds the threshold."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    got = P.wide_agg(df, {(a, b): F.corr(q(a).cast("double"), q(b).cast("double")) for a, b in pairs})
-    rows = [(a, b, got[(a, b)]) for a, b in pairs]
+    """Pearson correlation of every column pair and whether it exceeds the threshold.
+
+    All pairs come from one matrix over the rows with a number in every column;
+    a pair with a constant column has no correlation (null).
+    """
+    _, _, cov = moments(df, cols)
+    scale = [float(cov[i, i]) ** 0.5 for i in range(len(cols))]
+    rows = [(a, b, float(cov[i, j]) / (scale[i] * scale[j]) if scale[i] and scale[j] else None)
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     out = df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
     return out.withColumn("flagged", F.coalesce(F.abs("correlation") > F.lit(threshold), F.lit(False)))
 

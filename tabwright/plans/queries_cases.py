@@ -120,3 +120,79 @@ def text_fingerprint(t: Tables):
 @query("row_cap_sorted_s10", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders ORDER BY o_orderkey LIMIT 500")
 def row_cap_sorted(t: Tables):
     return positions(J.first_n(t("orders", "o_orderkey"), 500, "o_orderkey"))
+
+
+# ---------------------------------------------------------------- jobs and operators proved on exact data
+
+_EXACT = ("CAST(p_size AS DOUBLE) AS a", "p_retailprice / 1000 AS b", "CAST(p_partkey % 13 AS DOUBLE) AS c", "CAST(p_partkey % 29 AS DOUBLE) AS d")
+
+
+@query("utility_over_replicas_v07", " UNION ALL ".join(
+    f"SELECT '{s}' AS dataset, '{c}' AS \"column\", CAST(1 AS DOUBLE) AS train_test, CAST(1 AS DOUBLE) AS train_synthetic, CAST(1 AS DOUBLE) AS test_synthetic"
+    for s in ("s0", "s1") for c in ("a", "b", "c", "d", "e")))
+def utility_over_replicas(t: Tables):
+    """The last column is the sum of the others, so every column follows from the rest in every replica."""
+    from tabwright.operators import audit as A
+    df = t("part", "p_partkey", *_EXACT).withColumn("e", F.expr("a + b + c + d"))
+    train, test = (df.where(F.col("p_partkey") % 4 == i) for i in (0, 1))
+    fakes = df.where("p_partkey % 4 > 1").withColumn("dataset", F.expr("concat('s', p_partkey % 2)"))
+    return rounded(A.utility_over_replicas(train, test, fakes, ["a", "b", "c", "d", "e"]))
+
+
+_WIDE = [f"CAST(p_partkey % {k} AS DOUBLE) AS m{k}" for k in (7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53)]
+
+
+@query("linear_utility_exact_v07", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(1 AS DOUBLE) AS r2_a" for c in [w.split(" AS ")[-1] for w in _WIDE] + ["total"]))
+def linear_utility_exact(t: Tables):
+    """Fourteen columns, one the sum of the rest, with nulls in some rows."""
+    from tabwright.operators import audit as A
+    names = [w.split(" AS ")[-1] for w in _WIDE]
+    df = t("part", "p_partkey", *_WIDE).withColumn("total", F.expr(" + ".join(names)))
+    df = df.withColumn("m7", F.when(F.col("p_partkey") % 10 != 0, F.col("m7")))
+    train, test = (df.where(F.col("p_partkey") % 2 == i) for i in (0, 1))
+    return rounded(A.utility_r2(train, test, None, [*names, "total"]).select("column", "r2_a"))
+
+
+@query("impute_chain_exact_f14", """
+    SELECT p_partkey, CAST(p_size % 10 AS DOUBLE) AS a, CAST(2 * (p_size % 10) + 3 AS DOUBLE) AS x, concat('k', p_size % 10) AS y FROM part""")
+def impute_chain_exact(t: Tables):
+    """x is linear in a, and rows with the same a share y, so both are recovered exactly."""
+    df = t("part", "p_partkey", "CAST(p_size % 10 AS DOUBLE) AS a", "CASE WHEN p_partkey % 5 <> 0 THEN CAST(2 * (p_size % 10) + 3 AS DOUBLE) END AS x",
+           "CASE WHEN p_partkey % 3 <> 0 THEN concat('k', p_size % 10) END AS y")
+    return rounded(X.impute_chain(df, "p_partkey"), 4)
+
+
+@query("ingest_json_fields_x07", "SELECT o_orderstatus AS class_label, count(*) AS total_attempts FROM orders GROUP BY 1")
+def ingest_json_fields(t: Tables):
+    from tabwright.operators import textrows as W
+    counts = t("orders", "o_orderstatus").groupBy(F.col("o_orderstatus").alias("class_label")).agg(F.count(F.lit(1)).alias("total_attempts"))
+    text = W.stats_json(counts)
+    return text.select("class_label", F.from_json("stats", "class_label string, total_attempts bigint")["total_attempts"].alias("total_attempts"))
+
+
+@query("encode_decode_job_f19_f20", f"""
+    WITH h AS {_HOLES_SQL}
+    SELECT p_partkey, coalesce(s, (SELECT s FROM h WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)) AS s,
+           {r('coalesce(x, (SELECT median(x) FROM h))', 4)} AS x FROM h""")
+def encode_decode_job(t: Tables):
+    """The whole job twice: the first call fits and saves the encoder, the second encodes with the saved one."""
+    from tabwright.plans.readmission import decode_job, encode_job
+    root = scratch_path(t.spark, "job")
+    t("part", *_HOLES).select("p_partkey", "s", "x").write.parquet(f"{root}/in.parquet")
+    for out in ("first", "second"):
+        encode_job(t.spark, f"{root}/in.parquet", f"{root}/{out}", "p_partkey", f"{root}/encoder")
+    return rounded(decode_job(t.spark, f"{root}/second", f"{root}/decoded", f"{root}/encoder"), 4)
+
+
+@query("ensemble_job_j09", """
+    SELECT CAST(ceil(count(*) * 0.1) AS BIGINT) AS n_test, TRUE AS accuracy_above_bar, TRUE AS recall_above_bar FROM orders""")
+def ensemble_job(t: Tables):
+    """A net on one-hot columns and a forest on codes vote by OR on a label both can learn."""
+    from tabwright.plans.readmission import ensemble
+    df = t("orders", "o_orderkey", "o_totalprice AS price", "o_orderpriority AS priority", "o_orderstatus AS status",
+           "CASE WHEN o_totalprice > 250000 OR o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS y")
+    vote = ensemble(df, "y", "o_orderkey")
+    hit = (F.col("pred") == 1) & (F.col("label") == 1)
+    return vote.agg(F.count(F.lit(1)).alias("n_test"), (F.avg((F.col("pred") == F.col("label")).cast("double")) >= 0.8).alias("accuracy_above_bar"),
+                    (F.count_if(hit) / F.count_if(F.col("label") == 1) >= 0.8).alias("recall_above_bar"))

@@ -6,21 +6,21 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tabwright.operators import models, scoring
-from tabwright.operators.categorical import encode_categoricals, label_encode
-from tabwright.operators.profile import bounds_map, numeric_cols
+from tabwright.operators.categorical import encode_categoricals, label_encode, one_hot
+from tabwright.operators.profile import bounds_map, numeric_cols, text_cols
 from tabwright.operators.recode import (
     AGE_LEVELS, binary_flags, drop_cols, encode_target, features_target, icd9_group, icd9_prefix, lab_ordinal, q,
     recode,
 )
-from tabwright.operators.relational import keep_best
+from tabwright.operators.relational import keep_best, or_vote
 from tabwright.operators.sample import stratified_split
 from tabwright.operators.scale import apply_fill, fit_fill, fit_standard, impute, normalize, standardize
+from tabwright.operators.unitcode import fit_unit_encoder, unit_decode, unit_encode
 from tabwright.session import materialize
-from tabwright.sources.state import log_metrics
-from tabwright.sources.tables import assign_types, read_table, write_table
+from tabwright.sources.state import load_encoder, log_metrics, save_encoder
+from tabwright.sources.tables import assign_types, path_exists, read_table, write_table
 
 DIAGNOSES = ("diag_1", "diag_2", "diag_3")
 
@@ -70,6 +70,49 @@ def prepare_v2(spark: SparkSession, source: str, out: str, key: str = "encounter
     return spark.read.parquet(f"{out}_train.parquet"), spark.read.parquet(f"{out}_test.parquet")
 
 
+def ensemble(df: DataFrame, target: str, key: str, test: float = 0.1, seed: int = 3, trees: int = 100,
+             hidden: tuple[int, ...] = (64, 32, 32, 32, 8), max_iter: int = 100) -> DataFrame:
+    """Test predictions (key, label, pred) of a net on one-hot, scaled columns and a forest on label codes, joined by OR.
+
+    Both models see the same stratified split; the net's columns are scaled by the train part.
+    """
+    tagged = materialize(stratified_split(df, target, test, seed, key))
+    train, held = (tagged.where(F.col("is_test") == i).drop("is_test") for i in (0, 1))
+    texts = [c for c in text_cols(tagged) if c not in (key, target)]
+    hot = one_hot(tagged.drop("is_test"), texts, target)
+    wide = [c for c in hot.columns if c not in (key, target)]
+    parts = [hot.join(part.select(key), key, "left_semi") for part in (train, held)]
+    fitted = fit_standard(parts[0], wide)
+    parts = [materialize(models.assembled(standardize(part, wide, fitted), wide, target, [key])) for part in parts]
+    net = models.feed_forward(len(wide), hidden=hidden, max_iter=max_iter).fit(parts[0])
+    coded = label_encode(tagged, texts)
+    narrow = [c for c in coded.columns if c not in (key, target, "is_test")]
+    codes = [materialize(models.assembled(coded.where(F.col("is_test") == i), narrow, target, [key])) for i in (0, 1)]
+    forest = models.random_forest(trees).fit(codes[0])
+    votes = [scoring.threshold_predictions(models.score_table(m, x, [key])).select(key, "label", "pred") for m, x in ((net, parts[1]), (forest, codes[1]))]
+    return or_vote(votes, key)
+
+
+def encode_job(spark: SparkSession, source: str, out: str, key: str, prefix: str, seed: int = 42,
+               schema: str | None = None) -> DataFrame:
+    """Read, fill, encode with the encoder saved at ``prefix`` (fitted and saved there if there is none), write."""
+    df = read_table(spark, source, schema)
+    df = apply_fill(df, fit_fill(df.drop(key), "median"))
+    if path_exists(spark, f"{prefix}.cols"):
+        enc = load_encoder(spark, prefix)
+    else:
+        enc = fit_unit_encoder(df, key)
+        save_encoder(enc, prefix)
+    write_table(unit_encode(df, enc, seed, key), out, "parquet")
+    return spark.read.parquet(out)
+
+
+def decode_job(spark: SparkSession, source: str, out: str, prefix: str) -> DataFrame:
+    """Read encoded rows, decode with the encoder saved at ``prefix``, write."""
+    write_table(unit_decode(spark.read.parquet(source), load_encoder(spark, prefix)), out, "parquet")
+    return spark.read.parquet(out)
+
+
 @dataclass
 class Experiment:
     """Settings of one train/evaluate run."""
@@ -119,8 +162,7 @@ def run_experiment(df: DataFrame, cfg: Experiment, test_df: DataFrame | None = N
         train, test = scaler(train, cols, fitted), scaler(test, cols, fitted)
     if cfg.select:
         cols, _ = models.rfecv(cfg.model, train, cols, cfg.target, cfg.key, cfg.step, cfg.cv)
-    ready = {n: models.assembled(t, cols, cfg.target).persist(StorageLevel.MEMORY_AND_DISK)
-             for n, t in (("train", train), ("test", test))}
+    ready = {n: materialize(models.assembled(t, cols, cfg.target)) for n, t in (("train", train), ("test", test))}
     model = _estimator(cfg, ready["train"].count(), len(cols)).fit(ready["train"])
     out = None
     for name, data in ready.items():

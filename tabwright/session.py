@@ -20,6 +20,7 @@ def local_session(cores: str | int = 8, name: str = "tabwright") -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,8 +45,14 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, stem: str) -> str:
-    """A fresh path below the shared work folder."""
-    return f"{work_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    """A fresh path in this run's own folder below the shared one; the folder goes when the driver ends."""
+    root = f"{work_dir(spark).rstrip('/')}/tabwright-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{root}/{stem}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -57,13 +64,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder; rows keep no order. The table goes when the driver ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "stored")
+    """Cut lineage through a Parquet table in the shared folder; rows keep no order."""
+    path = scratch_path(df.sparkSession, "stored")
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_rows(df: DataFrame, limit: int) -> list | None:
