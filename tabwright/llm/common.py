@@ -14,12 +14,9 @@ from ..session import scratch_path
 
 def written(df: DataFrame, stem: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, goes when the driver ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, stem)
+    path = scratch_path(df.sparkSession, stem)
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def renamed(df: DataFrame, **columns: str) -> DataFrame:

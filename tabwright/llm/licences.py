@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +42,24 @@ PUNCTUATION = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
 MARKS = "“”„‘’«»–—•…©"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, copyright lines dropped, one spelling, words only, single spaces."""
-    text = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
-    for other, usual in SPELLINGS:
-        text = F.regexp_replace(text, other, usual)
-    return F.trim(F.regexp_replace(F.translate(text, MARKS, " " * len(MARKS)), PUNCTUATION, " "))
+# without one of these a text has no copyright line, and no spelling to change
+COPYRIGHT_SIGNS = ("copyright", "(c) ", "©", "all rights reserved")
+SPELLING_SIGNS = ("licenc", "sub licens", "sub-licens", "copyright owner", "copyright proprietor", "non infring", "non-infring", "whilst", "favour",
+                  "organisation", "http:")
+
+
+def _has(text: Column, signs: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(s) for s in signs])
+
+
+def canonical(lowered: Column) -> Column:
+    """Of lower-cased text: copyright lines dropped, one spelling, words only, single spaces."""
+    text = F.when(_has(lowered, COPYRIGHT_SIGNS), F.regexp_replace(lowered, COPYRIGHT_LINE, "\n")).otherwise(lowered)
+    spelled = reduce(lambda t, s: F.regexp_replace(t, *s), SPELLINGS, text)
+    text = F.when(_has(lowered, SPELLING_SIGNS), spelled).otherwise(text)
+    ascii_only = F.length(lowered) == F.octet_length(lowered)
+    text = F.when(ascii_only, text).otherwise(F.translate(text, MARKS, " " * len(MARKS)))
+    return F.trim(F.regexp_replace(text, PUNCTUATION, " "))
 
 
 def known_texts() -> list[tuple[str, str]]:
@@ -55,6 +69,7 @@ def known_texts() -> list[tuple[str, str]]:
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     known = spark.createDataFrame(known_texts() if texts is None else texts, "licence string, text string")
+    known = known.withColumn("text", F.lower("text"))
     return known.select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
 
 
@@ -70,7 +85,7 @@ def scan_licences(df: DataFrame, key: str = "doc_id", text: str = "text", known:
     results, null keys too; other columns are ignored.
     """
     known = known_digests(df.sparkSession) if known is None else known
-    docs = renamed(df, key=key, text=text).select("key", F.xxhash64("text").alias("text_id"), "text")
+    docs = renamed(df, key=key, text=text).select("key", F.xxhash64("text").alias("text_id"), F.lower("text").alias("text"))
     lines = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part")))
     parts = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part"))), lines)
     units = docs.filter("text is not null").select("key", "text_id", F.explode(parts).alias("unit")).select("key", "text_id", "unit.*")
