@@ -1,4 +1,4 @@
-"""Masked pseudo-likelihood: a bidirectional window network predicts each token from both sides."""
+"""Masked pseudo-likelihood: a bidirectional window network predicts each token's class from both sides, word counts the token."""
 
 from __future__ import annotations
 
@@ -13,12 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, renamed, small_batches
+from .common import arrow_pass, renamed, small_batches, written
 
 COMMON, HASHED, SIDE, WIDTH, BATCH = 96, 32, 2, 16, 2048
 CLASSES = COMMON + HASHED
 PAD = CLASSES
-SLOTS = [(2 * SIDE, CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
+
+
+def slots(classes: int) -> list[tuple[int, ...]]:
+    return [(2 * SIDE, classes + 1, WIDTH), (WIDTH,), (WIDTH, classes), (classes,)]
+
+
+def class_count(vocabulary: int) -> int:
+    """CLASSES up to 2^17 distinct words, beyond growing with the fourth root of their number; three quarters are single words."""
+    return max(CLASSES, HASHED * round(CLASSES / HASHED * (vocabulary / (1 << 17)) ** 0.25))
 
 
 @dataclass
@@ -31,9 +39,13 @@ class WindowNetwork:
     bias: np.ndarray
 
     @classmethod
-    def fresh(cls, seed: int = 0) -> WindowNetwork:
+    def fresh(cls, seed: int = 0, classes: int = CLASSES) -> WindowNetwork:
         rng = np.random.default_rng(seed)
-        return cls(*(rng.normal(0, 0.3, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in SLOTS))
+        return cls(*(rng.normal(0, 0.3, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in slots(classes)))
+
+    @property
+    def classes(self) -> int:
+        return len(self.bias)
 
     @property
     def arrays(self) -> list[np.ndarray]:
@@ -43,58 +55,69 @@ class WindowNetwork:
         return np.concatenate([a.reshape(-1) for a in self.arrays])
 
     @classmethod
-    def from_flat(cls, values: np.ndarray) -> WindowNetwork:
+    def from_flat(cls, values: np.ndarray, classes: int = CLASSES) -> WindowNetwork:
         arrays, at = [], 0
-        for s in SLOTS:
+        for s in slots(classes):
             arrays.append(values[at:at + int(np.prod(s))].astype(np.float32).reshape(s))
             at += int(np.prod(s))
         return cls(*arrays)
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and log-probabilities of every class for contexts (row, place)."""
+        """Hidden layer and probabilities of every class for contexts (row, place)."""
+        h, z = self._scores(context)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return h, z
+
+    def _scores(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.tanh(sum(self.embed[k][context[:, k]] for k in range(2 * SIDE)) + self.hidden)
-        z = h @ self.out + self.bias
+        z = h @ self.out
+        z += self.bias
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return h, z
 
     def log_probs(self, ids: np.ndarray) -> np.ndarray:
-        """log P(token | both sides) of every token of one text, in blocks of windows."""
-        context = windows(ids)
+        """log P(class | both sides) of every token of one text, in blocks of windows."""
+        context = windows(ids, self.classes)
         parts = []
-        for at in range(0, len(ids), 1 << 14):
-            _, z = self.forward(context[at:at + (1 << 14)])
-            parts.append(z[np.arange(len(z)), ids[at:at + (1 << 14)]])
+        for at in range(0, len(ids), BATCH):
+            _, z = self._scores(context[at:at + BATCH])
+            own = z[np.arange(len(z)), ids[at:at + BATCH]]
+            parts.append(own - np.log(np.exp(z, out=z).sum(axis=1)))
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
     def step(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
         """One step of adaptive gradient descent on the mean loss of a batch."""
         n = len(target)
-        h, z = self.forward(context)
-        dz = np.exp(z)
+        h, dz = self.forward(context)
         dz[np.arange(n), target] -= 1
         dz /= n
         dh = (dz @ self.out.T) * (1 - h * h)
         flat, places = dh.reshape(-1).astype(np.float64), np.arange(WIDTH)
-        embed = np.stack([np.bincount((context[:, k, None] * WIDTH + places).reshape(-1), flat, (CLASSES + 1) * WIDTH).reshape(-1, WIDTH)
+        embed = np.stack([np.bincount((context[:, k, None] * WIDTH + places).reshape(-1), flat, (self.classes + 1) * WIDTH).reshape(-1, WIDTH)
                           for k in range(2 * SIDE)])
         for a, s, g in zip(self.arrays, squares, (embed, dh.sum(0), h.T @ dz, dz.sum(0))):
             s += g * g
             a -= (rate * g / (np.sqrt(s) + 1e-6)).astype(np.float32)
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """For each token the SIDE tokens before and the SIDE after it; beyond the text stands PAD."""
-    padded = np.concatenate([np.full(SIDE, PAD, ids.dtype), ids, np.full(SIDE, PAD, ids.dtype)])
+def windows(ids: np.ndarray, pad: int = PAD) -> np.ndarray:
+    """For each token the SIDE tokens before and the SIDE after it; beyond the text stands ``pad``."""
+    padded = np.concatenate([np.full(SIDE, pad, ids.dtype), ids, np.full(SIDE, pad, ids.dtype)])
     n = len(ids)
     return np.stack([padded[k:k + n] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
 
 
 class _Classes(dict):
-    """Word to class: common words have their own, others share hashed ones."""
+    """Word to class: common words have their own, others share the last quarter, by hash."""
+
+    def __init__(self, own: dict, classes: int = CLASSES):
+        super().__init__(own)
+        self.hashed = classes // 4
+        self.common = classes - self.hashed
 
     def __missing__(self, word: bytes) -> int:
-        found = COMMON + crc32(word) % HASHED
+        found = self.common + crc32(word) % self.hashed
         if len(self) < 200_000:
             self[word] = found
         return found
@@ -105,8 +128,18 @@ def class_ids(text: str | None, classes: dict) -> np.ndarray:
     return np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
 
 
-def common_words(docs: DataFrame) -> list[bytes]:
-    """The most common words of all texts, ties by the word: counts of every word, combined in each batch before the shuffle."""
+class _LogShares(dict):
+    """Word to log P(word | class); words without an entry count 0 and are gathered in ``missed``."""
+
+    missed: list[bytes]
+
+    def __missing__(self, word: bytes) -> float:
+        self.missed.append(word)
+        return 0.0
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word of all texts, combined in each batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +149,13 @@ def common_words(docs: DataFrame) -> list[bytes]:
                     counts.update((t or "").encode().lower().split())
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def common_words(docs: DataFrame, counts: DataFrame | None = None, n: int = COMMON) -> list[bytes]:
+    """The ``n`` most common words of all texts, ties by the word."""
+    counted = word_counts(docs) if counts is None else counts
+    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
 
 
 def _train_round(docs: DataFrame, words: list[bytes], network: WindowNetwork, rate: float) -> WindowNetwork:
@@ -125,7 +163,7 @@ def _train_round(docs: DataFrame, words: list[bytes], network: WindowNetwork, ra
     own = {w: i for i, w in enumerate(words)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, classes, seen = WindowNetwork(*(a.copy() for a in network.arrays)), _Classes(own), 0
+        net, classes, seen = WindowNetwork(*(a.copy() for a in network.arrays)), _Classes(own, network.classes), 0
         squares = [np.full(a.shape, 0.1) / BATCH for a in net.arrays]
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -143,7 +181,7 @@ def _train_round(docs: DataFrame, words: list[bytes], network: WindowNetwork, ra
             for part in small_batches(batch, 0):
                 for t in part.column(0).to_pylist():
                     ids = class_ids(t, classes)
-                    held.append((windows(ids), ids))
+                    held.append((windows(ids, net.classes), ids))
                     size += len(ids)
                     if size >= 16 * BATCH:
                         flush(False)
@@ -160,48 +198,106 @@ def _train_round(docs: DataFrame, words: list[bytes], network: WindowNetwork, ra
         return network
     values = np.empty(len(rows))
     values[[r["slot"] for r in rows]] = [r["value"] for r in rows]
-    return WindowNetwork.from_flat(values)
+    return WindowNetwork.from_flat(values, network.classes)
 
 
-def fit_network(df: DataFrame, text: str = "text", rounds: int = 2, rate: float = 0.1, seed: int = 0) -> tuple[list[bytes], WindowNetwork]:
+def fit_network(df: DataFrame, text: str = "text", rounds: int = 2, rate: float = 0.1, seed: int = 0,
+                counts: DataFrame | None = None) -> tuple[list[bytes], WindowNetwork]:
     """Word classes from the counts of all words, and the network trained on every window of every text once.
 
+    ``counts`` is ``word_counts`` of the texts as a table, if there is one
+    already. The number of classes follows its rows (``class_count``).
+
     Round r trains on the texts whose hash is r modulo ``rounds``; its tasks run
     apart and their weights are averaged, so what moves is one set of weights
     for each task and the word counts, both in proportion to the corpus.
     """
     docs = renamed(df, text=text)
-    words, network = common_words(docs), WindowNetwork.fresh(seed)
+    counts = written(word_counts(docs), "words") if counts is None else counts
+    classes = class_count(counts.count())
+    words, network = common_words(docs, counts, classes - classes // 4), WindowNetwork.fresh(seed, classes)
     for r in range(rounds):
         part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
         network = _train_round(part, words, network, rate / (1 + r))
     return words, network
 
 
-def score_texts(df: DataFrame, words: list[bytes], network: WindowNetwork, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _shared_words(counts: DataFrame, words: list[bytes], classes: int) -> tuple[DataFrame, dict[int, int]]:
+    """Words that share a class with others, with that class, and the count of all words of each such class."""
+    spark = counts.sparkSession
+    own = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    hashed = classes // 4
+    shared = counts.join(F.broadcast(own), "word", "left_anti").withColumn("class", F.lit(classes - hashed) + F.crc32("word") % hashed)
+    return shared, {r["class"]: r["total"] for r in shared.groupBy("class").agg(F.sum("n").alias("total")).collect()}
+
+
+def _frequent_from(shared: DataFrame, frequent: int) -> int:
+    """The smallest count that at most ``frequent`` words reach, by steps of an eighth of a power of two."""
+    step = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int").alias("step")
+    least, seen = 1 << 62, 0
+    for r in sorted(shared.groupBy(step).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect(), reverse=True):
+        seen += r["words"]
+        if seen > frequent:
+            break
+        least = r["least"]
+    return least
+
+
+def score_texts(df: DataFrame, words: list[bytes], network: WindowNetwork, key: str = "doc_id", text: str = "text",
+                counts: DataFrame | None = None, frequent: int = 200_000) -> DataFrame:
     """(key, n_tokens, pseudo_log_likelihood, mean_log_prob): one row for each row of ``df``.
 
     Each word of a whole text is masked and predicted from the two words on
-    either side; the conditional log-probabilities of its class are summed. Null
-    and blank texts have no tokens, a sum of 0 and a null mean. Null keys and
-    repeated rows are scored like any other; other columns are ignored.
+    either side: log P(class | both sides) + log P(word | class), summed over the
+    text. The second term comes from ``counts``, the table (word, n) of the texts
+    that the network was fitted on: n over the words of the class and one more,
+    which stands for all unseen words. Without ``counts`` the sum is that of the
+    classes alone. About ``frequent`` words at most go to the tasks by value; all
+    others are joined to the table. Null and blank texts have no tokens, a sum of
+    0 and a null mean. Null keys and repeated rows are scored like any other;
+    other columns are ignored.
     """
-    own = {w: i for i, w in enumerate(words)}
+    own, known = {w: i for i, w in enumerate(words)}, dict.fromkeys(words, 0.0)
+    whole = counts is not None
+    if whole:
+        shared, totals = _shared_words(counts, words, network.classes)
+        least = _frequent_from(shared, frequent)
+        for r in shared.filter(F.col("n") >= least).collect():
+            known[bytes(r["word"])] = float(np.log(r["n"]) - np.log(totals[r["class"]] + 1))
+    given = df.sparkSession.sparkContext.broadcast(known)
 
     def start():
-        classes = _Classes(own)
+        classes, shares = _Classes(own, network.classes), _LogShares(given.value if whole else {})
 
         def work(texts):
-            sizes, sums = [], []
-            ids = [class_ids(t, classes) for t in texts]
-            for x in ids:
+            sizes, sums, rest, times = [], [], [], []
+            for t in texts:
+                x = class_ids(t, classes)
+                shares.missed = []
+                second = sum(map(shares.__getitem__, (t or "").encode().lower().split())) if whole else 0.0
+                missed = Counter(shares.missed)
                 sizes.append(len(x))
-                sums.append(float(network.log_probs(x).sum(dtype=np.float64)))
-            return [sizes, sums]
+                sums.append(float(network.log_probs(x).sum(dtype=np.float64)) + second)
+                rest.append(list(missed))
+                times.append(list(missed.values()))
+            return [sizes, sums, rest, times]
 
         return work
 
     docs = renamed(df, key=key, text=text)
-    scored = arrow_pass(docs, ["key"], "text", [("n_tokens", T.LongType()), ("pseudo_log_likelihood", T.DoubleType())], start)
+    fields = [("n_tokens", T.LongType()), ("pseudo_log_likelihood", T.DoubleType()), ("rest", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.LongType()))]
+    scored = arrow_pass(docs, ["key"], "text", fields, start)
+    if whole:
+        scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # the table keeps the numbers
+        pairs = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("row", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
+        hashed = network.classes // 4
+        pairs = pairs.withColumn("class", F.lit(network.classes - hashed) + F.crc32("word") % hashed)
+        sums = F.broadcast(df.sparkSession.createDataFrame(list(totals.items()), "class long, total long"))
+        found = pairs.join(shared.filter(F.col("n") < least).select("word", "n"), "word", "left").join(sums, "class", "left")
+        share = F.log(F.coalesce("n", F.lit(1)).cast("double")) - F.log(F.coalesce("total", F.lit(0)) + F.lit(1.0))
+        second = found.groupBy("row").agg(F.sum(F.col("times") * share).alias("second"))
+        total = F.col("pseudo_log_likelihood") + F.coalesce("second", F.lit(0.0))
+        scored = scored.join(second, "row", "left").withColumn("pseudo_log_likelihood", total)
+    scored = scored.select("key", "n_tokens", "pseudo_log_likelihood")
     mean = F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens"))
     return scored.withColumn("mean_log_prob", mean).withColumnRenamed("key", key)

@@ -63,9 +63,11 @@ def _op2(t):
 
 @query("op3_lm_scoring")
 def _op3(t):
-    from .lm_scoring import fit_network, score_texts
+    from .common import written
+    from .lm_scoring import fit_network, score_texts, word_counts
     docs = t("documents")
-    return score_texts(docs, *fit_network(docs, rounds=2))
+    counts = written(word_counts(docs), "words")
+    return score_texts(docs, *fit_network(docs, rounds=2, counts=counts), counts=counts)
 
 
 @query("op4_toxicity")
