@@ -109,15 +109,17 @@ def fit_quality(df: DataFrame, text: str = "text", train_rows: int = 20_000) ->
     """Label model from the votes on every row, scorer from posterior labels of about ``train_rows`` rows.
 
     The votes reach the driver as counts of vote patterns, at most 3^9 whatever
-    the rows. The scorer's sample takes rows by a hash of their text below a
-    threshold that makes ``train_rows`` of them expected (all, if there are fewer).
+    the rows. The scorer's sample takes distinct texts by a hash below a threshold
+    that makes ``train_rows`` of them expected (all, if there are fewer); copies
+    count once and null texts are left out, so no group of rows can fill it.
     """
     docs = renamed(df, text=text)
     patterns = arrow_pass(docs, [], "text", [("code", T.LongType())], _votes).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()
     votes = pattern_votes(np.array([r["code"] for r in patterns], dtype=np.int64), VOTERS)
     labels = fit(votes, np.array([float(r["n"]) for r in patterns]), prior=0.8, weights=(3.0, 1.0))
-    share = train_rows / max(1, sum(r["n"] for r in patterns))
-    drawn = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(min(1 << 30, int(share * (1 << 30)) + 1)))
+    filled = docs.filter("text is not null")
+    share = train_rows / max(1, filled.agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).first()[0])
+    drawn = filled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(min(1 << 30, int(share * (1 << 30)) + 1))).distinct()
     fields = [("code", T.LongType()), ("place", T.ArrayType(T.IntegerType())), ("value", T.ArrayType(T.FloatType()))]
     sample = arrow_pass(drawn, [], "text", fields, _features).toPandas()
     sizes = sample["place"].map(len).to_numpy(dtype=np.int64) if len(sample) else np.zeros(0, np.int64)

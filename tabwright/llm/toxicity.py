@@ -154,7 +154,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     About ``train_rows`` labelled rows, drawn by a hash of the key (all, if there
     are fewer), give the lexicon and known labels; the label model is fitted on
     the vote patterns of all rows, 3^11 counts at most; the linear scorer on the
-    posterior labels of the labelled rows and of about ``train_rows`` others.
+    posterior labels of the labelled rows and of about ``train_rows`` others,
+    rows of equal key, votes and hits once.
 
     The inputs of a score are the text alone. Null texts count as empty; a text
     without any vote still gets its score. Null keys and repeated rows are scored
@@ -175,7 +176,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     codes, marks, counts = (np.array([r[c] for r in patterns], dtype=np.int64) for c in ("code", "toxic", "n"))
     model = fit(pattern_votes(codes, VOTERS), counts.astype(float), correlated=True, known=marks, prior=0.1)
     rest = train_rows / max(1, int(counts[marks < 0].sum()))
-    train = voted.filter((F.col("toxic") >= 0) | _below(rest, F.col("key"), F.col("hits"))).select("code", "hits", "toxic").collect()
+    train = voted.filter((F.col("toxic") >= 0) | _below(rest, F.col("key"), F.col("hits"))).select("key", "code", "hits", "toxic").distinct().collect()
     code = np.array([r["code"] for r in train], dtype=np.int64)
     gold = np.array([r["toxic"] for r in train], dtype=np.int64)
     target = np.where(gold < 0, model.posterior(pattern_votes(code, VOTERS)), gold) if len(train) else np.zeros(0)
