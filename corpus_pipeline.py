@@ -12,8 +12,9 @@ from tabwright.llm.line_dedup import line_dedup
 from tabwright.llm.packing import pack
 from tabwright.llm.quality_model import fit_quality, score_quality
 from tabwright.llm.simhash import near_duplicates
+from tabwright.llm.tokens import added_tokens
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def _boxed(docs: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 token ids with their sequence and offset."""
-    return pack(docs, public_tokenizers.path(VOCABULARY), "doc_id", "text", capacity=1024, end_id=0)
+    added = added_tokens(public_tokenizers.path(TOKENIZER))
+    return pack(docs, public_tokenizers.path(VOCABULARY), "doc_id", "text", capacity=1024, end_id=0, added=added)
 
 
 STAGES = [

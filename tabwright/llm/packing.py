@@ -16,7 +16,8 @@ from .tokens import encoder, shared_vocabulary
 MAX_BUCKETS = 4096
 
 
-def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 0) -> DataFrame:
+def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 0,
+           added: dict[str, int] | None = None) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, salt): each document's ids and ``end_id``, cut at multiples of ``capacity``.
 
     Null texts count as empty and hold ``end_id`` alone. ``ids_crc32`` is over
@@ -27,7 +28,7 @@ def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     def start():
         from zlib import crc32
 
-        encode, salt = encoder(shared.value), 0
+        encode, salt = encoder(shared.value, added), 0
 
         def cut(text: str | None) -> tuple[list[int], int]:
             ids = [np.array(encode(part), dtype="<u4") for part in safe_pieces(text or "", 1 << 18)]
@@ -122,10 +123,12 @@ def _placer(rows: list[tuple], names: list[str]):
     return run
 
 
-def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 0,
+         added: dict[str, int] | None = None) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece.
 
-    A piece of ``capacity`` ids fills a sequence. Only the histogram of piece
+    Tokens of ``added`` inside a text get their ids; without it they are ordinary
+    text. A piece of ``capacity`` ids fills a sequence. Only the histogram of piece
     lengths, ``capacity`` numbers at most, reaches the driver, which plans the
     sequences by minimum bin slack. A piece finds its place by its rank among
     the pieces of its length: pieces are numbered inside buckets of (length,
@@ -134,7 +137,7 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
     alone); null keys and repeated rows are packed like any other; an empty
     table gives no rows.
     """
-    cut = written(pieces(df, vocabulary, key, text, capacity, end_id), "pieces")
+    cut = written(pieces(df, vocabulary, key, text, capacity, end_id, added), "pieces")
     n_buckets = max(1, min(MAX_BUCKETS, cut.count() // 1000))
     dealt = cut.withColumn("bucket", bucket(n_buckets, F.col("key"), F.col("start"), F.col("salt")))
     sizes = written(dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")

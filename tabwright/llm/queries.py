@@ -44,7 +44,9 @@ def _op1(t):
     import public_tokenizers
 
     from .packing import pack
-    return pack(t("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=0)
+    from .tokens import added_tokens
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(t("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=0, added=added)
 
 
 @query("op8_quality_classifier")

@@ -17,11 +17,23 @@ def shared_vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoder(vocabulary: bytes) -> Callable[[str], list[int]]:
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file and their ids; only tokens that take no text around them."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError(f"{path}: an added token depends on the text around it")
+    return {t["content"]: t["id"] for t in found}
+
+
+def encoder(vocabulary: bytes, added: dict[str, int] | None = None) -> Callable[[str], list[int]]:
     """Text to ids, for a vocabulary of lines "base64-token rank".
 
-    Names of special tokens inside a text are ordinary text. The look-ahead only
-    matters where white space repeats, and the pattern without it is faster.
+    A text is cut at the tokens of ``added``, which become their ids; without
+    ``added`` their names are ordinary text. The look-ahead only matters where
+    white space repeats, and the pattern without it is faster.
     """
     import base64
     import re
@@ -32,7 +44,16 @@ def encoder(vocabulary: bytes) -> Callable[[str], list[int]]:
     exact, quick = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("exact", PATTERN), ("quick", NO_LOOKAHEAD)))
     repeated = re.compile(r"\s\s").search
 
-    def encode(text: str) -> list[int]:
+    def ordinary(text: str) -> list[int]:
         return (exact if repeated(text) else quick).encode_ordinary(text)
 
+    if not added:
+        return ordinary
+    marks = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+
+    def encode(text: str) -> list[int]:
+        if not marks.search(text):
+            return ordinary(text)
+        return [i for part in marks.split(text) for i in ([added[part]] if part in added else ordinary(part))]
+
     return encode
