@@ -160,3 +160,33 @@ def _op9(t):
     found = host_rules(t("documents"), host="source", min_words=50, max_repeat_percent=50, max_host_rate=0.5)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("doc_id", *counts, "base_failed", "kept", (F.round("host_rate", 6) + 0.0).alias("host_rate"))
+
+
+GAINS_SQL = r"""
+WITH words AS (SELECT doc_id, benchmark, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+               FROM (SELECT doc_id, text, FALSE AS benchmark FROM documents UNION ALL SELECT item_id, text, TRUE FROM benchmark)),
+runs AS (SELECT doc_id, benchmark, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+n AS (SELECT doc_id, benchmark, f, count(*) AS n FROM runs GROUP BY ALL),
+tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT) ORDER BY i) AS t
+        FROM range(256) AS r(i)),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT)),
+                    lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS b FROM h, tab),
+tally AS (SELECT b, sum(CASE WHEN benchmark THEN 0 ELSE n END) AS s, sum(CASE WHEN benchmark THEN n ELSE 0 END) AS t FROM n JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((t + 1.0::DOUBLE) * (SELECT sum(s) + 10000.0::DOUBLE FROM tally)
+                      / ((s + 1.0::DOUBLE) * (SELECT sum(t) + 10000.0::DOUBLE FROM tally)))) AS gain FROM tally),
+m AS (SELECT doc_id, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM n JOIN b USING (f) JOIN g USING (b) WHERE NOT benchmark GROUP BY doc_id),
+d AS (SELECT w.doc_id, len(w.w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+             CAST('0x' || substr(sha256('7:' || CAST(w.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+      FROM words w LEFT JOIN m ON w.doc_id = m.doc_id WHERE NOT benchmark),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (SELECT 25 * count(*) // 100 FROM z WHERE n_words >= 20) THEN place END AS rank FROM p"""
+
+
+@query("op11_importance_resampling", GAINS_SQL)
+def _op11(t):
+    from .importance import importance_resample
+    drawn = importance_resample(t("documents"), t("benchmark"), order=2, buckets=10_000, min_words=20, percent=25, salt="7")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
