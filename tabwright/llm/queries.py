@@ -190,3 +190,25 @@ def _op11(t):
     from .importance import importance_resample
     drawn = importance_resample(t("documents"), t("benchmark"), order=2, buckets=10_000, min_words=20, percent=25, salt="7")
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+URLS_SQL = f"""
+WITH r AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path
+           FROM (VALUES {', '.join(str(x) for x in URL_RULES)}) AS v(rule, verdict)),
+p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM p),
+h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM s)
+SELECT h.page_id, host, path, max_by(rule, length(rule)) AS rule, coalesce(max_by(verdict, length(rule)), 'allow') AS verdict
+FROM h LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY h.page_id, host, path"""
+
+
+@query("op12_url_filters", URLS_SQL)
+def _op12(t):
+    from .urls import filter_urls
+    pages = t("pages")
+    rules = pages.sparkSession.createDataFrame(URL_RULES, "rule string, verdict string")
+    return filter_urls(pages, rules, key="page_id", url="url", default="allow")
