@@ -212,3 +212,22 @@ def _op12(t):
     pages = t("pages")
     rules = pages.sparkSession.createDataFrame(URL_RULES, "rule string, verdict string")
     return filter_urls(pages, rules, key="page_id", url="url", default="allow")
+
+
+@query("op13_periodic_runs")
+def _op13(t):
+    from .runs import periodic_runs
+    docs = t("documents", "doc_id", "text", "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) AS h")
+    docs = docs.withColumn("words", F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.expr("CAST(h div 10 % greatest(n, 1) AS INT)"))
+    docs = docs.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + h div 10 % 8) AS INT)"))
+    head, cycle = F.expr("slice(words, 1, a)"), F.expr("slice(words, a + 1, p)")
+    planted = F.array_join(F.slice(F.concat(head, F.flatten(F.array_repeat(cycle, F.expr("CAST(ceil((n - a) / p) AS INT)")))), F.lit(1), F.col("n")), " ")
+    docs = docs.select("doc_id", F.when(F.expr("h % 10 = 0 AND n > 0"), planted).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(docs, min_length=6, repeats=4)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("low"), (-r.period).alias("few"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.low")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.few")).alias("period"), F.expr("longest.length * 1000 div -longest.few").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
