@@ -27,11 +27,15 @@ def local_session(cores: str | int = 8, name: str = "tabwright") -> SparkSession
     return spark
 
 
+_OWN_FOLDERS: dict[str, str] = {}  # by application id, where no shared folder is set
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder of its own; a cluster
-    without the setting is an error, since executors share no local disk.
+    without the setting is an error, since executors share no local disk. The
+    setting can't change while Spark runs, so that folder is remembered here.
     """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -39,9 +43,10 @@ def work_dir(spark: SparkSession) -> str:
         return folder
     if not conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = os.environ.get("TABWRIGHT_WORK_DIR") or tempfile.mkdtemp(prefix="tabwright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    run = spark.sparkContext.applicationId
+    if run not in _OWN_FOLDERS:
+        _OWN_FOLDERS[run] = os.environ.get("TABWRIGHT_WORK_DIR") or tempfile.mkdtemp(prefix="tabwright-")
+    return _OWN_FOLDERS[run]
 
 
 def scratch_path(spark: SparkSession, stem: str) -> str:

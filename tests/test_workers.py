@@ -26,3 +26,27 @@ def run_elsewhere(folder, *names):
 def test_queries_run_from_another_folder(tmp_path):
     got = run_elsewhere(tmp_path, "nearest_distances_v01", "linear_utility_wide_v07", "impute_neighbours_f13")
     assert len(got) == 3 and all(int(n) > 0 for n in got.values())
+
+
+PLAIN = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from tabwright.session import local_session, materialize, stored, work_dir
+spark = local_session(2)
+assert spark.sparkContext.getConf().get("spark.checkpoint.dir") is None, "the run must have no preset folder"
+print("folder", work_dir(spark) == work_dir(spark), work_dir(spark) == sys.argv[2])
+print("rows", materialize(spark.range(5)).count() + stored(spark.range(6)).count())
+"""
+
+
+def test_work_folder_without_any_setting(tmp_path):
+    conf, own = tmp_path / "conf", tmp_path / "own"
+    conf.mkdir()
+    own.mkdir()
+    for folder in (str(own), ""):
+        env = {k: v for k, v in os.environ.items() if k != "TABWRIGHT_WORK_DIR"} | {"SPARK_CONF_DIR": str(conf)}
+        env |= {"TABWRIGHT_WORK_DIR": folder} if folder else {}
+        done = subprocess.run([sys.executable, "-c", PLAIN, ROOT, folder], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr[-2000:]
+        assert f"folder True {bool(folder)}" in done.stdout and "rows 11" in done.stdout
+    assert list(own.iterdir())
