@@ -1,27 +1,35 @@
-"""Exact k-nearest-neighbour join.
+"""k-nearest-neighbour join, exact by a pivot tree, or approximate by random-projection buckets.
 
 Identical vectors are merged first, so copies cost nothing. Rows are then
-assigned to the nearest of a bounded set of pivots. Each query first searches
-its home cells, which gives a true upper bound on its k-th distance, and then
-only the cells that the triangle inequality cannot rule out. Large cells are
-cut into chunks on both sides, so a task meets two bounded blocks and emits at
-most k neighbours per query, never all pairs.
+sorted into the cells of a tree of pivots that is grown from bounded samples
+until no cell is too large. Each query first searches its home cell, which
+gives a true upper bound on its k-th distance, and then only the cells that
+the radii and planes of every level can't rule out. Cells are cut into chunks
+on both sides, so a task meets two bounded blocks and emits at most k
+neighbours per query, never all pairs.
+
+The approximate search sorts rows into equal buckets along random directions,
+several times over, and ranks what shares a bucket by exact distance.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.session import materialize
+from tabwright.operators.pivot_tree import FAN_OUT, PivotTree
+from tabwright.session import materialize, stored
 
 CHUNK_ROWS = 1024
-MAX_PIVOTS = 1024
+LEAF_ROWS = 256
+GROUP_ROWS = 1 << 15  # rows of both sides that a group of blocks should hold
+SAMPLE_ROWS = 1 << 16  # rows of too large cells that the driver sees in one round of growth
+TREE_BYTES = 1 << 27  # what a tree and the facts of its nodes may take on every executor
 PAIR_BLOCK = 1 << 21
+ROUTE_ROWS = 1 << 14
 
 
 def _block_topk(tv: np.ndarray, sv: np.ndarray, sid: np.ndarray, k: int):
@@ -54,35 +62,16 @@ def _block_topk(tv: np.ndarray, sv: np.ndarray, sid: np.ndarray, k: int):
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
+    if not len(vectors):
+        return np.zeros((0, 0))
     return np.stack(vectors.to_numpy()).astype("float64")
 
 
-def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances to every pivot by one matrix product; callers allow for its rounding."""
-    d2 = (vectors * vectors).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2.0 * vectors @ pivots.T
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
-def _assign(df: DataFrame, pivots, schema: str) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
-
-    def run(batches):
-        p = pivots.value
-        for pdf in batches:
-            if len(pdf):
-                d = _pivot_distances(_matrix(pdf["vec"]), p)
-                pdf["cell"] = d.argmin(axis=1).astype("int32")
-                pdf["radius"] = d.min(axis=1)
-                yield pdf
-
-    return df.mapInPandas(run, schema + ", cell int, radius double")
-
-
 def _search(queries: DataFrame, base: DataFrame, sizes: DataFrame, k: int, id_type: str) -> DataFrame:
     """Top-k of each query against the (part, cell) blocks it is routed to.
 
     ``queries`` is (t, vec, part, cell); ``base`` is (s, vec, part, cell).
-    ``sizes`` is (part, cell, s_chunks, t_chunks), one row per cell.
+    ``sizes`` is (part, cell, n, m, s_chunks, t_chunks), one row per cell.
     """
     spread = ["part", "cell"]
     left = (
@@ -97,16 +86,26 @@ def _search(queries: DataFrame, base: DataFrame, sizes: DataFrame, k: int, id_ty
         .withColumn("tc", F.explode(F.sequence(F.lit(0), F.col("t_chunks") - 1)))
         .select("part", "cell", "sc", "tc", "s", "vec")
     )
+    # blocks are dealt to groups of a bounded number of rows, since a group of its own for each costs more than its search
+    total = sizes.agg(F.sum(F.col("m") * F.col("s_chunks") + F.col("n") * F.col("t_chunks"))).first()[0] or 0
+    groups = max(1, -(-int(total) // GROUP_ROWS))
+    keys = ["part", "cell", "sc", "tc"]
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group")
     schema = f"t {id_type}, part string, s {id_type}, dist double"
 
     def near(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(t) or not len(s):
-            return pd.DataFrame({"t": [], "part": [], "s": [], "dist": []})
-        r, ids, dist = _block_topk(_matrix(t["vec"]), _matrix(s["vec"]), s["s"].to_numpy(), k)
-        return pd.DataFrame({"t": t["t"].to_numpy()[r], "part": s["part"].iloc[0], "s": ids, "dist": dist})
+        out = []
+        if len(t) and len(s):
+            there = s.groupby(keys, sort=False).indices
+            for key, rows in t.groupby(keys, sort=False).indices.items():
+                if key in there:
+                    base = s.iloc[there[key]]
+                    r, ids, dist = _block_topk(_matrix(t["vec"].iloc[rows]), _matrix(base["vec"]), base["s"].to_numpy(), k)
+                    out.append(pd.DataFrame({"t": t["t"].to_numpy()[rows][r], "part": key[0], "s": ids, "dist": dist}))
+        return pd.concat(out) if out else pd.DataFrame({"t": [], "part": [], "s": [], "dist": []})
 
-    keys = ["part", "cell", "sc", "tc"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, schema)
+    left, right = left.select(group, "*"), right.select(group, "*")
+    return left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(near, schema)
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
@@ -114,101 +113,166 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _route(queries: DataFrame, pivots, stats, parts: list[str], need: int, id_type: str,
-           bounds: bool) -> DataFrame:
-    """Rows (t, vec, part, cell) a query must visit.
+def _grown_tree(base: DataFrame, total: int, parts: int, leaf_rows: int, fan_out: int, id_type: str):
+    """(tree, rows with their cell): cells above ``leaf_rows`` are split again by samples of their own rows.
 
-    Without bounds: the nearest cells that together hold ``need`` rows. With
-    bounds (columns part, kth): every other cell whose lower bound on the
-    distance does not exceed the k-th distance already found.
+    Growth ends when every cell is small, holds one vector only, or the tree
+    reaches TREE_BYTES.
     """
-    schema = f"t {id_type}, vec array<double>, part string, cell int"
+    spark = base.sparkSession
+    width = len(base.first()["vec"])
+    tree, max_nodes = PivotTree(width), max(2, TREE_BYTES // (8 * (width + 2 + 3 * parts)))
+    placed, large, stuck = base.withColumn("cell", F.lit(0)), {0: total}, set()
+    while large and len(tree) + fan_out <= max_nodes:
+        turn = dict(sorted(large.items(), key=lambda x: -x[1])[:max(1, SAMPLE_ROWS // 64)])  # so that each has enough rows in the sample
+        rate = min(1.0, SAMPLE_ROWS / sum(turn.values()))
+        wanted = spark.createDataFrame([(c,) for c in turn], "cell int")
+        draw = F.pmod(F.xxhash64(F.lit(len(tree)), "s", "part"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)) + 1)
+        drawn = placed.where(draw).join(F.broadcast(wanted), "cell").select("cell", "vec").toPandas()
+        split = {cell for cell, rows in drawn.groupby("cell")
+                 if tree.grow(cell, _matrix(rows["vec"]), turn[cell], leaf_rows, fan_out, max_nodes)}
+        stuck |= set(turn) - split  # copies of one vector
+        if split:
+            placed = materialize(_placed(placed, spark.sparkContext.broadcast(tree), id_type))
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_rows)
+        large = {r["cell"]: r["n"] for r in sizes.collect() if r["cell"] not in stuck}  # fewer than the tree has nodes
+    return tree, placed
+
+
+def _placed(df: DataFrame, shared, id_type: str) -> DataFrame:
+    def run(batches):
+        tree = shared.value
+        for pdf in batches:
+            if len(pdf):
+                cell = pdf["cell"].to_numpy().astype("int64")
+                for rows, child, _ in tree.descend(_matrix(pdf["vec"]), cell.copy()):
+                    cell[rows] = child
+                yield pdf.assign(cell=cell.astype("int32"))
 
-    def home(dist: np.ndarray, count: np.ndarray) -> np.ndarray:
-        order = np.argsort(dist, axis=1, kind="stable")
-        filled = np.cumsum(count[order], axis=1)
-        visit_sorted = (filled - count[order] < need) & (count[order] > 0)
-        visit = np.zeros_like(visit_sorted)
-        np.put_along_axis(visit, order, visit_sorted, axis=1)
-        return visit
+    return df.mapInPandas(run, f"part string, s {id_type}, vec array<double>, cell int")
 
+
+def _node_facts(base: DataFrame, shared, parts: list[str]):
+    """Per part and node: rows, largest and smallest distance to the node's pivot; each task sends one row a node."""
     def run(batches):
-        p = pivots.value
-        count, far, nearest = stats.value
-        gap = _pivot_distances(p, p)
-        scale = 1.0 + np.sqrt((p * p).sum(axis=1)).max()
+        tree = shared.value
+        found: dict[tuple, list] = {}
         for pdf in batches:
             if not len(pdf):
                 continue
+            part = pdf["part"].to_numpy()
             vectors = _matrix(pdf["vec"])
-            dist = _pivot_distances(vectors, p)
-            size = np.sqrt((vectors * vectors).sum(axis=1))
-            own = dist.argmin(axis=1)
+            steps = [(np.arange(len(pdf)), np.zeros(len(pdf), "int64"), np.zeros(len(pdf))), *tree.descend(vectors, np.zeros(len(pdf), "int64"))]
+            for rows, child, dist in steps:
+                grouped = pd.DataFrame({"part": part[rows], "node": child, "dist": dist}).groupby(["part", "node"])["dist"].agg(["size", "max", "min"])
+                for key, n, high, low in grouped.itertuples():
+                    old = found.setdefault(key, [0, high, low])
+                    found[key] = [old[0] + n, max(old[1], high), min(old[2], low)]
+        yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["part", "node", "n", "far", "near"]).astype({"n": "int64", "node": "int64", "far": "float64", "near": "float64"})
+
+    facts = base.select("part", "vec").mapInPandas(run, "part string, node bigint, n bigint, far double, near double")
+    rows = facts.groupBy("part", "node").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.min("near").alias("near")).toPandas()
+    nodes = len(shared.value)
+    count, far, near = np.zeros((len(parts), nodes), "int64"), np.zeros((len(parts), nodes)), np.zeros((len(parts), nodes))
+    at = rows["part"].map({p: i for i, p in enumerate(parts)}).to_numpy(), rows["node"].to_numpy()
+    count[at], far[at], near[at] = rows["n"], rows["far"], rows["near"]
+    return count, far, near
+
+
+def _route(queries: DataFrame, shared, stats, parts: list[str], need: int, id_type: str, bounds: bool) -> DataFrame:
+    """Rows (t, vec, part, cell) a query must visit.
+
+    Without bounds: the cells of its home, the deepest node that holds ``need``
+    rows of the part. With bounds (columns part, kth): all other cells that may
+    hold a row nearer than the k-th distance already found.
+    """
+    schema = f"t {id_type}, vec array<double>, part string, cell int"
+
+    def run(batches):
+        tree = shared.value
+        count, far, near = stats.value
+        below: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = _matrix(batch.column("vec").to_pandas())
             for i, part in enumerate(parts):
-                mask = (pdf["part"] == part).to_numpy() if bounds else np.ones(len(pdf), bool)
-                if not mask.any():
+                mine = np.flatnonzero(batch.column("part").to_pandas() == part) if bounds else np.arange(len(vectors))
+                if not len(mine):
                     continue
-                d = dist[mask]
-                visit = home(d, count[i])
+                home = tree.homes(vectors[mine], count[i], need)
                 if bounds:
-                    kth = pdf["kth"].to_numpy()[mask][:, None]
-                    low = np.maximum(d - far[i], nearest[i] - d)
-                    near_d = d[np.arange(len(d)), own[mask]][:, None]
-                    span = gap[own[mask]]
-                    slack = 1e-6 * (scale + size[mask][:, None])
-                    wide = span > 1e3 * slack
-                    plane = (d * d - near_d * near_d) / (2 * np.where(wide, span, 1.0))
-                    low = np.where(wide, np.maximum(low, plane), low)
-                    slack = slack * (1.0 + np.where(wide, d / np.where(wide, span, 1.0), 0.0))
-                    visit = (low - slack <= kth) & (count[i] > 0) & ~visit
-                r, c = np.nonzero(visit)
-                if len(r):
-                    sub = pdf[mask]
-                    yield pd.DataFrame({"t": sub["t"].to_numpy()[r], "vec": sub["vec"].to_numpy()[r],
-                                        "part": part, "cell": c.astype("int32")})
-
-    return queries.mapInPandas(run, schema)
+                    kth = batch.column("kth").to_numpy()[mine]
+                    visits = list(tree.within(vectors[mine], kth, home, count[i], far[i], near[i]))
+                else:
+                    for node in np.unique(home).tolist():
+                        below.setdefault(node, tree.cells(node))
+                    visits = [(np.flatnonzero(home == node), cell) for node in np.unique(home).tolist()
+                              for cell in below[node][count[i][below[node]] > 0].tolist()]
+                cells = np.repeat([c for _, c in visits], [len(r) for r, _ in visits]).astype("int32")
+                rows = mine[np.concatenate([r for r, _ in visits])] if visits else mine[:0]
+                for at in range(0, len(rows), ROUTE_ROWS):
+                    sub = batch.select(["t", "vec"]).take(pa.array(rows[at:at + ROUTE_ROWS]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*sub.columns, pa.array([part] * sub.num_rows), pa.array(cells[at:at + ROUTE_ROWS])], names=["t", "vec", "part", "cell"])
+
+    return queries.mapInArrow(run, schema)
 
 
 def _chunks(cells: DataFrame, queries: DataFrame, chunk: int) -> DataFrame:
     """(part, cell, s_chunks, t_chunks): how many blocks each cell is cut into."""
     asked = queries.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("m"))
-    return cells.join(asked, ["part", "cell"]).select(
-        "part", "cell", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("s_chunks"),
-        F.ceil(F.col("m") / F.lit(chunk)).cast("int").alias("t_chunks"))
+    return stored(cells.join(asked, ["part", "cell"]).select(
+        "part", "cell", "n", "m", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("s_chunks"),
+        F.ceil(F.col("m") / F.lit(chunk)).cast("int").alias("t_chunks")))
 
 
-def knn_by_part(t: DataFrame, s: DataFrame, k: int, exclude_self: bool = False,
-                pivots: int | None = None, chunk: int = CHUNK_ROWS) -> DataFrame:
-    """For each row of ``t(id, vec)`` and each part of ``s(part, id, vec)``: its k nearest rows.
+def _merged(t: DataFrame, s: DataFrame, need: int):
+    """Rows (_id, vec), distinct queries (t, vec) and base (part, s, vec) with at most ``need`` copies of a vector per part.
 
-    Ties go to the smaller id. With ``exclude_self`` a row never meets the row
-    of equal id. Returns (t_id, part, s_id, dist, rank).
+    More copies can never be neighbours. They are cut per task-sized slice first,
+    so a vector that most rows share doesn't meet in one task.
     """
-    spark = t.sparkSession
-    id_type = s.schema["id"].dataType.simpleString()
-    need = k + 1 if exclude_self else k
     as_double = F.col("vec").cast("array<double>")
-    # at most `need` copies of one vector per part can ever be neighbours
-    copies = Window.partitionBy("part", "vec").orderBy("s")
-    base = (s.select(F.col("part").cast("string").alias("part"), F.col("id").alias("s"), as_double.alias("vec"))
-            .withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= need).drop("_r"))
+    base = s.select(F.col("part").cast("string").alias("part"), F.col("id").alias("s"), as_double.alias("vec"))
+    for slices in (64, 1):
+        copies = Window.partitionBy("part", "vec", F.pmod(F.xxhash64("s"), F.lit(slices))).orderBy("s")
+        base = base.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= need).drop("_r")
     rows = t.select(F.col("id").alias("_id"), as_double.alias("vec"))
     asks = rows.groupBy("vec").agg(F.min("_id").alias("t")).select("t", "vec")
-    base, asks = materialize(base), materialize(asks)
+    return rows, materialize(asks), materialize(base)
+
+
+def _one_cell(asks: DataFrame, base: DataFrame, need: int, chunk: int, id_type: str) -> DataFrame:
+    placed = base.withColumn("cell", F.lit(0))
+    facts = placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
+    labels = [r["part"] for r in facts.collect()]
+    homes = asks.select("t", "vec", F.explode(F.array(*map(F.lit, labels)).cast("array<string>")).alias("part"), F.lit(0).alias("cell"))
+    return _top(_search(homes, placed, _chunks(facts, homes, chunk), need, id_type), need)
+
 
+def knn_by_part(t: DataFrame, s: DataFrame, k: int, exclude_self: bool = False, pivots: int | None = None,
+                chunk: int = CHUNK_ROWS, leaf_rows: int = LEAF_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
+    """For each row of ``t(id, vec)`` and each part of ``s(part, id, vec)``: its k nearest rows.
+
+    Ties go to the smaller id. With ``exclude_self`` a row never meets the row
+    of equal id. ``leaf_rows`` is how many rows a cell of the tree may hold, or
+    ``pivots`` how many cells there should be (1: no tree); without either, a
+    small table has no tree. Returns (t_id, part, s_id, dist, rank).
+    """
+    id_type = s.schema["id"].dataType.simpleString()
+    need = k + 1 if exclude_self else k
+    rows, asks, base = _merged(t, s, need)
     total = base.count()
-    wanted = pivots or int(min(MAX_PIVOTS, max(1, math.sqrt(total / 4) if total > 8 * chunk else 1)))
-    if wanted == 1:
-        placed = base.withColumn("cell", F.lit(0))
-        facts = placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
-        labels = [r["part"] for r in facts.collect()]
-        homes = asks.select("t", "vec", F.explode(F.array(*map(F.lit, labels))).alias("part"),
-                            F.lit(0).alias("cell"))
-        found = _top(_search(homes, placed, _chunks(facts, homes, chunk), need, id_type), need)
+    leaf = -(-total // pivots) if pivots else leaf_rows if leaf_rows != LEAF_ROWS else max(leaf_rows, min(total, 8 * chunk))
+    if leaf >= total:
+        found = _one_cell(asks, base, need, chunk, id_type)
     else:
-        found = _pruned_search(asks, base, wanted, need, chunk, id_type)
+        found = _pruned_search(asks, base, total, leaf, fan_out, need, chunk, id_type)
+    return _answers(rows, asks, found, k, exclude_self)
+
 
+def _answers(rows: DataFrame, asks: DataFrame, found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     # one row per distinct vector carries its answers, so hot vectors join once
     answers = found.groupBy("t").agg(F.collect_list(F.struct("part", "s", "dist", "rank")).alias("near"))
     keyed = asks.join(answers, "t").select("vec", "near")
@@ -222,35 +286,140 @@ def knn_by_part(t: DataFrame, s: DataFrame, k: int, exclude_self: bool = False,
         "t_id", "n.part", F.col("n.s").alias("s_id"), "n.dist", "n.rank")
 
 
-def _pruned_search(asks: DataFrame, base: DataFrame, wanted: int, need: int, chunk: int,
-                   id_type: str) -> DataFrame:
-    """Home-cell search, then a second visit to the cells that may still hold a nearer row."""
+def _visits(asks: DataFrame, base: DataFrame, total: int, leaf: int, fan_out: int, need: int, chunk: int, id_type: str):
+    """(rows with their cells, home visits, found at home, visits that the bounds still ask for)."""
     spark = asks.sparkSession
-    picked = (base.groupBy("vec").agg(F.min("s").alias("s"))
-              .orderBy(F.xxhash64(F.lit(42), "s"), "s").limit(wanted).select("vec").collect())
-    points = spark.sparkContext.broadcast(np.array([r["vec"] for r in picked], dtype="float64"))
-    placed = materialize(_assign(base, points, f"part string, s {id_type}, vec array<double>"))
-    facts = placed.groupBy("part", "cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"), F.min("radius").alias("near")).collect()
-    parts = sorted({r["part"] for r in facts})
-    shape = (len(parts), len(picked))
-    count, far, near = np.zeros(shape, dtype="int64"), np.zeros(shape), np.zeros(shape)
-    for r in facts:  # at most parts x pivots rows
-        i = parts.index(r["part"])
-        count[i, r["cell"]], far[i, r["cell"]], near[i, r["cell"]] = r["n"], r["far"], r["near"]
-    stats = spark.sparkContext.broadcast((count, far, near))
-    cells = spark.createDataFrame(
-        [(r["part"], r["cell"], r["n"]) for r in facts], "part string, cell int, n bigint")
+    parts = sorted(r["part"] for r in base.select("part").distinct().collect())
+    tree, placed = _grown_tree(base, total, len(parts), leaf, fan_out, id_type)
+    shared = spark.sparkContext.broadcast(tree)
+    stats = spark.sparkContext.broadcast(_node_facts(base, shared, parts))
     blocks = placed.select("part", "cell", "s", "vec")
-
-    homes = _route(asks, points, stats, parts, need, id_type, bounds=False)
+    cells = blocks.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
+    homes = _route(asks, shared, stats, parts, need, id_type, bounds=False)
     found = materialize(_top(_search(homes, blocks, _chunks(cells, homes, chunk), need, id_type), need))
     kth = found.groupBy("t", "part").agg(F.max("dist").alias("kth"))
-    again = _route(asks.join(kth, "t"), points, stats, parts, need, id_type, bounds=True)
+    again = _route(asks.join(kth, "t"), shared, stats, parts, need, id_type, bounds=True)
+    return blocks, cells, homes, found, again
+
+
+def _pruned_search(asks: DataFrame, base: DataFrame, total: int, leaf: int, fan_out: int, need: int, chunk: int,
+                   id_type: str) -> DataFrame:
+    """Home search, then a second visit to the cells that may still hold a nearer row."""
+    blocks, cells, _, found, again = _visits(asks, base, total, leaf, fan_out, need, chunk, id_type)
     more = _search(again, blocks, _chunks(cells, again, chunk), need, id_type)
     return _top(found.drop("rank").unionByName(more), need)
 
 
+def search_cost(t: DataFrame, s: DataFrame, k: int, leaf_rows: int = LEAF_ROWS, fan_out: int = FAN_OUT) -> dict[str, int]:
+    """What an exact search of ``t(id, vec)`` in ``s(id, vec)`` costs: pairs compared, cells, rows of the largest cell.
+
+    ``fan_out`` at or above the number of cells gives one flat set of pivots.
+    """
+    id_type = s.schema["id"].dataType.simpleString()
+    _, asks, base = _merged(t, s.withColumn("part", F.lit("all")), k)
+    blocks, cells, homes, _, again = _visits(asks, base, base.count(), leaf_rows, fan_out, k, CHUNK_ROWS, id_type)
+    seen = homes.select("part", "cell").unionByName(again.select("part", "cell"))
+    pairs = seen.join(F.broadcast(cells), ["part", "cell"]).agg(F.sum("n")).first()[0]
+    size = cells.groupBy("cell").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("largest")).first()
+    return {"pairs": int(pairs), "cells": size["cells"], "largest": int(size["largest"])}
+
+
 def knn(t: DataFrame, s: DataFrame, k: int, exclude_self: bool = False, **tuning) -> DataFrame:
     """k nearest rows of ``s(id, vec)`` for each row of ``t(id, vec)``: (t_id, s_id, dist, rank)."""
     return knn_by_part(t, s.withColumn("part", F.lit("all")), k, exclude_self, **tuning).drop("part")
+
+
+class RandomBuckets:
+    """Equal buckets along random directions, dealt anew for every table.
+
+    A table halves the sample at its median along one direction a level, so
+    buckets are alike in size whatever the density. A query also goes to the
+    buckets behind its ``probes`` nearest medians.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, tables: int, seed: int):
+        self.depth, self.tables = depth, tables
+        rng = np.random.default_rng(seed)
+        self.planes = rng.normal(size=(tables, sample.shape[1], depth)) / np.sqrt(sample.shape[1])
+        self.medians = np.zeros((tables, (1 << depth) - 1 if depth else 0))
+        for table in range(tables):
+            along = sample @ self.planes[table]
+            at = np.zeros(len(sample), "int64")
+            for level in range(depth):
+                start = (1 << level) - 1
+                for node in range(1 << level):
+                    here = along[at == node, level]
+                    self.medians[table, start + node] = np.median(here) if len(here) else 0.0
+                at = 2 * at + (along[:, level] > self.medians[table, start + at])
+
+    def _walk(self, table: int, along: np.ndarray, flip: np.ndarray):
+        """Buckets and the distance to each median on the way; ``flip`` is the level at which a row takes the other side (-1: none)."""
+        at = np.zeros(len(along), "int64")
+        gaps = np.empty((len(along), self.depth))
+        for level in range(self.depth):
+            side = along[:, level] - self.medians[table, (1 << level) - 1 + at]
+            gaps[:, level] = np.abs(side)
+            at = 2 * at + ((side > 0) ^ (flip == level))
+        return at, gaps
+
+    def buckets(self, vectors: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cell): the buckets of all vectors in all tables, without repeats."""
+        rows, cells = [], []
+        none = np.full(len(vectors), -1)
+        for table in range(self.tables):
+            along = vectors @ self.planes[table]
+            at, gaps = self._walk(table, along, none)
+            found = [at]
+            nearest = np.argsort(gaps, axis=1, kind="stable")
+            for p in range(min(probes, self.depth)):
+                found.append(self._walk(table, along, nearest[:, p])[0])
+            for bucket in found:
+                rows.append(np.arange(len(vectors)))
+                cells.append((table << self.depth) + bucket)
+        both = np.unique(np.stack([np.concatenate(rows), np.concatenate(cells)]), axis=1) if rows else np.zeros((2, 0), "int64")
+        return both[0], both[1]
+
+
+def _bucketed(df: DataFrame, shared, keep: list[str], probes: int) -> DataFrame:
+    def run(batches):
+        buckets = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, cells = buckets.buckets(_matrix(batch.column("vec").to_pandas()), probes)
+            for at in range(0, len(rows), ROUTE_ROWS):
+                sub = batch.take(pa.array(rows[at:at + ROUTE_ROWS]))
+                yield pa.RecordBatch.from_arrays([*sub.columns, pa.array(cells[at:at + ROUTE_ROWS])], names=[*keep, "cell"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    return df.select(*keep).mapInArrow(run, f"{kinds}, cell bigint")
+
+
+def knn_approximate(t: DataFrame, s: DataFrame, k: int, exclude_self: bool = False, tables: int = 8, bucket_rows: int = 256,
+                    probes: int = 3, sample_rows: int = SAMPLE_ROWS, seed: int = 7, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """k near rows of ``s(id, vec)`` for each row of ``t(id, vec)``: (t_id, s_id, dist, rank), as ``knn`` but not all of the nearest.
+
+    Every row is in one bucket of about ``bucket_rows`` rows in each of
+    ``tables`` tables; what a query meets in its buckets and behind ``probes``
+    medians of each table is ranked by exact distance. Medians come from
+    ``sample_rows`` rows at most; buckets stop halving at eight of them and grow
+    with the table beyond. Raise ``tables`` and ``probes`` for more recall.
+    """
+    spark = t.sparkSession
+    id_type = s.schema["id"].dataType.simpleString()
+    need = k + 1 if exclude_self else k
+    rows, asks, base = _merged(t, s.withColumn("part", F.lit("all")), need)
+    total = base.count()
+    rate = min(1.0, sample_rows / max(total, 1))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "s"), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)) + 1)
+    first = asks.first()
+    if not total or first is None:
+        return _answers(rows, asks, asks.limit(0).selectExpr("t", "'all' AS part", f"CAST(NULL AS {id_type}) AS s", "0D AS dist", "1 AS rank"), k, exclude_self).drop("part")
+    sample = _matrix(base.where(draw).select("vec").toPandas()["vec"]).reshape(-1, len(first["vec"]))
+    wanted = max(1.0, min(total / bucket_rows, len(sample) / 8))
+    shared = spark.sparkContext.broadcast(RandomBuckets(sample, int(np.ceil(np.log2(wanted))), tables, seed))
+    blocks = _bucketed(base, shared, ["part", "s", "vec"], 0)
+    cells = blocks.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
+    homes = _bucketed(asks.withColumn("part", F.lit("all")), shared, ["t", "vec", "part"], probes)
+    met = _search(homes, blocks, _chunks(cells, homes, chunk), need, id_type).dropDuplicates(["t", "part", "s"])
+    return _answers(rows, asks, _top(met, need), k, exclude_self).drop("part")

@@ -10,7 +10,7 @@ from tabwright.functions.text import value_text
 from tabwright.operators import recode as R
 from tabwright.operators import relational as J
 from tabwright.operators import unitcode as C
-from tabwright.operators.knn import knn
+from tabwright.operators.knn import knn, knn_approximate
 from tabwright.plans.registry import ENCOUNTERS, SCORED, SCORES, Tables, encounters, query, r, rounded, u
 from tabwright.session import materialize, scratch_path
 from tabwright.sources import state as S
@@ -309,6 +309,20 @@ def nearest_points_pruned(t: Tables):
     return rounded(near.groupBy("t_id").agg(F.min_by("s_id", tied).alias("s_id"), F.min("dist").alias("dist")))
 
 
+@query("approximate_neighbours_j06", """
+    SELECT count(*) AS n_queries, 5 * count(*) AS n_pairs, TRUE AS ranked, TRUE AS recall_reached FROM embeddings WHERE vec_id % 50 = 0""")
+def approximate_neighbours(t: Tables):
+    vec = t("embeddings", "vec_id AS id", "embedding AS vec")
+    asked = vec.where("id % 50 = 0")
+    near = knn_approximate(asked, vec, 5, exclude_self=True).withColumnRenamed("dist", "near_dist")
+    true = knn(asked, vec, 5, exclude_self=True).select("t_id", "s_id", "dist")
+    both = near.join(true, ["t_id", "s_id"], "left")
+    met = F.count_if(F.abs(F.col("near_dist") - F.col("dist")) <= 1e-9)
+    per = both.groupBy("t_id").agg(F.count(F.lit(1)).alias("n"), met.alias("met"), F.max("rank").alias("last"))
+    return per.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("n").alias("n_pairs"), F.bool_and(F.col("last") == 5).alias("ranked"),
+                   (F.sum("met") >= 0.9 * F.sum("n")).alias("recall_reached"))
+
+
 _STATUS_LIMITS = _LIMITS_SQL.format(col="event_type", expr="event_type", table="events")
 
 
