@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.rand import hash_uniform
 from tabwright.session import stored
@@ -55,6 +58,54 @@ def key_rank(df: DataFrame, keys: list[str], out: str = "rank",
     return running_sums(df.withColumn("_one", F.lit(1).cast("bigint")), keys, {out: "_one"}, by).drop("_one")
 
 
+def ceiling_lookup(df: DataFrame, col: str, table: DataFrame, bound: str, payload: list[str], out: str,
+                   broadcast_rows: int = 200_000, spread: Column | None = None) -> DataFrame:
+    """Add ``out``, a struct of the ``payload`` of the row of ``table`` with the smallest ``bound`` at or above ``col``.
+
+    Null where there is none or ``col`` is null; bounds are unique and the first
+    of the ``payload`` columns is never null. Up to
+    ``broadcast_rows`` bounds go to the tasks as one sorted array for a binary
+    search and no row moves. More are merged with the distinct values in one
+    range-partitioned pass and joined back by value. Rows where ``spread`` is
+    true get null and are dealt out evenly there, whatever their value.
+    """
+    spark = df.sparkSession
+    kept = table.select(F.col(bound).alias("_bound"), *payload)
+    few = kept.limit(broadcast_rows + 1).toPandas() if broadcast_rows else None
+    if few is not None and len(few) <= broadcast_rows:
+        kind = T.StructType([kept.schema[c] for c in payload])
+        few = few.sort_values("_bound", ignore_index=True)
+        rows = few[payload].astype({c: "Int64" for c in payload if few[c].dtype == "int64"})
+        shared = spark.sparkContext.broadcast((few["_bound"].to_numpy(), rows))
+
+        @F.pandas_udf(kind)
+        def search(x: pd.Series) -> pd.DataFrame:
+            bounds, rows = shared.value
+            at = np.searchsorted(bounds, x.to_numpy(), side="left")
+            return rows.reindex(np.where(x.isna(), len(bounds), at)).reset_index(drop=True)
+
+        there = F.col(out)[payload[0]].isNotNull()
+        return df.withColumn(out, search(F.col(f"`{col}`"))).withColumn(out, F.when(there if spread is None else there & ~spread, F.col(out)))
+    key = F.col(f"`{col}`")
+    asked = df.select(key.alias("_x")).where(F.col("_x").isNotNull() if spread is None else F.col("_x").isNotNull() & ~spread).distinct()
+    listed = kept.select(F.col("_bound").alias("_x"), F.struct(*payload).alias("_row"))
+    nothing = F.lit(None).cast(listed.schema["_row"].dataType)
+    both = listed.unionByName(asked.select("_x", nothing.alias("_row"))).repartitionByRange("_x")
+    both = stored(both.select("*", F.spark_partition_id().alias("_b")))
+    heads = both.where("_row IS NOT NULL").groupBy("_b").agg(F.min_by("_row", "_x").alias("_head"))
+    slices = both.select("_b").distinct().join(heads, "_b", "left")
+    later = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)  # one row a slice
+    slices = slices.select("_b", F.first("_head", ignorenulls=True).over(later).alias("_next"))
+    inside = Window.partitionBy("_b").orderBy(F.desc("_x"), F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_own", F.last("_row", ignorenulls=True).over(inside)).where("_row IS NULL")
+    filled = filled.join(F.broadcast(slices), "_b").select("_x", F.coalesce("_own", "_next").alias(out))
+    if spread is None:
+        return df.join(filled, key == F.col("_x"), "left").drop("_x")
+    salt = F.struct(F.when(spread, F.monotonically_increasing_id()).alias("s"), F.when(~spread, key).alias("x"))
+    named = filled.withColumn("_k", F.struct(F.lit(None).cast("bigint").alias("s"), F.col("_x").alias("x"))).drop("_x")
+    return df.withColumn("_k", salt).join(named, "_k", "left").drop("_k")
+
+
 def _group(by: list[str]) -> Column:
     return F.struct(F.lit(0), *[F.col(c) for c in by])
 

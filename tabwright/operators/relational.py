@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.order import hash_flag, key_rank, sql_literal
+from tabwright.functions.order import ceiling_lookup, hash_flag, key_rank, sql_literal
 from tabwright.functions.rand import hash_uniform
 
 TAKE_ROWS = 100_000
 INLINE_LEVELS = 256
+BROADCAST_LEVELS = 200_000
 
 
 def keep_best(df: DataFrame, key: str, by: str, tie: str) -> DataFrame:
@@ -67,31 +68,32 @@ def decode_case(col: str, uppers: list[tuple[float, object]]) -> Column:
     return F.expr(f"if(`{col}` <= {sql_literal(ordered[-1][0])}, {branch(0, len(ordered) - 1)}, null)")
 
 
-def _grid_cell(x: Column, cells: int) -> Column:
-    return F.greatest(F.least(F.floor(x * cells), F.lit(cells - 1)), F.lit(0)).cast("bigint")
-
-
-def decode_by_limits(df: DataFrame, limits: DataFrame, col: str, out: str, cells: int = 1024) -> DataFrame:
+def decode_by_limits(df: DataFrame, limits: DataFrame, col: str, out: str, broadcast_levels: int = BROADCAST_LEVELS) -> DataFrame:
     """Interval lookup against ``limits(lower, upper, category)`` with lower < x <= upper.
 
-    Each interval is listed once per cell of a fixed grid it overlaps, so the
-    lookup is an equality join on the cell plus a range test. Zero-width
-    intervals never match. Values at or below 0 belong to the first interval.
+    A binary search over the sorted upper bounds, or beyond
+    ``broadcast_levels`` intervals a range-partitioned merge; no grid, no
+    product. Zero-width intervals never match. Values at or below the lowest
+    bound belong to the first interval, those above the last lower bound and up
+    to 1 to the last. With a column ``step`` the levels between two intervals
+    are whole numbers that wide, counted down from the next category.
     """
-    top = limits.agg(F.max("upper")).first()[0]
-    first = limits.agg(F.min("lower")).first()[0]
-    edge = limits.where("upper > lower").select(
-        F.when(F.col("lower") == F.lit(first), F.lit(float("-inf"))).otherwise(F.col("lower")).alias("_lo"),
-        F.when(F.col("upper") == F.lit(top), F.greatest(F.col("upper"), F.lit(1.0)))
-        .otherwise(F.col("upper")).alias("_hi"),
-        F.col("category").alias(out),
-        F.explode(F.sequence(_grid_cell(F.col("lower"), cells), _grid_cell(F.col("upper"), cells))).alias("_cell"))
-    cell = _grid_cell(F.col(col), cells)
-    joined = df.withColumn("_cell", cell).alias("d").join(
-        edge.alias("e"),
-        (F.col("d._cell") == F.col("e._cell")) & (F.col(f"d.{col}") > F.col("e._lo"))
-        & (F.col(f"d.{col}") <= F.col("e._hi")), "left")
-    return joined.select(*[F.col(f"d.`{c}`") for c in df.columns], F.col(f"e.{out}"))
+    wide = limits.where("upper > lower")
+    step = "step" if "step" in limits.columns else "CAST(NULL AS DOUBLE) AS step"
+    wide = wide.selectExpr("lower", "upper", "category", step)
+    ends = wide.agg(F.min_by(F.struct(*wide.columns), "upper").alias("first"), F.max_by(F.struct(*wide.columns), "upper").alias("last")).first()
+    if ends["last"] is None:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    x, (first, last) = F.col(f"`{col}`"), ends
+    top = max(1.0, last["upper"])
+    resolved = (x <= first["upper"]) | (x > last["lower"]) | x.isNull()
+    at = ceiling_lookup(df, col, wide, "upper", ["lower", "category", "step"], "_at", broadcast_levels, F.coalesce(resolved, F.lit(True)))
+    here = F.col("_at")
+    between = (here["category"].try_cast("bigint") - 1 - F.floor((here["lower"] - x) / here["step"])).cast("string")
+    found = (F.when(x.isNull() | (x > top), F.lit(None)).when(x <= first["upper"], F.lit(first["category"]))
+             .when(x > last["lower"], F.lit(last["category"]))
+             .when(here["step"].isNotNull() & (x <= here["lower"]), between).otherwise(here["category"]))
+    return at.withColumn(out, found.cast("string")).drop("_at")
 
 
 def snap(x: Column, allowed: list[float]) -> Column:

@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.functions.order import running_sums, sql_literal
+from tabwright.functions.order import ceiling_lookup, running_sums, sql_literal
 from tabwright.functions.rand import hash_uniform, interval_normal, interval_probability
 from tabwright.operators import profile as P
 from tabwright.operators.recode import clip, q
@@ -25,25 +25,27 @@ MISSING = "MISSING"
 INLINE_LEVELS = 64
 BROADCAST_LEVELS = 200_000
 BETA_CELLS = 512
-LIMIT_COLUMNS = ["column", "ord", "lower", "upper", "category"]
+LIMIT_COLUMNS = ["column", "ord", "lower", "upper", "category", "step"]
 
 
 @dataclass
 class Levels:
-    """One column's intervals in short: how many, the ends of an ordinal range, the first interval."""
+    """One column's intervals in short: how many, the ends of an ordinal range, the first interval, the width of an unseen level."""
 
     n: int
     low: int | None
     high: int | None
     first: tuple[float, float]
+    step: float | None = None
 
 
 @dataclass
 class UnitEncoder:
     """Kinds and types per column, intervals, bounds and fills.
 
-    ``small`` holds the intervals (category, lower, upper) of columns with few
-    levels, ``facts`` one summary per column; both are filled by ``settle``.
+    ``limits`` lists every seen level; whole numbers between two seen ones have
+    intervals of width ``step`` and aren't listed. ``small`` holds the intervals
+    (category, lower, upper) of columns with few listed levels, ``facts`` one summary per column; both are filled by ``settle``.
     """
 
     cols: list[str]
@@ -65,8 +67,9 @@ class UnitEncoder:
         for r in self.limits.groupBy("column").agg(
                 F.count(F.lit(1)).alias("n"), F.min(whole).alias("low"), F.max(whole).alias("high"),
                 F.min_by(F.struct("lower", "upper"), "ord").alias("first"),
-                F.max_by("category", F.struct(F.col("upper") - F.col("lower"), -F.col("ord"))).alias("widest")).collect():
-            self.facts[r["column"]] = Levels(r["n"], r["low"], r["high"], tuple(r["first"]))
+                F.max_by("category", F.struct(F.col("upper") - F.col("lower"), -F.col("ord"))).alias("widest"),
+                F.max("step").alias("step")).collect():
+            self.facts[r["column"]] = Levels(r["n"], r["low"], r["high"], tuple(r["first"]), r["step"])
             if self.kinds.get(r["column"]) in ("ordinal", "binary"):
                 self.fills.setdefault(r["column"], r["widest"])
         few = [c for c, f in self.facts.items() if f.n <= 4 * INLINE_LEVELS]
@@ -88,13 +91,16 @@ def nominal_limits(df: DataFrame, cols: list[str]) -> DataFrame:
     return run.select(
         "column", (F.col("ord") - 1).cast("bigint").alias("ord"),
         ((F.col("upto") - F.col("n")) / size).alias("lower"), (F.col("upto") / size).alias("upper"),
-        F.col("value").alias("category"))
+        F.col("value").alias("category"), F.lit(None).cast("double").alias("step"))
 
 
 def ordinal_limits(df: DataFrame, cols: str | list[str]) -> DataFrame:
-    """Intervals over each column's dense whole-number range, add-one smoothed, in value order; nulls count as the mode.
+    """Intervals over each column's whole-number range, add-one smoothed, in value order; nulls count as the mode.
 
-    All columns share one grouping. A column without values has the single level 0.
+    Only seen values are listed. The levels between two of them are unseen, so
+    each is ``step`` wide and its interval follows from the next listed one:
+    the table grows with the distinct values, not with the range. All columns
+    share one grouping. A column without values has the single level 0.
     """
     cols = [cols] if isinstance(cols, str) else cols
     counts = materialize(P.level_counts(df.select(*[q(c).cast("bigint").alias(c) for c in cols]), cols, "bigint"))
@@ -104,16 +110,30 @@ def ordinal_limits(df: DataFrame, cols: str | list[str]) -> DataFrame:
         F.max(F.struct(F.col("n"), (-F.col("value")).alias("v")))["v"].alias("v")).collect()}
     ends = [(c, r["lo"], r["hi"], -r["v"], rows - r["seen"]) if (r := facts.get(c)) else (c, 0, 0, 0, rows) for c in cols]
     ranges = df.sparkSession.createDataFrame(ends, "column string, lo bigint, hi bigint, mode bigint, missing bigint")
-    dense = ranges.select("*", F.explode(F.sequence("lo", "hi")).alias("value"))
-    # smoothing adds one per level, so the running total has a closed offset
-    extra = F.when(F.col("value") == F.col("mode"), F.col("missing")).otherwise(0) + 1
-    total = F.lit(float(rows)) + F.col("hi") - F.col("lo") + 1
-    smooth = dense.join(counts, ["column", "value"], "left").select(
-        "column", F.col("value").alias("v"), (F.coalesce("n", F.lit(0)) + extra).alias("n"), "lo", total.alias("total"))
-    run = running_sums(smooth, ["v"], {"upto": "n"}, by=["column"])
+    empty = ranges.where(~F.col("column").isin(*facts)) if facts else ranges
+    counts = counts.select("column", "value", "n").unionByName(empty.select("column", F.lit(0).cast("bigint").alias("value"), F.lit(0).cast("bigint").alias("n")))
+    extra = F.when(F.col("value") == F.col("mode"), F.col("missing")).otherwise(0)
+    seen = counts.join(F.broadcast(ranges), "column").select(
+        "column", "value", (F.col("n") + extra).alias("n"), "lo", (F.lit(float(rows)) + F.col("hi") - F.col("lo") + 1).alias("total"))
+    run = running_sums(seen, ["value"], {"upto": "n"}, by=["column"])
+    # smoothing adds one per level, seen or not, so all levels up to a value add its place in the range
+    place = F.col("value") - F.col("lo")
+    upto = F.col("upto") + place + 1
     return run.select(
-        "column", (F.col("v") - F.col("lo")).alias("ord"), ((F.col("upto") - F.col("n")) / F.col("total")).alias("lower"),
-        (F.col("upto") / F.col("total")).alias("upper"), F.col("v").cast("string").alias("category"))
+        "column", place.alias("ord"), ((upto - F.col("n") - 1) / F.col("total")).alias("lower"), (upto / F.col("total")).alias("upper"),
+        F.col("value").cast("string").alias("category"), (F.lit(1.0) / F.col("total")).alias("step"))
+
+
+def listed_limits(limits: DataFrame) -> DataFrame:
+    """All levels of ordinal limits, unseen ones too, for display: as many rows as the range is long."""
+    value = F.col("category").cast("bigint")
+    before = F.lag(value, 1).over(Window.partitionBy("column").orderBy(value))
+    gaps = limits.withColumn("_gap", F.coalesce(value - before - 1, F.lit(0)))
+    each = gaps.withColumn("_back", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_gap"))))
+    shown, low = F.col("_back") > 0, F.col("lower") - F.col("_back") * F.col("step")
+    return each.select(
+        "column", (F.col("ord") - F.col("_back")).alias("ord"), F.when(shown, low).otherwise(F.col("lower")).alias("lower"),
+        F.when(shown, low + F.col("step")).otherwise(F.col("upper")).alias("upper"), (value - F.col("_back")).cast("string").alias("category"))
 
 
 def binary_share(df: DataFrame, col: str) -> float:
@@ -202,9 +222,9 @@ def fit_unit_encoder(df: DataFrame, key: str, beta: bool = False) -> UnitEncoder
         enc.fills |= {c: v or 0 for c, v in P.smallest_modes(body, whole, "bigint").items()}
     for c in [c for c, k in kinds.items() if k == "binary" and beta]:
         zeros = binary_share(body, c)
-        rows = [(c, 0, 0.0, zeros, "0")] * (zeros > 0) + [(c, 1, zeros, 1.0, "1")] * (zeros < 1)
+        rows = [(c, 0, 0.0, zeros, "0", None)] * (zeros > 0) + [(c, 1, zeros, 1.0, "1", None)] * (zeros < 1)
         parts.append(df.sparkSession.createDataFrame(
-            rows, "column string, ord bigint, lower double, upper double, category string"))
+            rows, "column string, ord bigint, lower double, upper double, category string, step double"))
         enc.fills[c] = zeros
     numbers = [c for c, k in kinds.items() if k == "numeric"]
     enc.min_max = P.bounds_map(body, numbers) if numbers else {}
@@ -215,7 +235,7 @@ def fit_unit_encoder(df: DataFrame, key: str, beta: bool = False) -> UnitEncoder
 
 
 def _cell(enc: UnitEncoder, col: str) -> Column:
-    """The level text of a value: nulls to their fill, whole numbers into the fitted range."""
+    """The level of a value: text, with nulls to their fill, or a whole number within the fitted range."""
     kind = enc.kinds[col]
     if kind == "nominal":
         return F.coalesce(q(col).cast("string"), F.lit(MISSING))
@@ -223,14 +243,30 @@ def _cell(enc: UnitEncoder, col: str) -> Column:
         return F.coalesce(q(col).cast("string"), F.lit(enc.fills.get(col)))
     ends = enc.facts[col]
     whole = F.coalesce(q(col).cast("bigint"), F.lit(enc.fills[col]).cast("bigint"))
-    return F.greatest(F.least(whole, F.lit(ends.high)), F.lit(ends.low)).cast("string")
+    return F.greatest(F.least(whole, F.lit(ends.high)), F.lit(ends.low))
+
+
+def _whole_case(col: str, rows: list[tuple]) -> Column:
+    """The listed interval (lower, upper, value) of the first listed whole number at or above ``col``."""
+    listed = sorted((int(v), lo, hi) for v, lo, hi in rows)
+
+    def branch(a: int, b: int) -> str:
+        if a == b:
+            v, lo, hi = listed[a]
+            return f"named_struct('lower', {sql_literal(lo)}, 'upper', {sql_literal(hi)}, 'value', {sql_literal(v)})"
+        mid = (a + b) // 2
+        return f"if(`{col}` <= {sql_literal(listed[mid][0])}, {branch(a, mid)}, {branch(mid + 1, b)})"
+
+    return F.expr(branch(0, len(listed) - 1))
 
 
 def unit_encode(df: DataFrame, enc: UnitEncoder, seed: int, key: str) -> DataFrame:
     """Encode every column of ``enc``; unseen levels go to the most common or nearest one.
 
-    Interval ends are inlined for few levels, joined for many; a column decides
-    for itself, and only beyond BROADCAST_LEVELS levels are rows shuffled. The
+    Interval ends are inlined for few levels, joined or searched for many; a
+    column decides for itself, and only beyond BROADCAST_LEVELS levels are rows
+    shuffled. Unseen whole numbers within the fitted range have intervals of
+    their own. The
     draws of all columns then share one projection. No job runs while planning.
     """
     names = df.columns
@@ -239,16 +275,26 @@ def unit_encode(df: DataFrame, enc: UnitEncoder, seed: int, key: str) -> DataFra
     at = {c: i for i, c in enumerate(drawn)}
     df = df.withColumns({f"_c{at[c]}": _cell(enc, c) for c in drawn})
     ends = {}
-    for c in inline:
+    for c in [c for c in drawn if enc.kinds[c] == "ordinal"]:
+        i = at[c]
+        if c in inline:
+            df = df.withColumn("_at", _whole_case(f"_c{i}", enc.small[c]))
+        else:
+            mine = enc.limits.where(F.col("column") == c).select("lower", "upper", F.col("category").cast("bigint").alias("value"))
+            df = ceiling_lookup(df, f"_c{i}", mine.withColumn("bound", F.col("value")), "bound", ["lower", "upper", "value"], "_at", BROADCAST_LEVELS)
+        back, step = F.col("_at.value") - F.col(f"_c{i}"), F.lit(enc.facts[c].step)
+        low = F.col("_at.lower") - back * step
+        df = df.withColumns({f"_lo{i}": F.when(back == 0, F.col("_at.lower")).otherwise(low),
+                             f"_hi{i}": F.when(back == 0, F.col("_at.upper")).otherwise(low + step)}).drop("_at")
+    texts = [c for c in drawn if enc.kinds[c] != "ordinal"]
+    for c in [c for c in texts if c in inline]:
         rows, i = enc.small[c], at[c]
         for j, name in ((1, "_lo"), (2, "_hi")):
             cases = " ".join(f"when {sql_literal(r[0])} then {sql_literal(r[j])}" for r in rows)
             ends[f"{name}{i}"] = F.expr(f"case `_c{i}` {cases} else {sql_literal(rows[0][j])} end")
     df = df.withColumns(ends | {
         f"_p{at[c]}": interval_probability(hash_uniform(seed, f"unit/{c}", key)) for c in drawn})
-    for c in drawn:
-        if c in inline:
-            continue
+    for c in [c for c in texts if c not in inline]:
         i = at[c]
         mine = enc.limits.where(F.col("column") == c)
         first = enc.facts[c].first
@@ -280,13 +326,12 @@ def unit_decode(df: DataFrame, enc: UnitEncoder) -> DataFrame:
             value = F.lit(hi - lo) * q(c) + F.lit(lo)
             df = df.withColumn(c, F.rint(value).cast("bigint") if c in enc.discrete else value)
             continue
-        if c in enc.small:
+        if c in enc.small and enc.facts[c].step is None:
             cat = decode_case(c, [(hi, v) for v, _, hi in enc.small[c]])
         else:
             names = df.columns
             mine = enc.limits.where(F.col("column") == c)
-            cells = max(1024, min(1 << 20, 2 * enc.facts[c].n))
-            df = decode_by_limits(df, mine, c, "_cat", cells)
+            df = decode_by_limits(df, mine, c, "_cat", BROADCAST_LEVELS)
             cat = F.col("_cat")
             df = df.select(*[cat.alias(c) if n == c else q(n) for n in names])
             cat = q(c)

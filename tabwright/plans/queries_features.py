@@ -211,7 +211,7 @@ def column_bounds(t: Tables):
         {_LIMITS_SQL.format(col='diag_1', expr="coalesce(diag_1, 'MISSING')", table=ENCOUNTERS)}
         UNION ALL {_LIMITS_SQL.format(col='readmitted', expr='readmitted', table=ENCOUNTERS)})""")
 def nominal_limits(t: Tables):
-    return rounded(C.nominal_limits(encounters(t, "diag_1", "readmitted"), ["diag_1", "readmitted"]), 9)
+    return rounded(C.nominal_limits(encounters(t, "diag_1", "readmitted"), ["diag_1", "readmitted"]).drop("step"), 9)
 
 
 _ORD = "CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_custkey % 50 * 2 END"
@@ -224,7 +224,7 @@ _ORD = "CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_custkey % 50 * 2 END"
     SELECT 'code' AS "column", row_number() OVER (ORDER BY v) - 1 AS ord, CAST(v AS VARCHAR) AS category,
            {r('(sum(n) OVER (ORDER BY v) - n) / sum(n) OVER ()', 9)} AS lower, {r('sum(n) OVER (ORDER BY v) / sum(n) OVER ()', 9)} AS upper FROM d""")
 def ordinal_limits(t: Tables):
-    return rounded(C.ordinal_limits(t("orders", f"{_ORD} AS code"), "code"), 9)
+    return rounded(C.listed_limits(C.ordinal_limits(t("orders", f"{_ORD} AS code"), "code")), 9)
 
 
 # ---------------------------------------------------------------- label and one-hot encoding
@@ -493,6 +493,34 @@ def decode_many_levels(t: Tables):
     return decode_by_limits(probe, limits, "x", "category", 4096).select("event_id", "category")
 
 
+@query("decode_merged_j07", f"""
+    WITH c AS (SELECT o_custkey AS v, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM c),
+         l AS (SELECT v, (sum(n) OVER (ORDER BY v) - n) / total AS lower, sum(n) OVER (ORDER BY v) / total AS upper FROM c, t),
+         e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE {u(8, 'x', 'event_id')} END::DOUBLE AS x FROM events)
+    SELECT event_id, CAST(v AS VARCHAR) AS category FROM e JOIN l ON (x > lower OR x <= 0 AND lower = 0) AND x <= upper""")
+def decode_merged(t: Tables):
+    from tabwright.functions.order import running_sums
+    from tabwright.functions.rand import hash_uniform
+    orders = t("orders", "o_custkey")
+    size = orders.count()
+    run = running_sums(orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), ["o_custkey"], {"upto": "n"})
+    limits = run.select(((F.col("upto") - F.col("n")) / size).alias("lower"), (F.col("upto") / size).alias("upper"), F.col("o_custkey").cast("string").alias("category"))
+    x = F.when(F.col("event_id") % 4 < 2, (F.col("event_id") % 4).cast("double")).otherwise(hash_uniform(8, "x", "event_id"))
+    # half the rows stand at the ends, and the merge is taken whatever the size
+    return decode_by_limits(t("events", "event_id").withColumn("x", x), limits, "x", "category", 0).select("event_id", "category")
+
+
+_WIDE = "CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 1000000000000 - o_custkey ELSE o_custkey * 1000 END"
+
+
+@query("wide_ordinal_round_trip_f16_f20", f"SELECT o_orderkey, coalesce({_WIDE}, (SELECT v FROM (SELECT {_WIDE} AS v, count(*) AS n FROM orders GROUP BY 1) WHERE v IS NOT NULL ORDER BY n DESC, v LIMIT 1)) AS code, TRUE AS inside FROM orders")
+def wide_ordinal_round_trip(t: Tables):
+    df = t("orders", "o_orderkey", f"CAST({_WIDE} AS BIGINT) AS code")
+    enc = C.fit_unit_encoder(df, "o_orderkey")
+    coded = C.unit_encode(df, enc, 42, "o_orderkey").withColumn("inside", F.col("code").between(0, 1))
+    return C.unit_decode(coded, enc).select("o_orderkey", "code", "inside")
+
+
 # ---------------------------------------------------------------- splits and sampling
 
 _SPLIT_SQL = f"""

@@ -23,34 +23,51 @@ def save_encoder(enc: UnitEncoder, prefix: str) -> None:
 
     ``.limits`` holds ``{column: {"upper": category}}``, one document a line with
     at most ``LIMIT_ROWS`` intervals of a column, so it can grow with the levels.
+    Unseen whole numbers before a level are one entry, ``..`` and the last of them.
     """
     spark = SparkSession.getActiveSession()
     if enc.limits is not None:
         chunk = F.floor(F.col("ord") / LIMIT_ROWS)
         level = F.struct("ord", F.col("upper").cast("string").alias("upper"), "category")
-        chunks = enc.limits.groupBy("column", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(level)).alias("levels"))
+        chunks = _with_gaps(enc.limits).groupBy("column", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(level)).alias("levels"))
         levels = F.map_from_entries(F.transform("levels", lambda x: F.struct(x["upper"], x["category"])))
         lines = chunks.select("column", "chunk", F.to_json(F.create_map("column", levels)).alias("value"))
         lines.orderBy("column", "chunk").select("value").write.mode("errorifexists").text(f"{prefix}.limits")
     _write_text(spark, json.dumps({c: [lo, hi, int(c in enc.discrete)] for c, (lo, hi) in enc.min_max.items()}), f"{prefix}.min_max")
     _write_text(spark, json.dumps(enc.cols), f"{prefix}.cols")
-    state = {"kinds": enc.kinds, "dtypes": enc.dtypes, "fills": enc.fills, "beta": enc.beta}
+    steps = {c: f.step for c, f in enc.facts.items() if f.step is not None}
+    state = {"kinds": enc.kinds, "dtypes": enc.dtypes, "fills": enc.fills, "beta": enc.beta, "steps": steps}
     _write_text(spark, json.dumps(state), f"{prefix}.state")
 
 
-def read_limits(spark: SparkSession, path: str) -> DataFrame:
-    """(column, ord, lower, upper, category) from limits documents, one a line; keys parse as doubles.
+def _with_gaps(limits: DataFrame) -> DataFrame:
+    """``limits`` and an entry ``..v`` for every gap of unseen whole numbers up to v."""
+    whole = limits.where("step IS NOT NULL AND ord > 0")
+    before = limits.select("column", (F.col("ord") + 1).alias("ord"))
+    gaps = whole.join(before, ["column", "ord"], "left_anti").select(
+        "column", (F.col("ord") - 1).alias("ord"), F.col("lower").alias("upper"), F.concat(F.lit(".."), F.col("category").cast("bigint") - 1).alias("category"))
+    return limits.select("column", "ord", "upper", "category").unionByName(gaps)
 
-    Levels of equal bounds keep their order in the document.
+
+def read_limits(spark: SparkSession, path: str, steps: dict[str, float] | None = None) -> DataFrame:
+    """(column, ord, lower, upper, category, step) from limits documents, one a line; keys parse as doubles.
+
+    Levels of equal bounds keep their order in the document. ``steps`` is the
+    width of an unseen level of columns that have any.
     """
     doc = spark.read.text(path).select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
     flat = doc.select(F.explode("m").alias("column", "levels")).select(
         "column", F.posexplode("levels").alias("at", "upper", "category"))
     flat = flat.select("column", "at", F.col("upper").cast("double").alias("upper"), "category")
     order = Window.partitionBy("column").orderBy("upper", "at")
-    return flat.select(
+    bounded = flat.select(
         "column", (F.row_number().over(order) - 1).cast("bigint").alias("ord"),
         F.coalesce(F.lag("upper").over(order), F.lit(0.0)).alias("lower"), "upper", "category")
+    widths = spark.createDataFrame(list((steps or {}).items()), "column string, step double")
+    listed = bounded.join(F.broadcast(widths), "column", "left").where("step IS NULL OR NOT startswith(category, '..')")
+    whole = F.when(F.col("step").isNotNull(), F.col("category").try_cast("bigint"))
+    place = whole - F.min(whole).over(Window.partitionBy("column"))
+    return listed.select("column", F.coalesce(place, "ord").alias("ord"), "lower", "upper", "category", "step")
 
 
 def read_min_max(spark: SparkSession, path: str) -> DataFrame:
@@ -79,11 +96,13 @@ def load_encoder(spark: SparkSession, prefix: str, dtypes: dict[str, str] | None
     numeric and intervals make it nominal; missing numbers then fill to the
     middle of their bounds and missing levels to the widest interval.
     """
-    limits = materialize(read_limits(spark, f"{prefix}.limits")) if path_exists(spark, f"{prefix}.limits") else None
     bounds = read_min_max(spark, f"{prefix}.min_max").collect()
     state = {}
     if path_exists(spark, f"{prefix}.state"):
         state = json.loads(spark.read.text(f"{prefix}.state", wholetext=True).first()[0])
+    limits = None
+    if path_exists(spark, f"{prefix}.limits"):
+        limits = materialize(read_limits(spark, f"{prefix}.limits", state.get("steps")))
     min_max = {r["column"]: (r["min"], r["max"]) for r in bounds}
     columns = [r[0] for r in limits.select("column").distinct().collect()] if limits is not None else []
     cols = read_cols(spark, f"{prefix}.cols") or sorted(columns) + sorted(min_max)
