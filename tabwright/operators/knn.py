@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.operators.pivot_tree import FAN_OUT, PivotTree
+from tabwright.operators.pivot_tree import FAN_OUT, PivotTree, distances, numbers
 from tabwright.session import materialize, stored
 
 CHUNK_ROWS = 1024
@@ -32,15 +32,15 @@ PAIR_BLOCK = 1 << 21
 ROUTE_ROWS = 1 << 14
 
 
-def _block_topk(tv: np.ndarray, sv: np.ndarray, sid: np.ndarray, k: int):
+def _block_topk(tv: np.ndarray, sv: np.ndarray, sid: np.ndarray, k: int, codes: int = 0):
     """Row index, id and exact distance of the k nearest of ``sv`` for each row of ``tv``."""
     rows, ids, dists = [], [], []
     step = max(1, PAIR_BLOCK // max(len(sv), 1))
-    s_norm = (sv * sv).sum(axis=1)
+    s_norm = (numbers(sv, codes) ** 2).sum(axis=1)
     for a in range(0, len(tv), step):
         block = tv[a:a + step]
-        rough = (block * block).sum(axis=1)[:, None] + s_norm[None, :] - 2.0 * block @ sv.T
-        slack = 1e-11 * (1.0 + s_norm.max() + (block * block).sum(axis=1))
+        rough = distances(block, sv, codes) ** 2
+        slack = 1e-11 * (1.0 + s_norm.max() + (numbers(block, codes) ** 2).sum(axis=1) + 2 * codes)
         if k < len(sv):
             bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
             r, c = np.nonzero(rough <= bound[:, None])
@@ -49,8 +49,10 @@ def _block_topk(tv: np.ndarray, sv: np.ndarray, sid: np.ndarray, k: int):
         exact = np.empty(len(r))
         width = max(1, PAIR_BLOCK // tv.shape[1])
         for b in range(0, len(r), width):
-            diff = block[r[b:b + width]] - sv[c[b:b + width]]
-            exact[b:b + width] = np.sqrt((diff * diff).sum(axis=1))
+            left, right = block[r[b:b + width]], sv[c[b:b + width]]
+            diff = numbers(left, codes) - numbers(right, codes)
+            unlike = (left[:, left.shape[1] - codes:] != right[:, right.shape[1] - codes:]).sum(axis=1)
+            exact[b:b + width] = np.sqrt((diff * diff).sum(axis=1) + 2.0 * unlike)
         order = np.lexsort((sid[c], exact, r))
         r, c, exact = r[order], c[order], exact[order]
         first = np.searchsorted(r, r, side="left")
@@ -67,7 +69,7 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype("float64")
 
 
-def _search(queries: DataFrame, base: DataFrame, sizes: DataFrame, k: int, id_type: str) -> DataFrame:
+def _search(queries: DataFrame, base: DataFrame, sizes: DataFrame, k: int, id_type: str, codes: int = 0) -> DataFrame:
     """Top-k of each query against the (part, cell) blocks it is routed to.
 
     ``queries`` is (t, vec, part, cell); ``base`` is (s, vec, part, cell).
@@ -100,7 +102,7 @@ def _search(queries: DataFrame, base: DataFrame, sizes: DataFrame, k: int, id_ty
             for key, rows in t.groupby(keys, sort=False).indices.items():
                 if key in there:
                     base = s.iloc[there[key]]
-                    r, ids, dist = _block_topk(_matrix(t["vec"].iloc[rows]), _matrix(base["vec"]), base["s"].to_numpy(), k)
+                    r, ids, dist = _block_topk(_matrix(t["vec"].iloc[rows]), _matrix(base["vec"]), base["s"].to_numpy(), k, codes)
                     out.append(pd.DataFrame({"t": t["t"].to_numpy()[rows][r], "part": key[0], "s": ids, "dist": dist}))
         return pd.concat(out) if out else pd.DataFrame({"t": [], "part": [], "s": [], "dist": []})
 
@@ -113,7 +115,7 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _grown_tree(base: DataFrame, total: int, parts: int, leaf_rows: int, fan_out: int, id_type: str):
+def _grown_tree(base: DataFrame, total: int, parts: int, leaf_rows: int, fan_out: int, id_type: str, codes: int):
     """(tree, rows with their cell): cells above ``leaf_rows`` are split again by samples of their own rows.
 
     Growth ends when every cell is small, holds one vector only, or the tree
@@ -121,7 +123,7 @@ def _grown_tree(base: DataFrame, total: int, parts: int, leaf_rows: int, fan_out
     """
     spark = base.sparkSession
     width = len(base.first()["vec"])
-    tree, max_nodes = PivotTree(width), max(2, TREE_BYTES // (8 * (width + 2 + 3 * parts)))
+    tree, max_nodes = PivotTree(width, codes), max(2, TREE_BYTES // (8 * (width + 2 + 3 * parts)))
     placed, large, stuck = base.withColumn("cell", F.lit(0)), {0: total}, set()
     while large and len(tree) + fan_out <= max_nodes:
         turn = dict(sorted(large.items(), key=lambda x: -x[1])[:max(1, SAMPLE_ROWS // 64)])  # so that each has enough rows in the sample
@@ -243,22 +245,24 @@ def _merged(t: DataFrame, s: DataFrame, need: int):
     return rows, materialize(asks), materialize(base)
 
 
-def _one_cell(asks: DataFrame, base: DataFrame, need: int, chunk: int, id_type: str) -> DataFrame:
+def _one_cell(asks: DataFrame, base: DataFrame, need: int, chunk: int, id_type: str, codes: int) -> DataFrame:
     placed = base.withColumn("cell", F.lit(0))
     facts = placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
     labels = [r["part"] for r in facts.collect()]
     homes = asks.select("t", "vec", F.explode(F.array(*map(F.lit, labels)).cast("array<string>")).alias("part"), F.lit(0).alias("cell"))
-    return _top(_search(homes, placed, _chunks(facts, homes, chunk), need, id_type), need)
+    return _top(_search(homes, placed, _chunks(facts, homes, chunk), need, id_type, codes), need)
 
 
 def knn_by_part(t: DataFrame, s: DataFrame, k: int, exclude_self: bool = False, pivots: int | None = None,
-                chunk: int = CHUNK_ROWS, leaf_rows: int = LEAF_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
+                chunk: int = CHUNK_ROWS, leaf_rows: int = LEAF_ROWS, fan_out: int = FAN_OUT, codes: int = 0) -> DataFrame:
     """For each row of ``t(id, vec)`` and each part of ``s(part, id, vec)``: its k nearest rows.
 
     Ties go to the smaller id. With ``exclude_self`` a row never meets the row
     of equal id. ``leaf_rows`` is how many rows a cell of the tree may hold, or
     ``pivots`` how many cells there should be (1: no tree); without either, a
-    small table has no tree. Returns (t_id, part, s_id, dist, rank).
+    small table has no tree. The last ``codes`` places of ``vec`` are level
+    codes, a differing level adding 2 to the squared distance. Returns (t_id,
+    part, s_id, dist, rank).
     """
     id_type = s.schema["id"].dataType.simpleString()
     need = k + 1 if exclude_self else k
@@ -266,9 +270,9 @@ def knn_by_part(t: DataFrame, s: DataFrame, k: int, exclude_self: bool = False,
     total = base.count()
     leaf = -(-total // pivots) if pivots else leaf_rows if leaf_rows != LEAF_ROWS else max(leaf_rows, min(total, 8 * chunk))
     if leaf >= total:
-        found = _one_cell(asks, base, need, chunk, id_type)
+        found = _one_cell(asks, base, need, chunk, id_type, codes)
     else:
-        found = _pruned_search(asks, base, total, leaf, fan_out, need, chunk, id_type)
+        found = _pruned_search(asks, base, total, leaf, fan_out, need, chunk, id_type, codes)
     return _answers(rows, asks, found, k, exclude_self)
 
 
@@ -286,27 +290,27 @@ def _answers(rows: DataFrame, asks: DataFrame, found: DataFrame, k: int, exclude
         "t_id", "n.part", F.col("n.s").alias("s_id"), "n.dist", "n.rank")
 
 
-def _visits(asks: DataFrame, base: DataFrame, total: int, leaf: int, fan_out: int, need: int, chunk: int, id_type: str):
+def _visits(asks: DataFrame, base: DataFrame, total: int, leaf: int, fan_out: int, need: int, chunk: int, id_type: str, codes: int = 0):
     """(rows with their cells, home visits, found at home, visits that the bounds still ask for)."""
     spark = asks.sparkSession
     parts = sorted(r["part"] for r in base.select("part").distinct().collect())
-    tree, placed = _grown_tree(base, total, len(parts), leaf, fan_out, id_type)
+    tree, placed = _grown_tree(base, total, len(parts), leaf, fan_out, id_type, codes)
     shared = spark.sparkContext.broadcast(tree)
     stats = spark.sparkContext.broadcast(_node_facts(base, shared, parts))
     blocks = placed.select("part", "cell", "s", "vec")
     cells = blocks.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
     homes = _route(asks, shared, stats, parts, need, id_type, bounds=False)
-    found = materialize(_top(_search(homes, blocks, _chunks(cells, homes, chunk), need, id_type), need))
+    found = materialize(_top(_search(homes, blocks, _chunks(cells, homes, chunk), need, id_type, codes), need))
     kth = found.groupBy("t", "part").agg(F.max("dist").alias("kth"))
     again = _route(asks.join(kth, "t"), shared, stats, parts, need, id_type, bounds=True)
     return blocks, cells, homes, found, again
 
 
 def _pruned_search(asks: DataFrame, base: DataFrame, total: int, leaf: int, fan_out: int, need: int, chunk: int,
-                   id_type: str) -> DataFrame:
+                   id_type: str, codes: int) -> DataFrame:
     """Home search, then a second visit to the cells that may still hold a nearer row."""
-    blocks, cells, _, found, again = _visits(asks, base, total, leaf, fan_out, need, chunk, id_type)
-    more = _search(again, blocks, _chunks(cells, again, chunk), need, id_type)
+    blocks, cells, _, found, again = _visits(asks, base, total, leaf, fan_out, need, chunk, id_type, codes)
+    more = _search(again, blocks, _chunks(cells, again, chunk), need, id_type, codes)
     return _top(found.drop("rank").unionByName(more), need)
 
 

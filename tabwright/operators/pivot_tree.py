@@ -11,30 +11,51 @@ FAN_OUT = 24
 LLOYD_ROUNDS = 3
 
 
-def distances(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Distances of all vectors to all points by one matrix product; callers allow for its rounding."""
-    d2 = (vectors * vectors).sum(axis=1)[:, None] + (points * points).sum(axis=1) - 2.0 * vectors @ points.T
-    return np.sqrt(np.maximum(d2, 0.0))
+def numbers(vectors: np.ndarray, codes: int) -> np.ndarray:
+    """All but the last ``codes`` places."""
+    return vectors[:, :vectors.shape[1] - codes]
 
 
-def _centres(sample: np.ndarray, wanted: int, rng: np.random.Generator) -> np.ndarray:
-    """At most ``wanted`` distinct points in the middle of groups of the sample."""
+def distances(vectors: np.ndarray, points: np.ndarray, codes: int = 0) -> np.ndarray:
+    """Distances of all vectors to all points by one matrix product; callers allow for its rounding.
+
+    The last ``codes`` places are level codes: a differing level adds 2 to the
+    square, as in one-hot vectors, which are never laid out.
+    """
+    v, p = numbers(vectors, codes), numbers(points, codes)
+    d2 = (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2.0 * v @ p.T
+    d2 = np.maximum(d2, 0.0)
+    for c in range(vectors.shape[1] - codes, vectors.shape[1]):
+        d2 += 2.0 * (vectors[:, c][:, None] != points[:, c])
+    return np.sqrt(d2)
+
+
+def _centres(sample: np.ndarray, wanted: int, codes: int, rng: np.random.Generator) -> np.ndarray:
+    """At most ``wanted`` distinct points in the middle of groups of the sample: means of numbers, commonest codes."""
     points = np.unique(sample[rng.permutation(len(sample))[: 4 * wanted]], axis=0)
     points = points[rng.permutation(len(points))[:wanted]]
     for _ in range(LLOYD_ROUNDS if len(points) > 1 else 0):
-        own = distances(sample, points).argmin(axis=1)
-        size = np.bincount(own, minlength=len(points))
-        total = np.zeros_like(points)
-        np.add.at(total, own, sample)
-        points = np.unique(total[size > 0] / size[size > 0, None], axis=0)
+        own = distances(sample, points, codes).argmin(axis=1)
+        middle = [np.concatenate([numbers(part, codes).mean(axis=0), [_commonest(part[:, c]) for c in range(sample.shape[1] - codes, sample.shape[1])]])
+                  for part in (sample[own == j] for j in np.unique(own))]
+        points = np.unique(np.array(middle), axis=0)
     return points
 
 
+def _commonest(values: np.ndarray) -> float:
+    found, n = np.unique(values, return_counts=True)
+    return found[n.argmax()]
+
+
 @dataclass
 class PivotTree:
-    """Node 0 is the root; the children of a node lie one after another; a node without children is a cell."""
+    """Vectors of ``width`` places, the last ``codes`` of them level codes. Node 0 is the root.
+
+    The children of a node lie one after another; a node without children is a cell.
+    """
 
     width: int
+    codes: int = 0
     pivots: np.ndarray = field(init=False)
     first: np.ndarray = field(init=False)
     kids: np.ndarray = field(init=False)
@@ -63,10 +84,10 @@ class PivotTree:
             expected = len(part) * per_row
             if expected <= leaf_rows or len(part) < 4 or len(self) + fan_out > max_nodes:
                 continue
-            points = _centres(part, int(min(fan_out, max(2, np.ceil(1.5 * expected / leaf_rows)), max(2, len(part) // 2))), rng)
+            points = _centres(part, int(min(fan_out, max(2, np.ceil(1.5 * expected / leaf_rows)), max(2, len(part) // 2))), self.codes, rng)
             if len(points) < 2:
                 continue
-            own = distances(part, points).argmin(axis=1)
+            own = distances(part, points, self.codes).argmin(axis=1)
             todo += [(child, part[own == j]) for j, child in enumerate(self.split(at, points))]
             grown = True
         return grown
@@ -85,7 +106,7 @@ class PivotTree:
             cuts = np.flatnonzero(np.diff(nodes, prepend=-1, append=-1))
             for a, b in zip(cuts, cuts[1:]):
                 start, n = self.first[nodes[a]], self.kids[nodes[a]]
-                d = distances(vectors[rows[a:b]], self.pivots[start:start + n])
+                d = distances(vectors[rows[a:b]], self.pivots[start:start + n], self.codes)
                 child[a:b], dist[a:b] = start + d.argmin(axis=1), d.min(axis=1)
             yield rows, child, dist
             nodes = child
@@ -115,7 +136,7 @@ class PivotTree:
                 start, n = self.first[at[rows[0]]], self.kids[at[rows[0]]]
                 full = np.flatnonzero(count[start:start + n] >= need)
                 if len(full):
-                    at[rows] = start + full[distances(vectors[rows], self.pivots[start + full]).argmin(axis=1)]
+                    at[rows] = start + full[distances(vectors[rows], self.pivots[start + full], self.codes).argmin(axis=1)]
                     moved.append(rows)
             todo = np.concatenate(moved) if moved else todo[:0]
         return at
@@ -127,8 +148,8 @@ class PivotTree:
         (``near`` to ``far``) put them out of reach, or the plane between its
         pivot and the nearest sibling's does. Both allow for rounding.
         """
-        size = np.sqrt((vectors * vectors).sum(axis=1))
-        scale = 1.0 + np.sqrt((self.pivots * self.pivots).sum(axis=1)).max()
+        size = np.sqrt((numbers(vectors, self.codes) ** 2).sum(axis=1))
+        scale = 1.0 + np.sqrt((numbers(self.pivots, self.codes) ** 2).sum(axis=1)).max()
         todo = [(0, np.flatnonzero(home != 0))]
         while todo:
             node, rows = todo.pop()
@@ -138,11 +159,11 @@ class PivotTree:
                 yield rows, node
                 continue
             kids = np.arange(self.first[node], self.first[node] + self.kids[node])
-            d = distances(vectors[rows], self.pivots[kids])
+            d = distances(vectors[rows], self.pivots[kids], self.codes)
             own = d.argmin(axis=1)
             slack = 1e-6 * (scale + size[rows])[:, None]
             low = np.maximum(d - far[kids], near[kids] - d)
-            span = distances(self.pivots[kids], self.pivots[kids])[own]
+            span = distances(self.pivots[kids], self.pivots[kids], self.codes)[own]
             wide = span > 1e3 * slack
             near_d = d[np.arange(len(d)), own][:, None]
             plane = (d * d - near_d * near_d) / (2 * np.where(wide, span, 1.0))

@@ -115,25 +115,20 @@ def _usable(df: DataFrame, col: str, key: str) -> tuple[DataFrame, list[str], li
     return df.where(keep), [c for c in use if c in numeric], [c for c in use if c in text]
 
 
-def _dense_design(df: DataFrame, col: str, key: str) -> DataFrame:
-    """(key, _y, vec) for distances: numbers as they are, text levels one-hot, however many there are.
+def _mixed_design(df: DataFrame, col: str, key: str) -> tuple[DataFrame, int]:
+    """(key, _y, vec) for distances and how many places of ``vec``, the last ones, are level codes.
 
-    A level's place comes from its label code, so no level reaches the driver;
-    each vector is as long as the numbers and all levels together.
+    Numbers are as they are and a text is one code, however many levels there
+    are; the search counts a differing code as two unlike one-hot places.
     """
     rows, nums, texts = _usable(df, col, key)
-    coded = rows.select(key, q(col).alias("_y"), *[q(c).cast("double").alias(f"_n{i}") for i, c in enumerate(nums)],
-                        *[q(c).alias(f"_t{i}") for i, c in enumerate(texts)])
     names = [f"_t{i}" for i in range(len(texts))]
-    sizes = {}
+    coded = rows.select(key, q(col).alias("_y"), *[q(c).cast("double").alias(f"_n{i}") for i, c in enumerate(nums)],
+                        *[q(c).alias(n) for n, c in zip(names, texts)])
     if texts:
         coded = apply_labels(coded, fit_labels(coded, names))
-        sizes = P.wide_agg(coded, {n: F.max(q(n)) for n in names})
-    parts = [F.array(*[F.col(f"_n{i}") for i in range(len(nums))]).cast("array<double>")]
-    for n in names:
-        zeros = [F.array_repeat(F.lit(0.0), k.cast("int")) for k in (F.col(n), F.lit(sizes[n] or 0) - F.col(n))]
-        parts.append(F.concat(zeros[0], F.array(F.lit(1.0)), zeros[1]))
-    return coded.select(key, "_y", F.concat(*parts).alias("vec"))
+    places = [F.col(f"_n{i}") for i in range(len(nums))] + [q(n).cast("double") for n in names]
+    return coded.select(key, "_y", F.array(*places).cast("array<double>").alias("vec")), len(names)
 
 
 def impute_regress(df: DataFrame, col: str, key: str) -> DataFrame:
@@ -157,16 +152,21 @@ def impute_regress(df: DataFrame, col: str, key: str) -> DataFrame:
 
 
 def impute_knn(df: DataFrame, col: str, key: str, k: int = 3, features: list[str] | None = None) -> DataFrame:
-    """Fill a text column by a distance-weighted vote of the k nearest complete rows."""
+    """Fill a text column by a distance-weighted vote of the k nearest complete rows.
+
+    Distances are over ``features``, all numbers, or over all columns that are
+    complete where ``col`` is missing, numbers and texts.
+    """
     from tabwright.operators.knn import knn
 
+    codes = 0
     if features:
         design = df.select(key, q(col).alias("_y"), F.array(*[q(c).cast("double") for c in features]).alias("vec"))
     else:
-        design = _dense_design(df, col, key)
+        design, codes = _mixed_design(df, col, key)
     vec = design.select(F.col(key).alias("id"), "_y", "vec")
     known = vec.where("_y is not null")
-    near = knn(vec.where("_y is null").select("id", "vec"), known.select("id", "vec"), k)
+    near = knn(vec.where("_y is null").select("id", "vec"), known.select("id", "vec"), k, codes=codes)
     votes = near.join(known.select(F.col("id").alias("s_id"), "_y"), "s_id")
     exact = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("t_id"))
     weight = F.when(exact == 1, (F.col("dist") == 0).cast("double")).otherwise(

@@ -386,6 +386,17 @@ def impute_neighbours(t: Tables):
     return X.impute_knn(df, "p_type", "p_partkey", 3, ["a", "b"]).select("p_partkey", "p_type")
 
 
+@query("impute_neighbours_text_f13", f"""
+    WITH p AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS a, p_brand AS b, p_name AS c, p_type AS y, p_partkey % 7 = 0 AS gone FROM part),
+         d AS (SELECT t.k AS t, s.k AS s, s.y, sqrt((t.a - s.a) ** 2 + CASE WHEN t.b <> s.b THEN 2 ELSE 0 END + CASE WHEN t.c <> s.c THEN 2 ELSE 0 END) AS dist
+               FROM p t, p s WHERE t.gone AND NOT s.gone),
+         {_KNN_SQL[_KNN_SQL.index("n AS (SELECT * FROM d"):]}""")
+def impute_neighbours_text(t: Tables):
+    df = t("part", "p_partkey", "CAST(p_size AS DOUBLE) AS size", "p_brand", "p_name",
+           "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_type END AS p_type")
+    return X.impute_knn(df, "p_type", "p_partkey", 3).select("p_partkey", "p_type")
+
+
 @query("impute_chain_f14")
 def impute_chain(t: Tables):
     df = t("part", "p_partkey", "p_name", "CAST(p_size AS DOUBLE) AS size",
