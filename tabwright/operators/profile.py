@@ -18,7 +18,8 @@ INLINE_LEVELS = 1000
 
 
 def q(name: str) -> Column:
-    return F.col(f"`{name}`")
+    """Column by exact name, also when it holds dots or backquotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def numeric_cols(df: DataFrame) -> list[str]:
@@ -39,10 +40,19 @@ def wide_agg(df: DataFrame, aggs: dict[str, Column]) -> dict:
     return out
 
 
+def column_facts(df: DataFrame, cells: dict[str, Column], value: str, whole: dict[str, Column] | None = None) -> DataFrame:
+    """(``whole`` names, column, ``value``): one aggregate of every column as one row each, whatever the columns are called."""
+    whole = whole or {}
+    at = [f"_cell{i}" for i in range(len(cells))]
+    one = df.agg(*[x.alias(n) for n, x in whole.items()], *[x.alias(n) for n, x in zip(at, cells.values())])
+    names = F.create_map(*[F.lit(x) for pair in zip(at, cells) for x in pair])
+    return one.unpivot(list(whole), at, "column", value).withColumn("column", names[F.col("column")])
+
+
 def stack_values(df: DataFrame, cols: list[str], dtype: str, keep: list[str] | None = None) -> DataFrame:
     """Long form (column, value); nulls are kept."""
     cast = df.select(*[q(k) for k in keep or []], *[q(c).cast(dtype).alias(c) for c in cols])
-    return cast.unpivot(list(keep or []), cols, "column", "value")
+    return cast.unpivot([q(k) for k in keep or []], [q(c) for c in cols], "column", "value")
 
 
 def level_counts(df: DataFrame, cols: list[str], dtype: str = "string",
@@ -74,8 +84,8 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False, keep_null: bo
 
 def missing_report(df: DataFrame, top: int | None = 10) -> DataFrame:
     """Null count and percentage of each column with nulls, largest first."""
-    one = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in df.columns], F.count(F.lit(1)).alias("_rows"))
-    long = one.unpivot(["_rows"], list(df.columns), "column", "n_missing").where("n_missing > 0")
+    nulls = {c: F.count_if(q(c).isNull()) for c in df.columns}
+    long = column_facts(df, nulls, "n_missing", {"_rows": F.count(F.lit(1))}).where("n_missing > 0")
     out = long.select("column", "n_missing", (F.col("n_missing") * 100.0 / F.col("_rows")).alias("pct_missing"))
     out = out.orderBy(F.desc("n_missing"), "column")
     return out.limit(top) if top else out
@@ -83,8 +93,8 @@ def missing_report(df: DataFrame, top: int | None = 10) -> DataFrame:
 
 def summarize(df: DataFrame) -> DataFrame:
     """One row per column: position, type, row count and null count."""
-    one = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in df.columns], F.count(F.lit(1)).alias("n_rows"))
-    long = one.unpivot(["n_rows"], list(df.columns), "column", "n_missing")
+    nulls = {c: F.count_if(q(c).isNull()) for c in df.columns}
+    long = column_facts(df, nulls, "n_missing", {"n_rows": F.count(F.lit(1))})
     names = F.array(*[F.lit(c) for c in df.columns])
     types = F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema])
     pos = F.array_position(names, F.col("column")).cast("int")
@@ -104,11 +114,8 @@ def zero_variance(df: DataFrame) -> DataFrame:
 
     min = max decides it in one pass with no distinct count.
     """
-    cols = list(df.columns)
-    one = df.agg(*[(
-        F.coalesce((F.min(q(c)) == F.max(q(c))) & (F.count_if(q(c).isNull()) == 0),
-                   F.count(q(c)) == 0)).alias(c) for c in cols])
-    return one.unpivot([], cols, "column", "is_constant").where("is_constant").select("column")
+    same = {c: F.coalesce((F.min(q(c)) == F.max(q(c))) & (F.count_if(q(c).isNull()) == 0), F.count(q(c)) == 0) for c in df.columns}
+    return column_facts(df, same, "is_constant").where("is_constant").select("column")
 
 
 def near_zero_variance(df: DataFrame, freq_ratio: float = 20.0, unique_pct: float = 10.0) -> DataFrame:
@@ -139,9 +146,7 @@ def variance_screen(df: DataFrame, threshold: float = 0.0, fill: float | None =
         x = q(c).cast("double")
         return x if fill is None else F.coalesce(x, F.lit(float(fill)))
 
-    one = df.agg(*[F.var_pop(cell(c)).alias(c) for c in cols])
-    long = one.unpivot([], cols, "column", "variance")
-    return long.withColumn("kept", F.col("variance") > F.lit(threshold))
+    return column_facts(df, {c: F.var_pop(cell(c)) for c in cols}, "variance").withColumn("kept", F.col("variance") > F.lit(threshold))
 
 
 def numeric_zero_variance(df: DataFrame) -> DataFrame:
@@ -157,9 +162,7 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
 def bounds(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """min, max and range per numeric column; a zero range is reported as 1."""
     cols = cols or numeric_cols(df)
-    one = df.agg(*[F.struct(F.min(q(c)).cast("double").alias("lo"), F.max(q(c)).cast("double").alias("hi")).alias(c)
-                   for c in cols])
-    long = one.unpivot([], cols, "column", "b")
+    long = column_facts(df, {c: F.struct(F.min(q(c)).cast("double").alias("lo"), F.max(q(c)).cast("double").alias("hi")) for c in cols}, "b")
     span = F.col("b.hi") - F.col("b.lo")
     return long.select("column", F.col("b.lo").alias("min"), F.col("b.hi").alias("max"),
                        F.when(span == 0, 1.0).otherwise(span).alias("range"))
@@ -177,11 +180,8 @@ def feature_distribution(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     cols = numeric_cols(real)
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        one = df.agg(
-            F.count(F.lit(1)).alias("_rows"),
-            *[F.struct(F.avg(q(c)).alias("mean"), F.stddev_pop(q(c).cast("double")).alias("sd"),
-                       F.count_if(q(c) == 1).alias("ones")).alias(c) for c in cols])
-        return one.unpivot(["_rows"], cols, "column", tag).withColumnRenamed("_rows", f"{tag}_rows")
+        cells = {c: F.struct(F.avg(q(c)).alias("mean"), F.stddev_pop(q(c).cast("double")).alias("sd"), F.count_if(q(c) == 1).alias("ones")) for c in cols}
+        return column_facts(df, cells, tag, {f"{tag}_rows": F.count(F.lit(1))})
 
     levels = distinct_counts(real, cols).select("column", (F.col("n_unique") + F.col("has_null") > 2).alias("wide"))
     both = (side(real, "r").join(side(synthetic, "s"), "column").join(F.broadcast(levels), "column"))
@@ -329,7 +329,7 @@ def profile_contract(df: DataFrame, target: str) -> Contract:
     for cols, dtype, keep_upto in ((nums, "double", SUPPORT_LEVELS), (texts, "string", INLINE_LEVELS)):
         if not cols:
             continue
-        counts = level_counts(df, cols, dtype)
+        counts = stored(level_counts(df, cols, dtype))  # read by the summaries here and by every later user of the levels
         best = F.struct(F.col("n"))
         per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("k"), F.max(best)["n"].alias("top"))
         modes = (counts.join(F.broadcast(per), "column")
@@ -408,9 +408,9 @@ def medians(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, f
 def table_roundtrip(original: DataFrame, restored: DataFrame, key: str) -> DataFrame:
     """Cells that differ after an encode/decode round trip, per column (nulls equal)."""
     cols = [c for c in original.columns if c != key]
-    both = original.alias("a").join(restored.alias("b"), key)
-    one = both.agg(*[F.count_if(~F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))).alias(c) for c in cols])
-    return one.unpivot([], cols, "column", "n_different")
+    a, b = (df.select(q(key).alias("_key"), *[q(c).alias(f"_{tag}{i}") for i, c in enumerate(cols)]) for df, tag in ((original, "a"), (restored, "b")))
+    differ = {c: F.count_if(~F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}"))) for i, c in enumerate(cols)}
+    return column_facts(a.join(b, "_key"), differ, "n_different")
 
 
 def bounded_levels(df: DataFrame, cols: list[str], limit: int) -> dict[str, list] | None:

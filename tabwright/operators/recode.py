@@ -41,8 +41,8 @@ DIAGNOSIS_GROUPS = (
 
 
 def q(name: str) -> Column:
-    """Column by exact name, also when it holds dashes or dots."""
-    return F.col(f"`{name}`")
+    """Column by exact name, also when it holds dashes, dots or backquotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def drop_cols(df: DataFrame, cols) -> DataFrame:
