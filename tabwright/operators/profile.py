@@ -45,8 +45,8 @@ def column_facts(df: DataFrame, cells: dict[str, Column], value: str, whole: dic
     whole = whole or {}
     at = [f"_cell{i}" for i in range(len(cells))]
     one = df.agg(*[x.alias(n) for n, x in whole.items()], *[x.alias(n) for n, x in zip(at, cells.values())])
-    names = F.create_map(*[F.lit(x) for pair in zip(at, cells) for x in pair])
-    return one.unpivot(list(whole), at, "column", value).withColumn("column", names[F.col("column")])
+    place = F.substring("column", len("_cell") + 1, 10).cast("int")
+    return one.unpivot(list(whole), at, "column", value).withColumn("column", F.get(F.array(*map(F.lit, cells)), place))
 
 
 def stack_values(df: DataFrame, cols: list[str], dtype: str, keep: list[str] | None = None) -> DataFrame:

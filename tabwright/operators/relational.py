@@ -56,6 +56,7 @@ def align_counts(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 
 def decode_case(col: str, uppers: list[tuple[float, object]]) -> Column:
     """First category whose upper bound is at or above the value; the last bound is taken as 1."""
+    name = "`" + col.replace("`", "``") + "`"
     ordered = sorted(uppers, key=lambda u: u[0])
     ordered[-1] = (max(1.0, ordered[-1][0]), ordered[-1][1])
 
@@ -63,9 +64,9 @@ def decode_case(col: str, uppers: list[tuple[float, object]]) -> Column:
         if lo == hi:
             return sql_literal(ordered[lo][1])
         mid = (lo + hi) // 2
-        return f"if(`{col}` <= {sql_literal(ordered[mid][0])}, {branch(lo, mid)}, {branch(mid + 1, hi)})"
+        return f"if({name} <= {sql_literal(ordered[mid][0])}, {branch(lo, mid)}, {branch(mid + 1, hi)})"
 
-    return F.expr(f"if(`{col}` <= {sql_literal(ordered[-1][0])}, {branch(0, len(ordered) - 1)}, null)")
+    return F.expr(f"if({name} <= {sql_literal(ordered[-1][0])}, {branch(0, len(ordered) - 1)}, null)")
 
 
 def decode_by_limits(df: DataFrame, limits: DataFrame, col: str, out: str, broadcast_levels: int = BROADCAST_LEVELS) -> DataFrame:
