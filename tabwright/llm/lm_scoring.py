@@ -15,13 +15,15 @@ from pyspark.sql import types as T
 
 from .common import arrow_pass, renamed, small_batches, written
 
-COMMON, HASHED, SIDE, WIDTH, BATCH = 96, 32, 2, 16, 2048
+COMMON, HASHED, SIDE, WIDTH, BATCH = 192, 64, 2, 16, 4096
 CLASSES = COMMON + HASHED
 PAD = CLASSES
+GROUP = 16  # classes of a group of the two-level softmax
 
 
 def slots(classes: int) -> list[tuple[int, ...]]:
-    return [(2 * SIDE, classes + 1, WIDTH), (WIDTH,), (WIDTH, classes), (classes,)]
+    groups = classes // GROUP
+    return [(2 * SIDE, classes + 1, WIDTH), (WIDTH,), (WIDTH, groups), (groups,), (groups, WIDTH, GROUP), (groups, GROUP)]
 
 
 def class_count(vocabulary: int) -> int:
@@ -31,25 +33,32 @@ def class_count(vocabulary: int) -> int:
 
 @dataclass
 class WindowNetwork:
-    """Embeddings for each place of the window, a hidden layer, and a softmax over token classes."""
+    """Embeddings for each place of the window, a hidden layer, and a softmax over groups of classes, then over a group's classes.
+
+    A token is predicted by its own group's outputs only, so its cost grows with
+    the groups and the size of one, not with the classes.
+    """
 
     embed: np.ndarray
     hidden: np.ndarray
-    out: np.ndarray
-    bias: np.ndarray
+    top: np.ndarray
+    top_bias: np.ndarray
+    leaf: np.ndarray
+    leaf_bias: np.ndarray
 
     @classmethod
     def fresh(cls, seed: int = 0, classes: int = CLASSES) -> WindowNetwork:
         rng = np.random.default_rng(seed)
-        return cls(*(rng.normal(0, 0.3, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in slots(classes)))
+        biases = (1, 3, 5)
+        return cls(*(np.zeros(s, np.float32) if i in biases else rng.normal(0, 0.3, s).astype(np.float32) for i, s in enumerate(slots(classes))))
 
     @property
     def classes(self) -> int:
-        return len(self.bias)
+        return self.leaf_bias.size
 
     @property
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.hidden, self.out, self.bias]
+        return [self.embed, self.hidden, self.top, self.top_bias, self.leaf, self.leaf_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.reshape(-1) for a in self.arrays])
@@ -62,50 +71,70 @@ class WindowNetwork:
             at += int(np.prod(s))
         return cls(*arrays)
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and probabilities of every class for contexts (row, place)."""
-        h, z = self._scores(context)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return h, z
-
-    def _scores(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.tanh(sum(self.embed[k][context[:, k]] for k in range(2 * SIDE)) + self.hidden)
-        z = h @ self.out
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        return h, z
-
-    def log_probs(self, ids: np.ndarray) -> np.ndarray:
-        """log P(class | both sides) of every token of one text, in blocks of windows."""
-        context = windows(ids, self.classes)
-        parts = []
-        for at in range(0, len(ids), BATCH):
-            _, z = self._scores(context[at:at + BATCH])
-            own = z[np.arange(len(z)), ids[at:at + BATCH]]
-            parts.append(own - np.log(np.exp(z, out=z).sum(axis=1)))
-        return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+    def _hidden(self, context: np.ndarray) -> np.ndarray:
+        h = self.embed[0][context[:, 0]]
+        for k in range(1, 2 * SIDE):
+            h += self.embed[k][context[:, k]]
+        h += self.hidden
+        return np.tanh(h, out=h)
+
+    def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log P(class | both sides) of every token, from its context (row, place)."""
+        out = np.empty(len(target), np.float32)
+        for at in range(0, len(target), 4 * BATCH):
+            h, own = self._hidden(context[at:at + 4 * BATCH]), target[at:at + 4 * BATCH]
+            group, place = own // GROUP, own % GROUP
+            part = _log_softmax(h @ self.top + self.top_bias)[np.arange(len(own)), group]
+            for g, rows in _by_group(group):
+                part[rows] += _log_softmax(h[rows] @ self.leaf[g] + self.leaf_bias[g])[np.arange(len(rows)), place[rows]]
+            out[at:at + 4 * BATCH] = part
+        return out
 
     def step(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
         """One step of adaptive gradient descent on the mean loss of a batch."""
-        n = len(target)
-        h, dz = self.forward(context)
-        dz[np.arange(n), target] -= 1
+        n, h = len(target), self._hidden(context)
+        group, place = target // GROUP, target % GROUP
+        dz = np.exp(_log_softmax(h @ self.top + self.top_bias))
+        dz[np.arange(n), group] -= 1
         dz /= n
-        dh = (dz @ self.out.T) * (1 - h * h)
+        dh = dz @ self.top.T
+        leaf, leaf_bias = np.zeros_like(self.leaf), np.zeros_like(self.leaf_bias)
+        for g, rows in _by_group(group):
+            own = h[rows]
+            dy = np.exp(_log_softmax(own @ self.leaf[g] + self.leaf_bias[g]))
+            dy[np.arange(len(rows)), place[rows]] -= 1
+            dy /= n
+            leaf[g], leaf_bias[g] = own.T @ dy, dy.sum(0)
+            dh[rows] += dy @ self.leaf[g].T
+        dh *= 1 - h * h
         flat, places = dh.reshape(-1).astype(np.float64), np.arange(WIDTH)
         embed = np.stack([np.bincount((context[:, k, None] * WIDTH + places).reshape(-1), flat, (self.classes + 1) * WIDTH).reshape(-1, WIDTH)
                           for k in range(2 * SIDE)])
-        for a, s, g in zip(self.arrays, squares, (embed, dh.sum(0), h.T @ dz, dz.sum(0))):
+        for a, s, g in zip(self.arrays, squares, (embed, dh.sum(0), h.T @ dz, dz.sum(0), leaf, leaf_bias)):
             s += g * g
             a -= (rate * g / (np.sqrt(s) + 1e-6)).astype(np.float32)
 
 
-def windows(ids: np.ndarray, pad: int = PAD) -> np.ndarray:
-    """For each token the SIDE tokens before and the SIDE after it; beyond the text stands ``pad``."""
-    padded = np.concatenate([np.full(SIDE, pad, ids.dtype), ids, np.full(SIDE, pad, ids.dtype)])
-    n = len(ids)
-    return np.stack([padded[k:k + n] for k in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))], axis=1)
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group that occurs, and its rows."""
+    order = np.argsort(group.astype(np.int16 if group.size == 0 or group.max() < 1 << 15 else np.int64), kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(group[order[a]]), order[a:b]
+
+
+def windows(texts: list[np.ndarray], pad: int = PAD) -> np.ndarray:
+    """For each token of all texts the SIDE tokens before and the SIDE after it; beyond its text stands ``pad``."""
+    gap = np.full(SIDE, pad, np.int64)
+    padded = np.concatenate([gap, *(x for ids in texts for x in (ids, gap))])
+    sizes = np.array([len(ids) for ids in texts], np.int64)
+    at = np.arange(int(sizes.sum())) + SIDE * np.repeat(np.arange(1, len(texts) + 1), sizes)
+    return np.stack([padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
 class _Classes(dict):
@@ -123,8 +152,11 @@ class _Classes(dict):
         return found
 
 
-def class_ids(text: str | None, classes: dict) -> np.ndarray:
-    words = (text or "").encode().lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def class_ids(words: list[bytes], classes: dict) -> np.ndarray:
     return np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
 
 
@@ -146,7 +178,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for part in small_batches(batch, 0):
                 counts: Counter = Counter()
                 for t in part.column(0).to_pylist():
-                    counts.update((t or "").encode().lower().split())
+                    counts.update(words_of(t))
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -165,27 +197,28 @@ def _train_round(docs: DataFrame, words: list[bytes], network: WindowNetwork, ra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, classes, seen = WindowNetwork(*(a.copy() for a in network.arrays)), _Classes(own, network.classes), 0
         squares = [np.full(a.shape, 0.1) / BATCH for a in net.arrays]
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
+        rest = np.zeros((0, 2 * SIDE), np.int64), np.zeros(0, np.int64)
         size = 0
 
         def flush(everything: bool) -> None:
-            nonlocal held, size, seen
-            context, target = (np.concatenate(x) for x in zip(*held))
-            end = size if everything else size - size % BATCH
+            nonlocal held, size, seen, rest
+            context = np.concatenate([rest[0], windows(held, net.classes)])
+            target = np.concatenate([rest[1], *held])
+            end = len(target) if everything else len(target) - len(target) % BATCH
             for at in range(0, end, BATCH):
                 net.step(context[at:at + BATCH], target[at:at + BATCH], squares, rate)
             seen += end
-            held, size = ([(context[end:], target[end:])], size - end) if end < size else ([], 0)
+            held, size, rest = [], 0, (context[end:], target[end:])
 
         for batch in batches:
             for part in small_batches(batch, 0):
                 for t in part.column(0).to_pylist():
-                    ids = class_ids(t, classes)
-                    held.append((windows(ids, net.classes), ids))
-                    size += len(ids)
+                    held.append(class_ids(words_of(t), classes))
+                    size += len(held[-1])
                     if size >= 16 * BATCH:
                         flush(False)
-        if size:
+        if size or len(rest[1]):
             flush(True)
         if seen:
             flat = net.flat().astype(np.float64)
@@ -269,18 +302,29 @@ def score_texts(df: DataFrame, words: list[bytes], network: WindowNetwork, key:
     def start():
         classes, shares = _Classes(own, network.classes), _LogShares(given.value if whole else {})
 
+        def score(blocks: list[np.ndarray]) -> list[float]:
+            """Sums of log P(class | both sides) of texts, all in one block."""
+            found = network.log_probs(windows(blocks, network.classes), np.concatenate(blocks)) if blocks else []
+            ends = np.cumsum([len(b) for b in blocks])
+            return [float(x.sum(dtype=np.float64)) for x in np.split(found, ends[:-1])] if blocks else []
+
         def work(texts):
-            sizes, sums, rest, times = [], [], [], []
+            sizes, sums, seconds, rest, times, held, waiting = [], [], [], [], [], [], 0
             for t in texts:
-                x = class_ids(t, classes)
+                each = words_of(t)
+                held.append(class_ids(each, classes))
                 shares.missed = []
-                second = sum(map(shares.__getitem__, (t or "").encode().lower().split())) if whole else 0.0
+                seconds.append(sum(map(shares.__getitem__, each)) if whole else 0.0)
                 missed = Counter(shares.missed)
-                sizes.append(len(x))
-                sums.append(float(network.log_probs(x).sum(dtype=np.float64)) + second)
+                sizes.append(len(each))
                 rest.append(list(missed))
                 times.append(list(missed.values()))
-            return [sizes, sums, rest, times]
+                waiting += len(each)
+                if waiting >= 1 << 18:
+                    sums += score(held)
+                    held, waiting = [], 0
+            sums += score(held)
+            return [sizes, [a + b for a, b in zip(sums, seconds)], rest, times]
 
         return work
 

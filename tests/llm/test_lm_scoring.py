@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from fixtures import document_rows, documents
 
-from tabwright.llm.lm_scoring import CLASSES, COMMON, PAD, SIDE, WindowNetwork, class_ids, common_words, fit_network, score_texts, windows
+from tabwright.llm.lm_scoring import CLASSES, COMMON, GROUP, PAD, SIDE, WindowNetwork, class_ids, common_words, fit_network, score_texts, windows, words_of
 from tabwright.llm.lm_scoring import _Classes
 
 FOLDER = "/root/testdata/sf0.01"
@@ -12,21 +12,47 @@ FOLDER = "/root/testdata/sf0.01"
 
 def test_windows_look_to_both_sides():
     ids = np.array([5, 6, 7, 8])
-    assert windows(ids).tolist() == [[PAD, PAD, 6, 7], [PAD, 5, 7, 8], [5, 6, 8, PAD], [6, 7, PAD, PAD]]
-    assert windows(np.zeros(0, np.int64)).shape == (0, 2 * SIDE)
+    one = [[PAD, PAD, 6, 7], [PAD, 5, 7, 8], [5, 6, 8, PAD], [6, 7, PAD, PAD]]
+    none, last = np.zeros(0, np.int64), np.array([9])
+    assert windows([ids]).tolist() == one
+    assert windows([none, ids, none, last, ids]).tolist() == [*one, [PAD] * 4, *one]
+    assert windows([none]).shape == windows([]).shape == (0, 2 * SIDE)
 
 
 def test_gradient_step_lowers_the_loss():
     rng = np.random.default_rng(0)
     net, ids = WindowNetwork.fresh(), rng.integers(0, 5, 3000)
     ids[1::2] = (ids[:-1:2] + 1) % 5  # every second token follows from the one before
-    before = -net.log_probs(ids).mean()
+    before = -net.log_probs(windows([ids]), ids).mean()
     squares = [np.full(a.shape, 0.1) / 3000 for a in net.arrays]
     for _ in range(60):
-        net.step(windows(ids), ids, squares, 0.1)
-    assert -net.log_probs(ids).mean() < 0.75 * min(before, np.log(5) + 0.4)
+        net.step(windows([ids]), ids, squares, 0.1)
+    assert -net.log_probs(windows([ids]), ids).mean() < 0.75 * min(before, np.log(5) + 0.4)
     same = WindowNetwork.from_flat(net.flat())
-    assert np.allclose(same.log_probs(ids), net.log_probs(ids), atol=1e-5)
+    assert np.allclose(same.log_probs(windows([ids]), ids), net.log_probs(windows([ids]), ids), atol=1e-5)
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(1)
+    net, ids = WindowNetwork.fresh(3), rng.integers(0, CLASSES, 400)
+    context = windows([ids])
+    steps = WindowNetwork(*(a.copy() for a in net.arrays))
+    squares = [np.full(a.shape, 1e12) for a in net.arrays]  # so that a step is the gradient over a million
+    steps.step(context, ids, squares, 1e12)
+    for k, place in ((0, (1, int(ids[7]), 3)), (1, (5,)), (2, (3, 4)), (3, (2,)), (4, (int(ids[0]) // GROUP, 2, 7)), (5, (int(ids[3]) // GROUP, 1))):
+        loss = []
+        for d in (1e-2, -1e-2):
+            moved = WindowNetwork(*(a.astype(np.float64) for a in net.arrays))
+            moved.arrays[k][place] += d
+            loss.append(-moved.log_probs(context, ids).astype(np.float64).mean())
+        gradient = (net.arrays[k][place] - steps.arrays[k][place]) / 1e6
+        assert abs(gradient - (loss[0] - loss[1]) / 2e-2) < 2e-4
+
+
+def test_probabilities_add_up_to_one():
+    net, context = WindowNetwork.fresh(2), np.array([[1, 2, 3, 4], [PAD, PAD, 7, PAD]])
+    total = sum(np.exp(net.log_probs(context, np.full(2, c))) for c in range(CLASSES))
+    assert np.allclose(total, 1, atol=1e-4)
 
 
 def test_common_words_are_counted_over_all_texts(spark):
@@ -49,12 +75,12 @@ def test_scores_match_a_plain_loop_and_prefer_real_text(spark):
     got = {r["doc_id"]: r for r in score_texts(table, words, net).collect()}
     classes = _Classes({w: i for i, w in enumerate(words)})
     for i, t in enumerate(texts[:10]):
-        ids, total = class_ids(t, classes), 0.0
+        ids, total = class_ids(words_of(t), classes), 0.0
         for at, token in enumerate(ids):
             side = [ids[at + d] if 0 <= at + d < len(ids) else PAD for d in (-2, -1, 1, 2)]
             h = np.tanh(sum(net.embed[k][c] for k, c in enumerate(side)) + net.hidden)
-            z = h @ net.out + net.bias
-            total += z[token] - np.log(np.exp(z).sum())
+            for z, own in ((h @ net.top + net.top_bias, token // GROUP), (h @ net.leaf[token // GROUP] + net.leaf_bias[token // GROUP], token % GROUP)):
+                total += z[own] - np.log(np.exp(z).sum())
         assert abs(got[i]["pseudo_log_likelihood"] - total) < 1e-2 * max(1, abs(total)) and got[i]["n_tokens"] == len(ids)
     real = np.mean([got[i]["mean_log_prob"] for i in range(len(texts))])
     mixed = np.mean([got[len(texts) + i]["mean_log_prob"] for i in range(len(texts))])
