@@ -30,6 +30,11 @@ def sql_literal(value) -> str:
     return f"'{text}'"
 
 
+def _own(df: DataFrame) -> list[Column]:
+    """All columns by exact name, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def running_sums(df: DataFrame, keys: list[str], sums: dict[str, str],
                  by: list[str] | None = None) -> DataFrame:
     """Add inclusive running sums in key order, nulls first.
@@ -49,7 +54,7 @@ def running_sums(df: DataFrame, keys: list[str], sums: dict[str, str],
         F.coalesce(F.sum(f"_t_{out}").over(earlier), F.lit(0)).alias(f"_o_{out}") for out in sums])
     local = tagged.select("*", *[F.sum(src).over(inside).alias(f"_l_{out}") for out, src in sums.items()])
     return local.join(heads, ["_g", "_b"]).select(
-        *df.columns, *[(F.col(f"_l_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums])
+        *_own(df), *[(F.col(f"_l_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums])
 
 
 def key_rank(df: DataFrame, keys: list[str], out: str = "rank",
@@ -133,7 +138,7 @@ def hash_rank(df: DataFrame, seed: int, salt: str, key: str, by: list[str] | Non
     inside = Window.partitionBy("_g", "_b").orderBy("_u", key)
     local = tagged.withColumn("_rn", F.row_number().over(inside))
     return local.join(heads, ["_g", "_b"]).select(
-        *df.columns, (F.col("_rn") + F.col("_off")).cast("bigint").alias(out))
+        *_own(df), (F.col("_rn") + F.col("_off")).cast("bigint").alias(out))
 
 
 def hash_flag(df: DataFrame, quotas: list[tuple], seed: int, salt: str, key: str,
@@ -168,7 +173,7 @@ def hash_flag(df: DataFrame, quotas: list[tuple], seed: int, salt: str, key: str
     return (
         df.withColumn("_g", _group(by)).withColumn("_u", hash_uniform(seed, salt, key))
         .join(F.broadcast(cuts), "_g", "left")
-        .select(*df.columns, F.coalesce((here <= F.col("_cut")).cast("int"), F.lit(0)).alias(out))
+        .select(*_own(df), F.coalesce((here <= F.col("_cut")).cast("int"), F.lit(0)).alias(out))
     )
 
 

@@ -6,18 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.order import running_sums
+from tabwright.functions.order import hash_rank, running_sums
 from tabwright.functions.rand import hash_laplace
 from tabwright.operators import profile as P
 from tabwright.operators.knn import knn_by_part
 from tabwright.operators.recode import q
-from tabwright.operators.sample import shards
-from tabwright.session import materialize
+from tabwright.session import stored
 
 TIE = 1e-9  # distances this close count as equal
 
@@ -305,34 +302,99 @@ def within_budget(counts: DataFrame, order: str, lam: float, delta: float, epsil
     return run.where(started < F.lit(epsilon)).select(*counts.columns, after.alias("epsilon_spent"))
 
 
-def pate_ensemble(real: DataFrame, candidates: DataFrame, cols: list[str], key: str, k: int, epsilon: float,
-                  delta: float, lam: float = 1.0, noise_scale: float = 1.0, seed: int = 42) -> DataFrame:
-    """Private real-or-candidate labels for candidate rows.
+def equal_shards(real: DataFrame, candidates: DataFrame, cols: list[str], key: str, k: int, seed: int = 42) -> DataFrame:
+    """(shard, _y, cols): k shards with the same number of rows of both tables, drawn without overlap.
 
-    Real rows are cut into k disjoint shards, each trains a distributed
-    logistic teacher against an equal shard of candidates; the k coefficient
-    vectors (a size set by k) score all candidates in one pass.
+    The number is that of the smaller table over k; what does not fill a shard is left out.
     """
+    size = min(real.count(), candidates.count()) // k
+    if not size:
+        raise ValueError(f"fewer rows than the {k} shards")
+
     def tag(df: DataFrame, y: float, salt: int) -> DataFrame:
-        return shards(df.select(key, *map(q, cols)), k, seed + salt, key).withColumn("_y", F.lit(y))
-
-    both = materialize(tag(real, 1.0, 0).unionByName(tag(candidates, 0.0, 1)))
-    ready = VectorAssembler(inputCols=cols, outputCol="features").transform(both)
-    size = ready.where("shard = 0").count()
-    teachers = []
-    for i in range(k):
-        fit = LogisticRegression(labelCol="_y", regParam=1.0 / max(size, 1), standardization=False, maxIter=50)
-        model = fit.fit(ready.where(F.col("shard") == i))
-        teachers.append((float(model.intercept), [float(c) for c in model.coefficients]))
-    ones = F.lit(0)
-    for intercept, coefs in teachers:
-        margin = F.lit(intercept)
-        for c, w in zip(cols, coefs):
-            margin = margin + q(c).cast("double") * F.lit(w)
-        ones = ones + (margin > 0).cast("int")
-    counts = candidates.select(q(key).alias("row_id"), ones.cast("bigint").alias("n1")).withColumn(
-        "n0", F.lit(k).cast("bigint") - F.col("n1"))
-    counts = materialize(counts)
-    return noisy_label(within_budget(counts, "row_id", lam, delta, epsilon), noise_scale, seed)
+        ranked = hash_rank(df.select(key, *map(q, cols)), seed + salt, "shard", key, out="_rank").where(F.col("_rank") <= size * k)
+        return ranked.select(((F.col("_rank") - 1) / size).cast("int").alias("shard"), F.lit(y).alias("_y"), *map(q, cols))
+
+    return tag(real, 1.0, 0).unionByName(tag(candidates, 0.0, 1))
+
+
+def fit_teachers(rows: DataFrame, cols: list[str], k: int, l2: float = 1.0, rounds: int = 40, tol: float = 1e-8) -> np.ndarray:
+    """(k, 1 + columns): intercept and coefficients of k logistic models, one for each ``shard`` of ``rows(shard, _y, cols)``.
+
+    Each minimises its summed log loss plus l2 / 2 times the squared
+    coefficients. All advance together by Newton steps: a step is one pass in
+    which every task sums the gradient and Hessian block of each shard, so the
+    passes do not depend on k. A model whose loss rose goes back half the way.
+    """
+    d, spark = len(cols) + 1, rows.sparkSession
+    penalty = np.diag([0.0] + [l2] * (d - 1))
+    width = 1 + d + d * d
+    ready = rows.select("shard", "_y", F.array(*[q(c).cast("double") for c in cols]).alias("x"))
+
+    def blocks(weights: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(weights)
+
+        def run(batches):
+            w, total = shared.value, np.zeros((k, width))
+            for pdf in batches:
+                for shard, part in pdf.groupby("shard"):
+                    x = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_numpy())])
+                    y, z = part["_y"].to_numpy(), x @ w[shard]
+                    p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+                    loss = (np.logaddexp(0.0, z) - y * z).sum()
+                    total[shard] += np.concatenate([[loss], x.T @ (p - y), (x.T * (p * (1 - p)) @ x).ravel()])
+            shard, slot = np.nonzero(total)
+            yield pd.DataFrame({"shard": shard, "slot": slot, "v": total[shard, slot]})
+
+        summed = ready.mapInPandas(run, "shard long, slot long, v double").groupBy("shard", "slot").agg(F.sum("v").alias("v")).toPandas()
+        out = np.zeros((k, width))
+        out[summed["shard"].to_numpy(), summed["slot"].to_numpy()] = summed["v"].to_numpy()
+        return out
+
+    weights = np.zeros((k, d))
+    best, step, least, pulled = weights.copy(), np.zeros((k, d)), np.full(k, np.inf), np.full(k, np.inf)
+    for _ in range(rounds):
+        got = blocks(weights)
+        loss = got[:, 0] + 0.5 * np.einsum("ki,ij,kj->k", weights, penalty, weights)
+        for i in range(k):
+            if loss[i] > least[i] + 1e-9 * abs(least[i]):  # went too far
+                step[i] /= 2
+                weights[i] = best[i] + step[i]
+                continue
+            best[i], least[i] = weights[i], loss[i]
+            gradient = got[i, 1:1 + d] + penalty @ weights[i]
+            pulled[i] = np.abs(gradient).max()
+            step[i] = -np.linalg.lstsq(got[i, 1 + d:].reshape(d, d) + penalty, gradient, rcond=None)[0]
+            weights[i] = best[i] + step[i]
+        if np.abs(step).max() <= tol * (1 + np.abs(best).max()):
+            return weights
+    return best
+
+
+def teachers_say(df: DataFrame, cols: list[str], key: str, weights: np.ndarray) -> DataFrame:
+    """(row_id, n0, n1): how many of the logistic models in ``weights`` say 0 and 1 of each row, by one matrix product a batch."""
+    kind = df.schema[key].dataType.simpleString()
+    k, shared = len(weights), df.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        w = shared.value
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy())
+                ones = (x @ w[:, 1:].T + w[:, 0] > 0).sum(axis=1)
+                yield pd.DataFrame({"row_id": pdf["row_id"], "n0": k - ones, "n1": ones})
+
+    rows = df.select(q(key).alias("row_id"), F.array(*[q(c).cast("double") for c in cols]).alias("x"))
+    return rows.mapInPandas(run, f"row_id {kind}, n0 bigint, n1 bigint")
 
 
+def pate_ensemble(real: DataFrame, candidates: DataFrame, cols: list[str], key: str, k: int, epsilon: float = 1.0,
+                  delta: float = 1e-5, lam: float = 1.0, noise_scale: float = 1.0, seed: int = 42) -> DataFrame:
+    """Private real-or-candidate labels for candidate rows, within the budget ``epsilon``.
+
+    k logistic teachers are fitted together on disjoint shards with as many real
+    rows as candidates; all score every candidate in one pass.
+    """
+    weights = fit_teachers(stored(equal_shards(real, candidates, cols, key, k, seed)), cols, k)
+    counts = stored(teachers_say(candidates, cols, key, weights))
+    return noisy_label(within_budget(counts, "row_id", lam, delta, epsilon), noise_scale, seed)

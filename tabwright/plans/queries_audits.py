@@ -13,7 +13,7 @@ from tabwright.operators import textrows as X
 from tabwright.operators.recode import binarize
 from tabwright.plans.queries_features import _draw_sql
 from tabwright.plans.registry import SCORED, SCORES, Tables, query, r, rounded, u, z
-from tabwright.session import materialize
+from tabwright.session import materialize, stored
 
 
 def scored(t: Tables):
@@ -293,6 +293,33 @@ def private_labels(t: Tables):
     return A.pate_ensemble(real, cand, ["a", "b", "c"], "o_orderkey", 10, 2000.0, 1e-5)
 
 
+@query("equal_teachers_v12", """
+    SELECT CAST(shard AS INT) AS shard, least((SELECT count(*) FROM lineitem WHERE l_returnflag = 'R'), (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R')) // 8 AS n_real,
+           least((SELECT count(*) FROM lineitem WHERE l_returnflag = 'R'), (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R')) // 8 AS n_candidate,
+           TRUE AS at_optimum, TRUE AS better_than_chance, TRUE AS others_agree FROM range(8) r(shard)""")
+def equal_teachers(t: Tables):
+    key = "concat_ws('/', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING)) AS k"
+    df = t("lineitem", key, "l_returnflag", "l_discount * 10 AS a", "l_tax * 10 AS b",
+           "l_quantity / 50 + CASE WHEN l_returnflag = 'R' THEN 0.6D ELSE 0D END AS c")
+    real, cand = df.where("l_returnflag = 'R'"), df.where("l_returnflag <> 'R'")
+    cols, k = ["a", "b", "c"], 8
+    rows = stored(A.equal_shards(real, cand, cols, "k", k))
+    weights = A.fit_teachers(rows, cols, k)
+    mine = F.element_at(F.array(*[F.array(*map(F.lit, w)) for w in weights.tolist()]), F.col("shard") + 1)
+    x = [F.lit(1.0), *[F.col(c) for c in cols]]
+    z = sum((mine[i] * v for i, v in enumerate(x)), F.lit(0.0))
+    p = 1 / (1 + F.exp(-z))
+    pulls = [F.abs(F.sum((p - F.col("_y")) * v) + (F.first(mine[i]) if i else 0)) for i, v in enumerate(x)]
+    votes = F.lit(0)
+    for w in weights.tolist():
+        votes = votes + (sum((F.lit(a) * v for a, v in zip(w, x)), F.lit(0.0)) > 0).cast("int")
+    agree = F.avg(((votes * 2 > k) == (F.col("_y") == 1)).cast("double"))
+    right = F.avg(((z > 0) == (F.col("_y") == 1)).cast("double"))
+    return rows.groupBy("shard").agg(
+        F.count_if(F.col("_y") == 1).alias("n_real"), F.count_if(F.col("_y") == 0).alias("n_candidate"),
+        (F.greatest(*pulls) < 1e-5 * F.count(F.lit(1))).alias("at_optimum"), (right >= 0.7).alias("better_than_chance"), (agree >= 0.7).alias("others_agree"))
+
+
 # ---------------------------------------------------------------- generators
 
 _MV = """(SELECT avg(p_size) AS ma, avg(p_retailprice) AS mb, sqrt(var_pop(p_size) + 1e-6) AS la,

@@ -161,6 +161,37 @@ def density_curve(t: Tables):
     return rounded(rounded(curve, 6, ["x"]), 9, ["density"])
 
 
+_BINNED = """(WITH s AS (SELECT {by} AS g, count(*) AS n, stddev_samp({x}) * pow(count(*), -0.2) AS h, min({x}) AS lo, max({x}) AS hi FROM {table} GROUP BY 1),
+    m AS (SELECT *, (hi - lo) / least(1048576.0::DOUBLE, pow(2, ceil(log2(16 * (hi - lo) / h)))) AS d FROM s),
+    p AS (SELECT g, ({x} - lo) / d AS p FROM {table} t JOIN m ON m.g = t.{by}),
+    b AS (SELECT g, b, sum(w) AS w FROM (SELECT g, floor(p) AS b, 1 - (p - floor(p)) AS w FROM p UNION ALL SELECT g, floor(p) + 1, p - floor(p) FROM p) GROUP BY 1, 2)
+    SELECT m.g, CAST(i AS INT) AS i, max(lo - (hi - lo) * 0.5::DOUBLE + i * ((hi - lo) * 2 / 63)) AS x,
+           sum(w * exp(-0.5::DOUBLE * pow((lo - (hi - lo) * 0.5::DOUBLE + i * ((hi - lo) * 2 / 63) - (lo + b * d)) / h, 2))) / max(n * h * 2.5066282746310002::DOUBLE) AS density
+    FROM b JOIN m ON m.g = b.g, range(64) r(i) GROUP BY m.g, i)"""
+
+
+@query("density_binned_a11", f"""SELECT g AS l_linestatus, 'l_extendedprice' AS "column", i, {r('x')} AS x, {r('1000 * density', 9)} AS density
+    FROM {_BINNED.format(by='l_linestatus', x='l_extendedprice', table='lineitem')}""")
+def density_binned(t: Tables):
+    curve = P.binned_curves(t("lineitem", "l_linestatus", "l_extendedprice"), ["l_extendedprice"], 64, by="l_linestatus")
+    return rounded(rounded(curve.withColumn("density", F.col("density") * 1000), 6, ["x"]), 9, ["density"])
+
+
+@query("compared_values_v08", f"""
+    SELECT g AS side, 'o_totalprice' AS "column", i, {r('x')} AS x, {r('1000 * density', 9)} AS y, NULL AS value
+    FROM {_BINNED.format(by='side', x='o_totalprice', table="(SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, o_totalprice FROM orders)")}
+    UNION ALL SELECT side, 'digit', NULL, NULL, {r("count(*) / CAST(sum(count(*)) OVER (PARTITION BY side) AS DOUBLE)", 9)}, CAST(digit AS VARCHAR)
+    FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, o_custkey % 10 AS digit FROM orders) GROUP BY side, digit""")
+def compared_values(t: Tables):
+    df = t("orders", "o_orderkey", "o_totalprice", "o_custkey % 10 AS digit")
+    a, b = (df.where(f"o_orderkey % 2 = {i}").drop("o_orderkey") for i in (0, 1))
+    curves, shares = P.compare_values(a, b, ["o_totalprice", "digit"])
+    curves = curves.select("side", "column", "i", F.round("x", 6).alias("x"), F.round(F.col("density") * 1000, 9).alias("y"), F.lit(None).cast("string").alias("value"))
+    sides = shares.unpivot(["column", "value"], ["share_a", "share_b"], "side", "y").select(
+        F.right("side", F.lit(1)).alias("side"), "column", F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("x"), F.round("y", 9).alias("y"), "value")
+    return curves.unionByName(sides)
+
+
 @query("contract_check_a12", """
     WITH f AS (SELECT * FROM lineitem WHERE l_linestatus = 'F')
     SELECT * FROM (
