@@ -96,10 +96,22 @@ def ordinal_encode_all(df: DataFrame, order: str = "native") -> DataFrame:
     return label_encode(df, list(df.columns), None, order)
 
 
+def _free_name(name: str, taken: set) -> str:
+    """``name``, or with the first number behind it that makes it new; it is then taken."""
+    found, n = name, 1
+    while found in taken:
+        n += 1
+        found = f"{name}__{n}"
+    taken.add(found)
+    return found
+
+
 def one_hot(df: DataFrame, cols: list[str] | None = None, target: str | None = None,
             drop_first: bool = True, cast: str = "double", max_columns: int = 5000) -> DataFrame:
     """Named 0/1 columns per sorted level; null is all zeros; the target stays, last.
 
+    A name that is already there gets ``__2``, ``__3``, ... behind it.
+
     A table can only hold so many columns: beyond ``max_columns`` levels this
     raises, and ``one_hot_vector`` gives the same features as sparse vectors.
     """
@@ -107,12 +119,13 @@ def one_hot(df: DataFrame, cols: list[str] | None = None, target: str | None = N
     levels = P.bounded_levels(df, cols, max_columns)
     if levels is None:
         raise ValueError(f"more than {max_columns} levels; use one_hot_vector")
-    out = [q(c).cast(cast).alias(c) if cast == "double" and c in P.numeric_cols(df) else q(c)
-           for c in df.columns if c not in cols and c != target]
+    kept = [c for c in df.columns if c not in cols and c != target]
+    taken = {*kept, target}
+    out = [q(c).cast(cast).alias(c) if cast == "double" and c in P.numeric_cols(df) else q(c) for c in kept]
     for c in cols:
         for v in levels[c][1:] if drop_first else levels[c]:
             out.append(F.coalesce((q(c).cast("string") == F.lit(v)).cast(cast), F.lit(0).cast(cast))
-                       .alias(f"{c}_{v}"))
+                       .alias(_free_name(f"{c}_{v}", taken)))
     if target:
         out.append(q(target))
     return df.select(*out)
@@ -134,10 +147,18 @@ def one_hot_vector(df: DataFrame, cols: list[str], drop_first: bool = True) -> D
     return enc.fit(codes).transform(codes)
 
 
-def encode_categoricals(df: DataFrame, target: str, days: bool = False, hot: bool = False,
+def encode_categoricals(df: DataFrame, target: str, days: bool = False, hot: bool | str = False,
                         cols: list[str] | None = None, order: str = "string") -> DataFrame:
-    """Recode the target to two or three classes, then label- or one-hot-encode the rest."""
+    """Recode the target to two or three classes, then label- or one-hot-encode the rest.
+
+    ``hot="vector"`` gives one sparse vector ``<column>_vec`` a column in place
+    of named columns, for any number of levels.
+    """
     df = encode_target(df, target, READMITTED_DAYS if days else READMITTED_BINARY)
+    if hot == "vector":
+        chosen = [c for c in (cols or P.text_cols(df)) if c != target]
+        kept = [c for c in df.columns if c not in chosen and c != target]
+        return one_hot_vector(df, chosen).select(*map(q, kept), *[q(f"{c}_vec") for c in chosen], q(target))
     if hot:
         return one_hot(df, cols, target)
     return label_encode(df, cols, target, order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,84 @@ def information_value(df: DataFrame, cols: list[str], y: str, smooth: float = 0.
     return rows.join(F.broadcast(info), "column").select("column", "value", "woe", "information_value")
 
 
+def _monotone_blocks(counts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Neighbouring bins (n, events) pooled until the event rate only rises or only falls, as it does on the whole; (first, last) bins."""
+    n = sum(c[0] for c in counts)
+    events = sum(c[1] for c in counts)
+    trend = n * sum(i * e for i, (_, e) in enumerate(counts)) - events * sum(i * k for i, (k, _) in enumerate(counts))
+    sign = 1 if trend >= 0 else -1
+    blocks: list[list[int]] = []
+    for i, (k, e) in enumerate(counts):
+        blocks.append([i, i, k, e])
+        while len(blocks) > 1 and sign * blocks[-2][3] * blocks[-1][2] >= sign * blocks[-1][3] * blocks[-2][2]:
+            _, last, k2, e2 = blocks.pop()
+            blocks[-1][1:] = [last, blocks[-1][2] + k2, blocks[-1][3] + e2]
+    return [(a, b) for a, b, _, _ in blocks]
+
+
+def _fewer_blocks(counts: list[tuple[int, int]], blocks: list[tuple[int, int]], wanted: int, smooth: float) -> list[tuple[int, int]]:
+    """Neighbours joined where it costs the least information until at most ``wanted`` blocks are left."""
+    total_e, total_o = sum(e for _, e in counts), sum(n - e for n, e in counts)
+
+    def part(a: int, b: int) -> float:
+        e, o = sum(e for _, e in counts[a:b + 1]), sum(n - e for n, e in counts[a:b + 1])
+        pe, po = (e + smooth) / max(total_e, 1), (o + smooth) / max(total_o, 1)
+        return (pe - po) * math.log(pe / po)
+
+    blocks = list(blocks)
+    while len(blocks) > max(1, wanted):
+        cost = [part(*x) + part(*y) - part(x[0], y[1]) for x, y in zip(blocks, blocks[1:])]
+        i = min(range(len(cost)), key=cost.__getitem__)
+        blocks[i:i + 2] = [(blocks[i][0], blocks[i + 1][1])]
+    return blocks
+
+
+def binned_information(df: DataFrame, cols: list[str], y: str, max_bins: int = 8, fine_bins: int = 32, smooth: float = 0.5,
+                       accuracy: int = 10_000) -> DataFrame:
+    """(column, bin, lower, upper, n, events, woe, information_value) of numeric columns, lower < x <= upper.
+
+    Quantile edges come from a sketch; one pass counts the at most ``fine_bins``
+    bins of every column, and only these counts reach the driver. Neighbours are
+    joined until the event rate is monotone, then until ``max_bins`` are left.
+    Missing values are a bin of their own, 0, without bounds; the outer bins
+    have no outer bound (null). ``smooth`` is added to both counts of a bin.
+    """
+    shares = [F.lit(i / fine_bins) for i in range(1, fine_bins)]
+    cuts = P.wide_agg(df, {c: F.percentile_approx(q(c).cast("double"), F.array(*shares), F.lit(accuracy)) for c in cols})
+    edges = {c: sorted(set(cuts[c] or [])) for c in cols}
+
+    def below(x):
+        return lambda edge: edge < x
+
+    cells = [F.struct(F.lit(i).alias("column"), F.when(q(c).isNull(), -1).otherwise(
+        F.size(F.filter(F.array(*map(F.lit, edges[c])).cast("array<double>"), below(q(c).cast("double"))))).alias("fine")) for i, c in enumerate(cols)]
+    event = (q(y) == 1).cast("bigint")
+    counted = df.where(q(y).isin(0, 1)).select(event.alias("_y"), F.explode(F.array(*cells)).alias("s")).groupBy("s.column", "s.fine").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("events")).collect()
+    rows = []
+    for i, c in enumerate(cols):
+        mine = {r["fine"]: (r["n"], r["events"]) for r in counted if r["column"] == i}
+        total_e, total_o = sum(e for _, e in mine.values()), sum(n - e for n, e in mine.values())
+        if not total_e or not total_o:
+            continue  # one class only: nothing to weigh
+        order = sorted(f for f in mine if f >= 0)
+        counts = [mine[f] for f in order]
+        blocks = _fewer_blocks(counts, _monotone_blocks(counts), max_bins, smooth) if counts else []
+        listed = [(0, None, None, *mine[-1])] if -1 in mine else []
+        for b, (first, last) in enumerate(blocks, 1):
+            low = edges[c][order[first] - 1] if first else None
+            high = edges[c][order[last]] if last < len(order) - 1 else None
+            listed.append((b, low, high, sum(n for n, _ in counts[first:last + 1]), sum(e for _, e in counts[first:last + 1])))
+        parts = []
+        for b, low, high, n, e in listed:
+            pe, po = (e + smooth) / total_e, (n - e + smooth) / total_o
+            parts.append((c, b, low, high, n, e, math.log(pe / po), (pe - po) * math.log(pe / po)))
+        information = sum(p[-1] for p in parts)
+        rows += [(*p[:-1], information) for p in parts]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, bin int, lower double, upper double, n bigint, events bigint, woe double, information_value double")
+
+
 def correlation_screen(df: DataFrame, cols: list[str], threshold: float = 0.9) -> DataFrame:
     """Pearson correlation of every column pair and whether it exceeds the threshold.
 
@@ -69,20 +149,49 @@ def shuffled_columns(df: DataFrame, cols: list[str], key: str, seed: int, prefix
     return out
 
 
-def boruta(df: DataFrame, cols: list[str], y: str, key: str, rounds: int = 10, trees: int = 30,
-           depth: int = 5, seed: int = 42) -> DataFrame:
-    """Rounds in which each feature beats the best shuffled shadow feature; confirmed when in most."""
-    hits = dict.fromkeys(cols, 0)
+def _at_least(hits: int, rounds: int) -> float:
+    """Chance of ``hits`` or more heads in ``rounds`` fair throws."""
+    return sum(math.comb(rounds, i) for i in range(hits, rounds + 1)) / 2 ** rounds
+
+
+def boruta_rounds(df: DataFrame, cols: list[str], y: str, key: str, rounds: int = 12, trees: int = 30,
+                  depth: int = 5, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """(round, feature, hits, played, state): a feature hits when it beats the best shuffled shadow of a forest.
+
+    After each round the hits are tested against a fair coin, both ways, with
+    ``alpha`` divided by the number of features. ``confirmed`` features stay in
+    the forest, ``rejected`` ones leave it with their shadows, the others stay
+    ``tentative``. Rounds end early once none is tentative.
+    """
+    hits, played, state = dict.fromkeys(cols, 0), dict.fromkeys(cols, 0), dict.fromkeys(cols, "tentative")
     df = materialize(df.select(key, y, *map(q, cols)))
+    rows = []
     for r in range(rounds):
-        wide = shuffled_columns(df.select(key, y, *map(q, cols)), cols, key, seed + r, "shadow_")
-        names = cols + [f"shadow_{c}" for c in cols]
+        live = [c for c in cols if state[c] != "rejected"]
+        wide = shuffled_columns(df.select(key, y, *map(q, live)), live, key, seed + r, "shadow_")
+        names = live + [f"shadow_{c}" for c in live]
         values = _weights(random_forest(trees, depth, seed=seed + r).fit(assembled(wide, names, y)))
-        bar = max(values[len(cols):])
-        for i, c in enumerate(cols):
-            hits[c] += int(values[i] > bar)
-    rows = [(c, h, rounds, h > rounds / 2) for c, h in hits.items()]
-    return df.sparkSession.createDataFrame(rows, "feature string, hits int, rounds int, confirmed boolean")
+        bar = max(values[len(live):])
+        for i, c in enumerate(live):
+            if state[c] == "tentative":
+                played[c] += 1
+                hits[c] += int(values[i] > bar)
+                if _at_least(hits[c], played[c]) * len(cols) < alpha:
+                    state[c] = "confirmed"
+                elif _at_least(played[c] - hits[c], played[c]) * len(cols) < alpha:
+                    state[c] = "rejected"
+        rows += [(r + 1, c, hits[c], played[c], state[c]) for c in cols]
+        if "tentative" not in state.values():
+            break
+    return df.sparkSession.createDataFrame(rows, "round int, feature string, hits int, played int, state string")
+
+
+def boruta(df: DataFrame, cols: list[str], y: str, key: str, rounds: int = 12, trees: int = 30,
+           depth: int = 5, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """(feature, hits, rounds, state, confirmed): where ``boruta_rounds`` ends."""
+    history = boruta_rounds(df, cols, y, key, rounds, trees, depth, seed, alpha)
+    last = history.groupBy("feature").agg(F.max_by(F.struct("hits", "played", "state"), "round").alias("s"))
+    return last.select("feature", "s.hits", F.col("s.played").alias("rounds"), "s.state", (F.col("s.state") == "confirmed").alias("confirmed"))
 
 
 def permutation_importance(model, df: DataFrame, cols: list[str], y: str, key: str, seed: int = 42) -> DataFrame:

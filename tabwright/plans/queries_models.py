@@ -158,6 +158,30 @@ def information_value(t: Tables):
     return rounded(D.information_value(df, ["l_linestatus", "l_linenumber"], "y"))
 
 
+_EVENTS = "SELECT CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_quantity END AS x, CASE WHEN l_quantity * 3 + l_partkey % 97 > 130 THEN 1 ELSE 0 END AS y FROM lineitem"
+
+
+@query("binned_information_d02", f"""
+    WITH t AS ({_EVENTS}), e AS (SELECT DISTINCT unnest(quantile_disc(x, [{', '.join(f'{i}/12.0' for i in range(1, 12))}])) AS edge FROM t WHERE x IS NOT NULL),
+    f AS (SELECT (SELECT count(*) FROM e WHERE edge < x) AS b, count(*) AS n, sum(y) AS ev FROM t WHERE x IS NOT NULL GROUP BY 1),
+    c AS (SELECT row_number() OVER (ORDER BY b) AS i, b, n, ev FROM f),
+    d AS (SELECT CASE WHEN sum(n) * sum(i * ev) - sum(ev) * sum(i * n) >= 0 THEN 1 ELSE -1 END AS s FROM c),
+    j AS (SELECT x.i AS a, z.i AS z, d.s * sum(m.ev) / CAST(sum(m.n) AS DOUBLE) AS rate FROM c x, c z, c m, d WHERE x.i <= z.i AND m.i BETWEEN x.i AND z.i GROUP BY x.i, z.i, d.s),
+    lo AS (SELECT c.i, j.a, min(rate) AS rate FROM c JOIN j ON j.a <= c.i AND j.z >= c.i GROUP BY c.i, j.a),
+    iso AS (SELECT i, max(rate) AS rate FROM lo GROUP BY i),
+    g AS (SELECT rate, min(b) AS b0, max(b) AS b1, sum(n) AS n, sum(ev) AS ev FROM iso JOIN c USING (i) GROUP BY rate),
+    k AS (SELECT CAST(row_number() OVER (ORDER BY b0) AS INT) AS bin, CASE WHEN b0 > (SELECT min(b) FROM c) THEN (SELECT list(edge ORDER BY edge) FROM e)[b0] END AS lower,
+                 CASE WHEN b1 < (SELECT max(b) FROM c) THEN (SELECT list(edge ORDER BY edge) FROM e)[b1 + 1] END AS upper, n, ev FROM g
+          UNION ALL SELECT 0, NULL, NULL, count(*), sum(y) FROM t WHERE x IS NULL),
+    w AS (SELECT *, (ev + 0.5::DOUBLE) / sum(ev) OVER () AS pe, (n - ev + 0.5::DOUBLE) / sum(n - ev) OVER () AS po FROM k)
+    SELECT 'x' AS "column", bin, lower, upper, CAST(n AS BIGINT) AS n, CAST(ev AS BIGINT) AS events, {r('ln(pe / po)')} AS woe, {r('sum((pe - po) * ln(pe / po)) OVER ()')} AS information_value FROM w""")
+def binned_information(t: Tables):
+    df = t("lineitem", "CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_quantity END AS x",
+           "CASE WHEN l_quantity * 3 + l_partkey % 97 > 130 THEN 1 ELSE 0 END AS y")
+    out = D.binned_information(df, ["x"], "y", max_bins=12, fine_bins=12, accuracy=10_000_000)
+    return rounded(out, 6, ["woe", "information_value"])
+
+
 @query("correlation_screen_d03", " UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, {r(f'corr({a}, {b})')} AS correlation, abs(corr({a}, {b})) > 0.5 AS flagged FROM lineitem"
     for i, a in enumerate(_COLS) for b in _COLS[i + 1:]))
