@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import written
@@ -26,14 +25,26 @@ def _unboxed(boxed: DataFrame, docs: DataFrame) -> DataFrame:
     return boxed.select(*("text" if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
+def _row(boxed: DataFrame) -> Column:
+    """A number that equal rows share; it depends on the values alone, so a retry gives the same."""
+    return F.xxhash64("doc", "text")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.5 or more; texts without words go."""
+    """Documents that the quality classifier scores 0.5 or more; null texts and texts without words go.
+
+    Null ids and repeated rows stay as they are; an empty table stays empty.
+    """
     scored = score_quality(_boxed(docs), fit_quality(docs, "text"), ["doc", "text"])
     return _unboxed(scored.filter(F.col("quality") >= 0.5), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text."""
+    """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text.
+
+    Null texts stay null and null sources are one host. Repeated rows count as
+    pages each and null ids play no part; an empty table stays empty.
+    """
     boxed = _boxed(docs).withColumn("host", F.col("doc.source"))
     cleaned = _unboxed(line_dedup(boxed, "host", "text"), docs)
     if "n_chars" not in docs.columns:
@@ -42,9 +53,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the smallest doc_id (null ids first), of repeated rows one."""
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    boxed = _boxed(docs.withColumn("__row", row)).select("doc", "text", F.struct(F.col("doc.doc_id").alias("id"), F.col("doc.__row").alias("row")).alias("key"))
+    """One document of each SimHash group: the smallest doc_id (null ids first), of repeated rows one.
+
+    Null and blank texts are one group. An empty table stays empty.
+    """
+    boxed = _boxed(docs)
+    boxed = boxed.select("doc", "text", F.struct(F.col("doc.doc_id").alias("id"), _row(boxed).alias("row")).alias("key"))
     marks = near_duplicates(boxed, "key", "text", width=4, max_bits=4)
     first = marks.filter(F.col("key").eqNullSafe(F.col("component_id"))).select("key.id", "key.row").distinct()
     a, b = boxed.alias("a"), first.alias("b")
@@ -53,15 +67,26 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    boxed = _boxed(docs.withColumn("__name", name)).withColumn("name", F.col("doc.__name"))
+    """Documents in which no window of a benchmark item occurs.
+
+    Null texts have no windows and stay; so do null ids and repeated rows,
+    judged by their text. An empty table stays empty.
+    """
+    boxed = _boxed(docs)
+    name = F.concat_ws(":", F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null")), _row(boxed))
+    boxed = boxed.withColumn("name", name)
     found = contamination(boxed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "name", "text", window=10)
     return _unboxed(boxed.join(found.filter("contaminated").select("name").distinct(), "name", "left_anti"), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 token ids with their sequence and offset."""
+    """Pieces of at most 1024 token ids with their sequence and offset.
+
+    A null text is an empty one and has its end id only. Null ids and repeated
+    rows are packed like any other; an empty table gives no pieces.
+    """
+    import public_tokenizers
+
     added = added_tokens(public_tokenizers.path(TOKENIZER))
     return pack(docs, public_tokenizers.path(VOCABULARY), "doc_id", "text", capacity=1024, end_id=0, added=added)
 
