@@ -85,3 +85,18 @@ def test_run_equals_its_stages(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.count() == len(stages[4][1]) and set(got.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
     assert public_tokenizers.path(corpus_pipeline.VOCABULARY)
+
+
+def test_columns_of_the_stages_own_names_come_out_unchanged(spark, tmp_path):
+    rows = document_rows()
+    spark.createDataFrame([(1, " ".join((rows[10][1]).split()[:12]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, rows).withColumnsRenamed({"score": "__row", "kept": "__name", "words": "doc"}).withColumn("key", docs_note())
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "__row", "__name", "doc", "key"]
+        assert docs.where("doc_id IS NOT NULL AND (__row <> 0.5 OR NOT __name OR doc <> 'w' OR key <> 'mine')").count() == 0 and docs.count() > 20
+
+
+def docs_note():
+    from pyspark.sql import functions as F
+    return F.lit("mine")
