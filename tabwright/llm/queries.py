@@ -60,7 +60,9 @@ def _op2(t):
     import public_tokenizers
 
     from .token_counts import scrubbed_counts
-    return scrubbed_counts(t("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    from .tokens import added_tokens
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return scrubbed_counts(t("documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), added=added)
 
 
 @query("op3_lm_scoring")

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import renamed, safe_pieces, small_batches
+from .common import arrow_kind, renamed, safe_pieces, small_batches
 from .tokens import encoder, shared_vocabulary
 
 LEAF = 512  # characters of a leaf, about
 
 # personal data and noise that a corpus is scrubbed of: pattern and replacement
-SCRUBS = [(r"[\w.+-]+@[\w-]+\.[\w.-]+\w", "<email>"), (r"\+?\d[\d ()-]{6,}\d", "<phone>"), (r"https?://[^\s]+", "<url>"), (r"!{2,}", "!"), (r"[ \t]{2,}", " ")]
+# (a mail address starts where its run of characters starts, so that a long run is read once)
+SCRUBS = [(r"(?<![\w.+-])[\w.+-]++@[\w-]++\.[\w.-]+\w", "<email>"), (r"\+?\d[\d ()-]{6,}\d", "<phone>"), (r"https?://[^\s]+", "<url>"),
+          (r"!{2,}", "!"), (r"[ \t]{2,}", " ")]
 
 
 class TokenTree:
@@ -84,11 +86,29 @@ class TokenTree:
 
     def edit(self, start: int, length: int, replacement: str) -> None:
         """Replace ``length`` characters from ``start``; both are cut to the text."""
-        start = min(max(0, start), self.chars[1])
-        end = min(start + max(0, length), self.chars[1])
-        (first, begin), (last, _) = self.find(start), self.find(max(start, end - 1))
-        region = "".join(self.leaves[first:last + 1])
-        region = region[:start - begin] + replacement + region[end - begin:]
+        self.edit_all([(start, length, replacement)])
+
+    def edit_all(self, edits: list[tuple[int, int, str]]) -> None:
+        """Apply edits in order of place, none overlapping, all places as the text is now: a leaf is encoded once for all its edits."""
+        spans: list[list] = []  # first leaf, where it begins, last leaf, edits
+        for start, length, replacement in edits:
+            start = min(max(0, start), self.chars[1])
+            end = min(start + max(0, length), self.chars[1])
+            (first, begin), (last, _) = self.find(start), self.find(max(start, end - 1))
+            if spans and first <= spans[-1][2]:
+                spans[-1][2] = max(last, spans[-1][2])
+                spans[-1][3].append((start, end, replacement))
+            else:
+                spans.append([first, begin, last, [(start, end, replacement)]])
+        for first, begin, last, changes in reversed(spans):  # from the end, so that places stay right
+            old, at, parts = "".join(self.leaves[first:last + 1]), 0, []
+            for start, end, replacement in changes:
+                parts += [old[at:start - begin], replacement]
+                at = end - begin
+            self._replace(first, last, "".join(parts) + old[at:])
+
+    def _replace(self, first: int, last: int, region: str) -> None:
+        """Put ``region`` in place of the leaves ``first`` to ``last``."""
         while True:  # take in neighbours until both ends are places where pre-tokens end
             before, after = self._neighbour(first, -1), self._neighbour(last, 1)
             if not region:
@@ -112,6 +132,19 @@ class TokenTree:
         for k in range(slots):
             self._put(first + k, *((pieces[k], counts[k]) if k < len(pieces) else ("", 0)))
 
+    @classmethod
+    def kept(cls, leaves: list[str], tokens: list[int], count: Callable[[str], int], leaf: int = LEAF) -> TokenTree:
+        """The tree of stored leaves and their token counts; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.count, tree.leaf = count, leaf
+        tree.plant(leaves or [""], tokens or [0])
+        return tree
+
+    def stored(self) -> tuple[list[str], list[int]]:
+        """Leaves with text, and their token counts."""
+        pairs = [(x, n) for x, n in zip(self.leaves, self.tokens[self.base:]) if x]
+        return [x for x, _ in pairs], [n for _, n in pairs]
+
 
 def separate(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Edits of one text, by place; of edits that overlap the one that begins first, then the longer, counts."""
@@ -131,12 +164,26 @@ def scrub_edits(text: str, scrubs: list[tuple[str, str]]) -> list[tuple[int, int
 FIELDS = ("n_tokens", "n_edits", "n_tokens_edited", "chars_encoded_again", "n_chars_edited")
 
 
-def _recounted(df: DataFrame, vocabulary: str, edits_of: Callable[[str, list | None], list[tuple[int, int, str]]]) -> DataFrame:
+def usable(n_chars: int, given: list | None) -> list[tuple[int, int, str]]:
+    """The edits of an ``edits`` value that lie in a text of ``n_chars`` characters, overlaps left out."""
+    triples = [tuple(e.values()) for e in given or [] if e is not None]
+    return separate([(a, n, r or "") for a, n, r in triples if a is not None and n is not None and 0 <= a <= n_chars and n >= 0])
+
+
+def checked(added: dict[str, int] | None) -> dict[str, int] | None:
+    """Added tokens without white space: no leaf is cut inside one."""
+    if any(c.isspace() for token in added or () for c in token):
+        raise ValueError("an added token holds white space")
+    return added
+
+
+def _recounted(df: DataFrame, vocabulary: str, edits_of: Callable[[str, list | None], list[tuple[int, int, str]]],
+               added: dict[str, int] | None) -> DataFrame:
     shared = shared_vocabulary(df.sparkSession, vocabulary)
-    names, given = ["key", *FIELDS], "edits" in df.columns
+    names, given, added = ["key", *FIELDS], "edits" in df.columns, checked(added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value)
+        encode = encoder(shared.value, added)
 
         def count(text: str) -> int:
             return len(encode(text))
@@ -144,8 +191,7 @@ def _recounted(df: DataFrame, vocabulary: str, edits_of: Callable[[str, list | N
         def one(text: str | None, edits: list | None) -> tuple[int, ...]:
             tree = TokenTree(text or "", count)
             before, chars, edits = tree.n_tokens, tree.encoded_chars, edits_of(text or "", edits)
-            for at in reversed(edits):  # from the end, so that places stay right
-                tree.edit(*at)
+            tree.edit_all(edits)
             return before, len(edits), tree.n_tokens, tree.encoded_chars - chars, tree.chars[1]
 
         for batch in batches:
@@ -158,7 +204,8 @@ def _recounted(df: DataFrame, vocabulary: str, edits_of: Callable[[str, list | N
     return df.mapInArrow(run, schema)
 
 
-def edited_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
+def edited_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", edits: str = "edits",
+                  added: dict[str, int] | None = None) -> DataFrame:
     """(key, n_tokens, n_edits, n_tokens_edited, chars_encoded_again, n_chars_edited): token counts before and after edits.
 
     ``edits`` is an array of structs (start, length, replacement) whose places
@@ -166,16 +213,65 @@ def edited_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     replacement deletes, and of edits that overlap only the first counts. Only
     leaves around edits are encoded again. Texts are not shuffled. Null texts
     count as empty, null keys and repeated rows are counted like any other, other
-    columns are ignored, an empty table gives an empty result.
+    columns are ignored, an empty table gives an empty result. ``added`` tokens
+    inside a text count as one each.
     """
-    def clean(text: str, given: list | None) -> list[tuple[int, int, str]]:
-        usable = [tuple(e.values()) for e in given or [] if e is not None]
-        return separate([(a, n, r or "") for a, n, r in usable if a is not None and n is not None and 0 <= a <= len(text) and n >= 0])
+    ready = renamed(df, key=key, text=text, edits=edits)
+    return _recounted(ready, vocabulary, lambda t, given: usable(len(t), given), added).withColumnRenamed("key", key)
 
-    return _recounted(renamed(df, key=key, text=text, edits=edits), vocabulary, clean).withColumnRenamed("key", key)
 
-
-def scrubbed_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", scrubs: list[tuple[str, str]] | None = None) -> DataFrame:
+def scrubbed_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", scrubs: list[tuple[str, str]] | None = None,
+                    added: dict[str, int] | None = None) -> DataFrame:
     """``edited_counts`` for the edits that replace every match of the patterns of ``scrubs`` (pattern, replacement)."""
     scrubs = SCRUBS if scrubs is None else scrubs
-    return _recounted(renamed(df, key=key, text=text), vocabulary, lambda text, _: scrub_edits(text, scrubs)).withColumnRenamed("key", key)
+    return _recounted(renamed(df, key=key, text=text), vocabulary, lambda text, _: scrub_edits(text, scrubs), added).withColumnRenamed("key", key)
+
+
+def _trees(df: DataFrame, vocabulary: str, key: str, added: dict[str, int] | None, extra: list[str], columns: int, grow: Callable) -> DataFrame:
+    """Rows (key, leaves, leaf_tokens, n_tokens, n_chars, extra...) of the trees that ``grow(count, *values)`` makes of the columns behind the key."""
+    shared, added = shared_vocabulary(df.sparkSession, vocabulary), checked(added)
+    fields = [("leaves", T.ArrayType(T.StringType())), ("leaf_tokens", T.ArrayType(T.LongType())),
+              *((n, T.LongType()) for n in ("n_tokens", "n_chars", *extra))]
+    schema = T.StructType([df.schema["key"]] + [T.StructField(n, t) for n, t in fields])
+    names, kinds = [n for n, _ in fields], [arrow_kind(t) for _, t in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(shared.value, added)
+
+        def one(*values) -> tuple:
+            tree, more = grow(lambda text: len(encode(text)), *values)
+            return *tree.stored(), tree.n_tokens, tree.chars[1], *more
+
+        for batch in batches:
+            for part in small_batches(batch, 1):
+                rows = [one(*v) for v in zip(*(part.column(i + 1).to_pylist() for i in range(columns)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["key", *names])
+
+    return df.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def plant_trees(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
+    """(key, leaves, leaf_tokens, n_tokens, n_chars): every text as a kept tree, to be written and edited later by ``edit_trees``.
+
+    One row for each row of ``df``; the leaves joined are the text. Null and empty
+    texts have no leaves; null keys and repeated rows stay; other columns are ignored.
+    """
+    return _trees(renamed(df, key=key, text=text), vocabulary, key, added, [], 1, lambda count, t: (TokenTree(t or "", count), ()))
+
+
+def edit_trees(trees: DataFrame, vocabulary: str, key: str = "doc_id", edits: str = "edits", added: dict[str, int] | None = None) -> DataFrame:
+    """Kept trees after ``edits`` (as in ``edited_counts``, null: none): the columns of ``plant_trees``, n_edits and chars_encoded.
+
+    ``trees`` is the table of ``plant_trees`` or of an earlier ``edit_trees``, with
+    the edits joined to it. Only leaves around edits are encoded (``chars_encoded``
+    characters); counts of all others are taken from the table, so a further round
+    costs what it touches. Rows are not shuffled; null leaves count as an empty text.
+    """
+    def grow(count: Callable[[str], int], leaves: list | None, tokens: list | None, given: list | None) -> tuple[TokenTree, tuple[int, int]]:
+        tree = TokenTree.kept(leaves or [], tokens or [], count)
+        wanted = usable(tree.chars[1], given)
+        tree.edit_all(wanted)
+        return tree, (len(wanted), tree.encoded_chars)
+
+    ready = renamed(trees, key=key, leaves="leaves", leaf_tokens="leaf_tokens", edits=edits)
+    return _trees(ready, vocabulary, key, added, ["n_edits", "chars_encoded"], 3, grow)
