@@ -110,18 +110,24 @@ def _licences_sql() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    def canonical(x: str) -> str:
-        x = f"regexp_replace(lower({x}), {quoted(licences.COPYRIGHT_LINE.replace(chr(92) + 'n', chr(10)))}, chr(10), 'g')"
-        for other, usual in licences.SPELLINGS:
-            x = f"regexp_replace({x}, {quoted(other)}, {quoted(usual)}, 'g')"
-        return f"trim(regexp_replace(translate({x}, {quoted(licences.MARKS)}, {quoted(' ' * len(licences.MARKS))}), {quoted(licences.PUNCTUATION)}, ' ', 'g'))"
-
-    rows = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licences.known_texts())
+    def lines(x: str) -> str:
+        def put(x: str, pattern: str, usual: str) -> str:
+            return f"regexp_replace({x}, {quoted(pattern)}, {quoted(usual)}, 'g')"
+
+        x = put(put(x, licences.STATEMENT, f"{chr(92)}1{chr(10)}{chr(92)}6"), licences.COPYRIGHT, chr(10))
+        x = put(f"translate({x}, {quoted(licences.MARKS)}, {quoted(' ' * len(licences.MARKS))})", licences.PUNCTUATION, " ")
+        for pattern, usual in licences.SPELLINGS:
+            x = put(x, pattern, usual)
+        return f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+    texts = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licences.known_texts())
+    digests = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licences.DIGESTS)
     return f"""
-WITH known AS (SELECT DISTINCT licence, {canonical('t')} AS part FROM (VALUES {rows}) AS v(licence, t)),
-units AS (SELECT doc_id, TRUE AS whole, text AS part FROM documents WHERE text IS NOT NULL
-          UNION ALL SELECT doc_id, FALSE, unnest(list_distinct(string_split(text, chr(10)))) FROM documents WHERE text IS NOT NULL),
-found AS (SELECT u.doc_id, u.whole, k.licence FROM (SELECT doc_id, whole, {canonical('part')} AS part FROM units) u JOIN known k ON u.part = k.part AND u.part <> '')
+WITH known AS (SELECT licence, sha256(array_to_string({lines('lower(t)')}, ' ')) AS digest FROM (VALUES {texts}) AS v(licence, t)
+               UNION SELECT * FROM (VALUES {digests}) AS g(licence, digest)),
+d AS (SELECT doc_id, {lines('lower(text)')} AS lines FROM documents WHERE text IS NOT NULL),
+units AS (SELECT doc_id, TRUE AS whole, array_to_string(lines, ' ') AS part FROM d UNION ALL SELECT doc_id, FALSE, unnest(list_distinct(lines)) FROM d),
+found AS (SELECT u.doc_id, u.whole, k.licence FROM units u JOIN known k ON sha256(u.part) = k.digest AND u.part <> '')
 SELECT d.doc_id, min(CASE WHEN f.whole THEN f.licence END) AS licence,
        coalesce(string_agg(DISTINCT CASE WHEN NOT f.whole THEN f.licence END, ',' ORDER BY CASE WHEN NOT f.whole THEN f.licence END), '') AS notices
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
