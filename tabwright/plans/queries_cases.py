@@ -79,9 +79,9 @@ def one_hot_numeric(t: Tables):
     return hot.withColumns({c: F.col(c).cast(k) for c, k in (("l_orderkey", "bigint"), ("l_linenumber", "int"))})
 
 
-@query("ordinal_large_f24", "SELECT n_nationkey, dense_rank() OVER (ORDER BY 9007199254740992 + n_nationkey) - 1 AS big FROM nation")
+@query("ordinal_large_f24", "SELECT c_custkey, dense_rank() OVER (ORDER BY 9007199254740992 + c_custkey) - 1 AS big FROM customer")
 def ordinal_large(t: Tables):
-    return L.label_encode(t("nation", "n_nationkey", "9007199254740992 + n_nationkey AS big"), ["big"], order="native")
+    return L.label_encode(t("customer", "c_custkey", "9007199254740992 + c_custkey AS big"), ["big"], order="native")
 
 
 @query("one_class_e06_e07", "SELECT l_quantity AS threshold, CAST(0 AS DOUBLE) AS tpr, CAST(0 AS DOUBLE) AS ap FROM (SELECT DISTINCT l_quantity FROM lineitem)")
