@@ -69,16 +69,17 @@ def boosted_fit(t: Tables):
 
 @query("network_fit_m05", TEST_SQL)
 def network_fit(t: Tables):
-    return fitted(t, lambda train: M.feed_forward(len(FEATURES), hidden=(64, 32, 32, 32, 8), max_iter=100), 0.5)
+    return fitted(t, lambda train: M.feed_forward(len(FEATURES), hidden=(64, 32, 32, 32, 8), max_iter=100), 0.9)
 
 
 _MODELS = (*M.ZOO, "multinb", "xgb")
+_WEAK = "bernoulli_bayes"  # sees only whether a feature is above zero, which nearly all are here
 
 
 @query("model_comparison_m06", " UNION ALL ".join(f"SELECT '{m}' AS model, TRUE AS above_bar" for m in _MODELS))
 def model_comparison(t: Tables):
     train, test = (materialize(M.assembled(x, FEATURES, "y")) for x in halves(t))
-    rows = [(name, M.train_eval(name, train, test, len(FEATURES), scale=0.5)[0] >= 0.45) for name in _MODELS]
+    rows = [(name, M.train_eval(name, train, test, len(FEATURES), scale=0.5)[0] >= (0.45 if name == _WEAK else 0.8)) for name in _MODELS]
     return t.spark.createDataFrame(rows, "model string, above_bar boolean")
 
 
