@@ -77,3 +77,12 @@ def test_vector_form_of_the_encode_driver(spark):
     assert out.columns == ["id", "k_vec", "readmitted"] and out.first()["k_vec"].size == 5999
     with pytest.raises(ValueError):
         categorical.encode_categoricals(df, "readmitted", hot=True)
+
+
+def test_home_order_is_ranked_once_for_all_columns(spark, monkeypatch):
+    salts, rank = [], screens.hash_rank
+    monkeypatch.setattr(screens, "hash_rank", lambda df, seed, salt, *a, **k: (salts.append(salt), rank(df, seed, salt, *a, **k))[1])
+    monkeypatch.setattr(screens, "score_table", lambda model, df: df.selectExpr("CAST(label AS INT) AS label", "1D AS score"))
+    df = spark.range(40).selectExpr("id", "id % 3 AS a", "id % 5 AS b", "id % 2 AS y")
+    assert screens.permutation_importance(None, df, ["a", "b"], "y", "id").count() == 2
+    assert salts.count("home") == 1 and {"move/a", "move/b"} <= set(salts)
