@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
+import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from tabwright.session import materialize
 from tabwright.sources.tables import path_exists
 
 LIMIT_ROWS = 10_000
+WHOLE_BYTES = 1 << 27  # files above are fingerprinted split by split
 
 
 def _write_text(spark: SparkSession, text: str, path: str) -> None:
@@ -136,10 +140,97 @@ def sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: rows.where(F.col("name") == n).select("code", "description") for n in names}
 
 
-def file_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of every file at ``path``; one file is one row of at most 2 GB."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+def file_sha256(spark: SparkSession, path: str, whole: int = WHOLE_BYTES) -> DataFrame:
+    """(path, sha256) of every file at ``path``; a file of more than ``whole`` bytes is read split by split, each by a task of its own.
+
+    The digest is one chain over the bytes, so the splits of one file follow
+    one another: a task takes the chain's state (112 bytes) from the one before.
+    Files that Hadoop's text reader would unpack by their name are read whole,
+    2 GB at most, as are all where Python has no OpenSSL.
+    """
+    files, digest = spark.read.format("binaryFile").load(path), F.sha2("content", 256).alias("sha256")
+    large = files.where(F.col("length") > whole).select("path", "length").collect()
+    if not large or not _openssl():
+        return files.select("path", digest)
+    out = files.where(F.col("length") <= whole).select("path", digest)  # a filter of the source: content above it is not read
+    packed = [r["path"] for r in large if _PACKED.search(r["path"].lower())]
+    if packed:
+        out = out.unionByName(spark.read.format("binaryFile").load([*map(_exact, packed)]).select("path", digest))
+    chained = [(r["path"], _chained_sha256(spark, r["path"], r["length"])) for r in large if r["path"] not in packed]
+    return out.unionByName(spark.createDataFrame(chained, "path string, sha256 string"))
+
+
+_PACKED = re.compile(r"\.(gz|bz2|deflate|lz4|snappy|zst|zstd)$")
+
+
+def _exact(path: str) -> str:
+    """A path that is no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _openssl():
+    """OpenSSL's library as Python's own ``hashlib`` uses it, whose SHA-256 state is plain bytes; None where there is none."""
+    try:
+        import _hashlib
+        lib = ctypes.CDLL(_hashlib.__file__)
+        lib.SHA256_Init, lib.SHA256_Update, lib.SHA256_Final  # noqa: B018
+        return lib
+    except (ImportError, OSError, AttributeError):
+        return None
+
+
+def _hash_on(state: bytes, pieces) -> bytes:
+    """The SHA-256 state after further bytes."""
+    lib, held = _openssl(), ctypes.create_string_buffer(state, len(state))
+    for piece in pieces:
+        lib.SHA256_Update(held, piece, ctypes.c_size_t(len(piece)))
+    return held.raw
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(start of the split, bytes) of the parts of a file between newlines, in order inside a split."""
+    lines = spark.read.option("lineSep", "\n").text(_exact(path))
+    return lines.select(F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+
+
+def _chained_sha256(spark: SparkSession, path: str, length: int) -> str:
+    lines = split_lines(spark, path)
+    splits = lines.rdd.getNumPartitions()
+    for begin in (b"", b"\xef\xbb\xbf"):  # the text reader leaves out a byte order mark
+        held = ctypes.create_string_buffer(256)
+        _openssl().SHA256_Init(held)
+        state, seen, last = _hash_on(held.raw, [begin]), len(begin), -1
+        for i in range(splits):
+            for start, size, after in spark.sparkContext.runJob(_hashed(lines, state, last < 0).rdd, list, [i]):
+                if start <= last:
+                    raise RuntimeError(f"splits of {path} are out of order")
+                last, seen, state = start, seen + size, after
+        if seen in (length, length - 1):
+            break
+    else:
+        raise RuntimeError(f"{path} has {length} bytes, {seen} were read")
+    held = ctypes.create_string_buffer(_hash_on(state, [b"\n"] * (length - seen)), 256)
+    digest = ctypes.create_string_buffer(32)
+    _openssl().SHA256_Final(digest, held)
+    return digest.raw.hex()
+
+
+def _hashed(lines: DataFrame, state: bytes, first: bool) -> DataFrame:
+    """(start, bytes taken, state behind them) of a split: its lines, a newline before each but the file's first."""
+    def run(batches):
+        after, size, starts, begun = state, 0, set(), first
+        for batch in batches:
+            if batch.num_rows:
+                starts.update(batch.column(0).unique().to_pylist())
+                piece = b"\n".join([*([] if begun else [b""]), *batch.column(1).to_pylist()])
+                after, size, begun = _hash_on(after, [piece]), size + len(piece), False
+        if len(starts) > 1:
+            raise RuntimeError("a task has more than one split")
+        if starts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int64()), pa.array([size], pa.int64()), pa.array([after], pa.binary())],
+                                             names=["start", "size", "state"])
+
+    return lines.mapInArrow(run, "start bigint, size bigint, state binary")
 
 
 def row_sha256(df: DataFrame, col: str) -> DataFrame:
