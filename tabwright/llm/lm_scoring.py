@@ -78,6 +78,13 @@ class WindowNetwork:
         h += self.hidden
         return np.tanh(h, out=h)
 
+    def _leaves(self, h: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Outputs for the classes of each row's group, rows in order of group."""
+        z = np.empty((len(h), GROUP), np.float32)
+        for g, a, b in cuts:
+            z[a:b] = h[a:b] @ self.leaf[g] + self.leaf_bias[g]
+        return z
+
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(class | both sides) of every token, from its context (row, place)."""
         out = np.empty(len(target), np.float32)
@@ -85,8 +92,8 @@ class WindowNetwork:
             h, own = self._hidden(context[at:at + 4 * BATCH]), target[at:at + 4 * BATCH]
             group, place = own // GROUP, own % GROUP
             part = _log_softmax(h @ self.top + self.top_bias)[np.arange(len(own)), group]
-            for g, rows in _by_group(group):
-                part[rows] += _log_softmax(h[rows] @ self.leaf[g] + self.leaf_bias[g])[np.arange(len(rows)), place[rows]]
+            order, cuts = _by_group(group)
+            part[order] += _log_softmax(self._leaves(h[order], cuts))[np.arange(len(own)), place[order]]
             out[at:at + 4 * BATCH] = part
         return out
 
@@ -99,33 +106,48 @@ class WindowNetwork:
         dz /= n
         dh = dz @ self.top.T
         leaf, leaf_bias = np.zeros_like(self.leaf), np.zeros_like(self.leaf_bias)
-        for g, rows in _by_group(group):
-            own = h[rows]
-            dy = np.exp(_log_softmax(own @ self.leaf[g] + self.leaf_bias[g]))
-            dy[np.arange(len(rows)), place[rows]] -= 1
-            dy /= n
-            leaf[g], leaf_bias[g] = own.T @ dy, dy.sum(0)
-            dh[rows] += dy @ self.leaf[g].T
+        order, cuts = _by_group(group)
+        own, place = h[order], place[order]
+        dy = np.exp(_log_softmax(self._leaves(own, cuts)))
+        dy[np.arange(n), place] -= 1
+        dy /= n
+        back = np.empty_like(own)
+        for g, a, b in cuts:
+            leaf[g], leaf_bias[g] = own[a:b].T @ dy[a:b], dy[a:b].sum(0)
+            back[a:b] = dy[a:b] @ self.leaf[g].T
+        dh[order] += back
         dh *= 1 - h * h
-        flat, places = dh.reshape(-1).astype(np.float64), np.arange(WIDTH)
-        embed = np.stack([np.bincount((context[:, k, None] * WIDTH + places).reshape(-1), flat, (self.classes + 1) * WIDTH).reshape(-1, WIDTH)
-                          for k in range(2 * SIDE)])
+        wide = dh.T.astype(np.float64, order="C")
+        embed = np.stack([_sums_by_class(wide, context[:, k], self.classes + 1) for k in range(2 * SIDE)])
         for a, s, g in zip(self.arrays, squares, (embed, dh.sum(0), h.T @ dz, dz.sum(0), leaf, leaf_bias)):
             s += g * g
             a -= (rate * g / (np.sqrt(s) + 1e-6)).astype(np.float32)
 
 
+def _sums_by_class(columns: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+    """(class, place) sums of ``columns`` (place, row) by the rows' class."""
+    order = np.argsort(_narrow(own), kind="stable")
+    sizes = np.bincount(own, minlength=classes)
+    seen, out = np.flatnonzero(sizes), np.zeros((classes, len(columns)))
+    out[seen] = np.add.reduceat(np.take(columns, order, axis=1), (np.cumsum(sizes) - sizes)[seen], axis=1).T
+    return out
+
+
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """As 16 bits where they fit: these are sorted by radix."""
+    return ids.astype(np.int16 if ids.size == 0 or ids.max() < 1 << 15 else np.int64)
+
+
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]  # along the rows' own axis it takes five times as long
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each group that occurs, and its rows."""
-    order = np.argsort(group.astype(np.int16 if group.size == 0 or group.max() < 1 << 15 else np.int64), kind="stable")
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows in order of group, and (group, begin, end) of each group that occurs."""
+    order = np.argsort(_narrow(group), kind="stable")
     cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-    for a, b in zip(cuts, cuts[1:]):
-        yield int(group[order[a]]), order[a:b]
+    return order, [(int(group[order[a]]), int(a), int(b)) for a, b in zip(cuts, cuts[1:])]
 
 
 def windows(texts: list[np.ndarray], pad: int = PAD) -> np.ndarray:
@@ -134,7 +156,7 @@ def windows(texts: list[np.ndarray], pad: int = PAD) -> np.ndarray:
     padded = np.concatenate([gap, *(x for ids in texts for x in (ids, gap))])
     sizes = np.array([len(ids) for ids in texts], np.int64)
     at = np.arange(int(sizes.sum())) + SIDE * np.repeat(np.arange(1, len(texts) + 1), sizes)
-    return np.stack([padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
+    return np.stack([padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]).T  # a place's values side by side
 
 
 class _Classes(dict):

@@ -92,3 +92,18 @@ def test_empty_table_and_clashing_columns(spark):
     words, net = fit_network(documents(spark, []))
     assert words == [] and score_texts(documents(spark, []), words, net).count() == 0
     assert score_texts(documents(spark), words, net).columns == ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"]
+
+
+def test_sums_by_class_and_outputs_by_group():
+    from tabwright.llm import lm_scoring as L
+
+    rng = np.random.default_rng(2)
+    rows, own = rng.normal(size=(500, 4)), rng.choice(40, 500) * 2
+    want = np.zeros((90, 4))
+    np.add.at(want, own, rows)
+    assert np.allclose(L._sums_by_class(np.ascontiguousarray(rows.T), own, 90), want)
+    net, group = L.WindowNetwork.fresh(1, 256), rng.integers(3, 9, 300)
+    h = rng.normal(size=(300, L.WIDTH)).astype(np.float32)
+    order, cuts = L._by_group(group)
+    z = net._leaves(h[order], cuts)
+    assert np.allclose(z, [h[i] @ net.leaf[group[i]] + net.leaf_bias[group[i]] for i in order], atol=1e-5)
