@@ -24,8 +24,9 @@ def run_elsewhere(folder, *names):
 
 
 def test_queries_run_from_another_folder(tmp_path):
-    got = run_elsewhere(tmp_path, "nearest_distances_v01", "linear_utility_wide_v07", "impute_neighbours_f13")
-    assert len(got) == 3 and all(int(n) > 0 for n in got.values())
+    got = run_elsewhere(tmp_path, "nearest_distances_v01", "linear_utility_wide_v07", "impute_neighbours_f13",
+                        "nearest_points_pruned_j06", "approximate_neighbours_j06")  # with a pivot tree; with random buckets
+    assert len(got) == 5 and all(int(n) > 0 for n in got.values())
 
 
 PLAIN = """
