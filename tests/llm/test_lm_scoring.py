@@ -107,3 +107,21 @@ def test_sums_by_class_and_outputs_by_group():
     order, cuts = L._by_group(group)
     z = net._leaves(h[order], cuts)
     assert np.allclose(z, [h[i] @ net.leaf[group[i]] + net.leaf_bias[group[i]] for i in order], atol=1e-5)
+
+
+def test_softmax_by_class_adds_as_numpy_does_along_a_row():
+    from tabwright.llm import lm_scoring as L
+    rng = np.random.default_rng(6)
+    for classes in (4, 8, 16, 20, 52, 128, 132):
+        z = (4 * rng.normal(size=(50, classes))).astype(np.float32)
+        down = z - z.max(axis=1, keepdims=True)
+        assert np.array_equal(L._log_softmax(z).T, down - np.log(np.exp(down).sum(axis=1, keepdims=True)))
+
+
+def test_a_word_is_looked_up_once():
+    from tabwright.llm import lm_scoring as L
+    slots = L._Slots({b"the": 3}, 3)
+    slots.missed = []
+    found = class_ids([b"the", b"rare", b"the", b"rare"], slots).tolist()
+    assert found[0] == found[2] == 3 and found[1] == found[3] < 3
+    assert slots.missed == [b"rare", b"rare"] and len(slots) == 1
