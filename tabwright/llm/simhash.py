@@ -103,6 +103,7 @@ def linked_pairs(classes: DataFrame, max_bits: int = 4) -> DataFrame:
     wide (four bytes) instead of 2^8. Each pair is tallied in the lists it shares
     and goes on from the first of them only, then its distance is verified.
     ``max_bits`` is 0 to 7. Fingerprints must be distinct, so copies never meet here.
+    Spark takes the lists for as small as ``classes``, so their join is never left to its broadcasts.
     """
     if not 0 <= max_bits < BYTES:
         raise ValueError("max_bits must be 0 to 7")
@@ -110,7 +111,7 @@ def linked_pairs(classes: DataFrame, max_bits: int = 4) -> DataFrame:
     index = F.array(*(F.lit(m) for m in masks))
     lists = classes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("choice"))
     lists = lists.select("fp", "choice", F.col("fp").bitwiseAND(F.get(index, F.col("choice"))).alias("entry"))
-    a, b = lists.alias("a"), lists.alias("b")
+    a, b = lists.alias("a"), lists.hint("merge").alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     near = ((F.col("a.choice") == F.col("b.choice")) & (F.col("a.entry") == F.col("b.entry"))
             & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= max_bits))
@@ -126,16 +127,17 @@ def components(pairs: DataFrame) -> DataFrame:
     Large-star and small-star rounds in turn, each written to the shared folder;
     the number of rounds grows with the logarithm of the longest chain. Minima
     are partial aggregates and the joins have splittable sides, so a node with
-    very many links does not land in one task.
+    very many links does not land in one task. Links of few nodes pack well, so
+    the size of their file says little and no join is left to Spark's broadcasts.
     """
     edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = _checksum(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, mark = mark, _checksum(edges)
         if before == mark:
@@ -162,9 +164,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     classes = written(marked.groupBy("fp").agg(F.min("key").alias("low")), "classes")
     grouped = written(components(linked_pairs(classes, max_bits)), "components")
     grouped = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root").distinct())
-    members = grouped.join(classes, grouped.node == classes.fp)
+    members = grouped.join(classes.hint("merge"), grouped.node == classes.fp)
     lowest = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = members.join(lowest, "root").select("fp", "component_id")
-    names = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "names")
-    named = marked.join(names, "fp")
+    linked = members.join(lowest.hint("merge"), "root").select("fp", "component_id")
+    names = written(classes.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "names")
+    named = marked.join(names.hint("merge"), "fp")
     return named.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -83,3 +83,9 @@ def test_long_text_in_blocks(spark):
     text = " ".join(f"w{i % 977}x{i % 13}" for i in range(400_000))
     row = fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert row["fp"] % 2**64 == slow_fingerprint(text)
+
+
+def test_joins_are_not_left_to_broadcasts(spark):
+    classes = spark.range(5).selectExpr("id * 7 AS fp")
+    plan = linked_pairs(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
