@@ -100,3 +100,20 @@ def test_columns_of_the_stages_own_names_come_out_unchanged(spark, tmp_path):
 def docs_note():
     from pyspark.sql import functions as F
     return F.lit("mine")
+
+
+def test_near_duplicates_of_a_stage_are_joined_without_broadcasts(spark, monkeypatch):
+    from tabwright.llm import simhash
+
+    plans, link = [], simhash.linked_pairs
+
+    def seen(classes, max_bits):
+        out = link(classes, max_bits)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(simhash, "linked_pairs", seen)
+    rows = [(1, "one two three four five"), (2, "one two three four five"), (3, "six seven eight nine ten eleven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.duplicate_stage(spark, docs, "").collect()) == [1, 3]
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
