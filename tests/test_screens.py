@@ -86,3 +86,15 @@ def test_home_order_is_ranked_once_for_all_columns(spark, monkeypatch):
     df = spark.range(40).selectExpr("id", "id % 3 AS a", "id % 5 AS b", "id % 2 AS y")
     assert screens.permutation_importance(None, df, ["a", "b"], "y", "id").count() == 2
     assert salts.count("home") == 1 and {"move/a", "move/b"} <= set(salts)
+
+
+def test_shuffled_columns_meet_by_their_slots_and_once_by_key(spark):
+    df = spark.range(50).selectExpr("id", "id * 2 AS a", "id * 3 AS b", "id * 5 AS c").cache()
+    out = screens.shuffled_columns(df, ["a", "b", "c"], "id", 4, "s_").cache()
+    rows = out.collect()
+    assert sorted(r["id"] for r in rows) == list(range(50)) and all(r["a"] == 2 * r["id"] for r in rows)
+    for c, k in (("s_a", 2), ("s_b", 3), ("s_c", 5)):
+        assert sorted(r[c] for r in rows) == [k * i for i in range(50)] and any(r[c] != k * r["id"] for r in rows)
+    plan = screens.shuffled_columns(df, ["a", "b", "c"], "id", 4, "s_")._jdf.queryExecution().optimizedPlan().toString()
+    by_slot, by_key = (sum("Join" in line and name in line for line in plan.splitlines()) for name in ("_slot", "id#"))
+    assert by_slot == 3 and by_key == 1
